@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableassay.functions.schema import as_double, empty, has_value, number, text, union_all
+from tableassay.functions.schema import as_double, empty, has_value, number, text, texts, union_all
 
 SKETCH_SIZE = 4096  # rank error about 0.13 % at 99 % confidence
 RANK_MARGIN = 0.01  # half width of a bracket
@@ -174,6 +174,7 @@ def quantiles(df: DataFrame, names: list[str], probs: list[float], exact: bool =
 
 
 QUARTERS = [0.25, 0.5, 0.75]
+FENCE = 1.5  # interquartile ranges between a quartile and its fence
 
 
 def quartiles(df: DataFrame, names: list[str], exact: bool = True, ranges: Ranges | None = None) -> DataFrame:
@@ -182,3 +183,11 @@ def quartiles(df: DataFrame, names: list[str], exact: bool = True, ranges: Range
     return rows.groupBy("column").agg(
         *[F.expr(f"max(IF(prob = {p}D, value, NULL)) AS {k}") for k, p in zip(("q1", "median", "q3"), QUARTERS)]
     )
+
+
+def fences(df: DataFrame, names: list[str], exact: bool = True, ranges: Ranges | None = None) -> DataFrame:
+    """``(idx, q1, median, q3, lower, upper)``: one row per column."""
+    idx = f"CAST(array_position({texts(names)}, column) - 1 AS INT) AS idx"
+    return quartiles(df, names, exact, ranges).selectExpr(
+        idx, "q1", "median", "q3", f"q1 - {FENCE}D * (q3 - q1) AS lower", f"q3 + {FENCE}D * (q3 - q1) AS upper"
+    )
