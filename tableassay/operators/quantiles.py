@@ -3,19 +3,26 @@
 The built-in ``percentile`` keeps every distinct value of a column in one
 task.  The exact form here narrows instead:
 
-1. one scan builds a mergeable sketch per column, and a bracket around each
-   wanted rank comes back to the driver (two numbers per column and prob);
-2. one scan counts rows per bracket and, inside the brackets only, per value.
-   Each bracket is cut into equal cells, so that the order statistics are
-   found in a single cell and no task ever sorts a whole column.
-
-The sketch only decides which few percent of the values are counted one by
-one; ranks are counted exactly.  A rank outside its bracket (over ten standard
-errors away) raises an error and never yields a wrong number.
+1. one scan builds a mergeable sketch per column; the exact number of values
+   and a bracket around each wanted rank come back to the driver (a few
+   numbers per column and prob);
+2. one scan counts rows per bracket and, inside the brackets only, per value,
+   and the order statistics are read off the running count.
+
+On a large table even the few percent of values inside a bracket are too many
+for one task; each bracket is then cut into equal cells and only the values of
+the cells that hold a wanted rank are put in order.
+
+The sketch only decides which values are counted one by one; ranks are counted
+exactly.  A rank outside its bracket (over ten standard errors away) raises an
+error and never yields a wrong number.
 """
 
 from __future__ import annotations
 
+from math import floor
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +30,26 @@ from tableassay.functions.schema import as_double, empty, has_value, number, tex
 
 SKETCH_SIZE = 4096  # rank error about 0.13 % at 99 % confidence
 RANK_MARGIN = 0.01  # half width of a bracket
-CELLS = 4096  # cells per bracket
 SMALL = 2000  # below this many values one bracket holds the whole column
+ORDERED_ROWS = 2_000_000  # most bracketed values of one column that one task puts in order
+CELLS = 4096  # cells per bracket beyond that
 MERGE_GROUPS = 64  # first merge level, so no task merges all sketches
 COLUMNS_PER_PLAN = 64  # wide tables are split so that a plan stays small
 
 RESULT = "column string, prob double, value double"
-Ranges = dict[str, list[tuple[float, float]]]
+
+
+class Bracket(NamedTuple):
+    """Number of values of a column and the value range around each prob."""
+
+    n: int
+    ends: list[tuple[float, float]]
+
+    def ordered_rows(self) -> float:
+        return self.n if self.n < SMALL else 2 * RANK_MARGIN * self.n * len(self.ends)
+
+
+Ranges = dict[str, Bracket]
 
 
 def _sketches(df: DataFrame, names: list[str]) -> DataFrame:
@@ -58,7 +78,7 @@ def approx_quantiles(df: DataFrame, names: list[str], probs: list[float]) -> Dat
 
 
 def brackets(df: DataFrame, names: list[str], probs: list[float]) -> Ranges:
-    """Value range around each prob, per column that holds any value.
+    """A bracket per column that holds any value.
 
     Runs a job; what comes back is two numbers per column and prob.
     """
@@ -66,78 +86,98 @@ def brackets(df: DataFrame, names: list[str], probs: list[float]) -> Ranges:
     for i in range(len(names)):
         s = f"s{i}"
         ends = []
-        for p in probs:
+        for p in sorted(probs):
             low, high = max(p - RANK_MARGIN, 0.0), min(p + RANK_MARGIN, 1.0)
             for whole, rank in ((0.0, low), (1.0, high)):
                 ends.append(f"IF(kll_sketch_get_n_double({s}) < {SMALL}, {_at(s, whole)}, {_at(s, rank)})")
-        fields.append(f"array({', '.join(ends)}) AS e{i}")
+        fields.append(f"named_struct('n', kll_sketch_get_n_double({s}), 'ends', array({', '.join(ends)})) AS e{i}")
     row = _sketches(df, names).selectExpr(*fields).first()
-    return {n: list(zip(ends[0::2], ends[1::2])) for n, ends in zip(names, row) if ends[0] is not None}
+    return {
+        n: Bracket(e["n"], list(zip(e["ends"][0::2], e["ends"][1::2]))) for n, e in zip(names, row) if e["n"]
+    }
 
 
-def _cases(ranges: list[tuple[float, float]]) -> tuple[str, str]:
+def _cases(ends: list[tuple[float, float]], with_cells: bool) -> tuple[str, str]:
     """Zone and cell of ``v``: both ascend with the value.
 
     Odd zones are brackets, even zones lie between them.
     """
     zone, cell = [], []
-    for j, (lo, hi) in enumerate(ranges):
+    for j, (lo, hi) in enumerate(ends):
         inside = "0"
         if 0 < hi - lo < float("inf"):
             inside = f"CAST(least(floor((v - {number(lo)}) / {number(hi - lo)} * {CELLS}), {CELLS - 1}) AS INT)"
         zone.append(f"WHEN v < {number(lo)} THEN {2 * j} WHEN v <= {number(hi)} THEN {2 * j + 1}")
         cell.append(f"WHEN v < {number(lo)} THEN 0 WHEN v <= {number(hi)} THEN {inside}")
-    return f"CASE {' '.join(zone)} ELSE {2 * len(ranges)} END", f"CASE {' '.join(cell)} ELSE 0 END"
+    zone_sql = f"CASE {' '.join(zone)} ELSE {2 * len(ends)} END"
+    return zone_sql, (f"CASE {' '.join(cell)} ELSE 0 END" if with_cells else "0")
 
 
 def _exact_sql(df: DataFrame, names: list[str], probs: list[float], ranges: Ranges) -> str:
-    """The second scan as SQL over the view ``{source}``.
+    """The second scan as SQL over the view ``{source}``: ``(column, prob, value)``.
 
     Each column is read by its own branch: a column store reads it once, and
     the branch compiles to a plain filter and a hash aggregate.
     """
+    names = [n for n in names if n in ranges]
+    direct = max(ranges[n].ordered_rows() for n in names) <= ORDERED_ROWS
     branches = []
     for i, n in enumerate(names):
-        if n in ranges:
-            zone, cell = _cases(ranges[n])
-            branches.append(
-                f"SELECT {i} AS idx, {zone} AS zone, {cell} AS cell, v "
-                f"FROM (SELECT {as_double(df, n)} AS v FROM {{source}} WHERE {has_value(df, n)})"
-            )
-    targets = []
-    for j, p in enumerate(probs):
-        spot = f"(total - 1) * {number(p)}"
-        for side, rank in ((0, f"floor({spot})"), (1, f"least(floor({spot}) + 1, total - 1)")):
-            targets.append(
-                f"named_struct('p', {j}, 'side', {side}, 'rank', {rank}, 'share', {spot} - floor({spot}))"
-            )
-    # cells: at most probs * (CELLS + 1) + 1 rows per column reach the window
-    # wanted: two rows per column and prob, so its broadcast is bounded
-    return f"""
-    WITH counted AS (
+        zone, cell = _cases(ranges[n].ends, not direct)
+        branches.append(
+            f"SELECT {i} AS idx, {zone} AS zone, {cell} AS cell, v "
+            f"FROM (SELECT {as_double(df, n)} AS v FROM {{source}} WHERE {has_value(df, n)})"
+        )
+
+    # the wanted ranks, low and high per prob, as literals per column position
+    spots = [[(ranges[n].n - 1) * p for p in probs] for n in names]
+    ranks = [
+        "get(array({}), idx)".format(
+            ", ".join(f"{min(floor(spot[j]) + side, ranges[n].n - 1)}L" for n, spot in zip(names, spots))
+        )
+        for j in range(len(probs))
+        for side in (0, 1)
+    ]
+    counted = f"""counted AS (
       SELECT idx, zone, cell, IF(zone % 2 = 1, v, NULL) AS v, count(*) AS n
       FROM ({' UNION ALL '.join(branches)}) GROUP BY 1, 2, 3, 4
-    ), cells AS (
-      SELECT idx, zone, cell, n,
-             sum(n) OVER (PARTITION BY idx ORDER BY zone, cell) - n AS before,
-             sum(n) OVER (PARTITION BY idx) AS total
-      FROM (SELECT idx, zone, cell, sum(n) AS n FROM counted GROUP BY 1, 2, 3)
-    ), wanted AS (
-      SELECT * FROM (SELECT *, inline(array({', '.join(targets)})) FROM cells)
-      WHERE before <= rank AND rank < before + n
-    ), ranked AS (
-      SELECT /*+ BROADCAST(w) */ c.idx, w.p, w.side, w.rank, w.share, c.v, c.n,
-             w.before + sum(c.n) OVER (PARTITION BY c.idx, c.zone, c.cell, w.p, w.side ORDER BY c.v) AS upto
-      FROM counted c JOIN wanted w ON c.idx = w.idx AND c.zone = w.zone AND c.cell = w.cell
-    ), found AS (
-      SELECT idx, p, max(IF(side = 0, v, NULL)) AS a, max(IF(side = 1, v, NULL)) AS b, max(share) AS share
-      FROM (SELECT idx, p, side, share,
-                   IF(v IS NULL, raise_error('rank outside its bracket'), v) AS v
-            FROM ranked WHERE upto - n <= rank AND rank < upto)
-      GROUP BY idx, p
-    )
-    SELECT idx, p, IF(a = b, a, a + (b - a) * share) AS value FROM found
-    """
+    )"""
+    if direct:
+        hits = ", ".join(f"max(IF(upto - n <= {r} AND {r} < upto, v, NULL)) AS t{t}" for t, r in enumerate(ranks))
+        found = f"""
+        WITH {counted}, placed AS (
+          SELECT idx, v, n, sum(n) OVER (PARTITION BY idx ORDER BY zone, v) AS upto FROM counted
+        )
+        SELECT idx, {hits} FROM placed GROUP BY idx"""
+    else:
+        # cells: at most probs * (CELLS + 1) + 1 rows per column reach the window
+        # wanted: two rows per column and prob, so its broadcast is bounded
+        targets = ", ".join(f"named_struct('t', {t}, 'rank', {r})" for t, r in enumerate(ranks))
+        hits = ", ".join(f"max(IF(t = {t}, v, NULL)) AS t{t}" for t in range(len(ranks)))
+        found = f"""
+        WITH {counted}, cells AS (
+          SELECT idx, zone, cell, n, sum(n) OVER (PARTITION BY idx ORDER BY zone, cell) - n AS before
+          FROM (SELECT idx, zone, cell, sum(n) AS n FROM counted GROUP BY 1, 2, 3)
+        ), wanted AS (
+          SELECT * FROM (SELECT *, inline(array({targets})) FROM cells)
+          WHERE before <= rank AND rank < before + n
+        ), placed AS (
+          SELECT /*+ BROADCAST(w) */ c.idx, w.t, w.rank, c.v, c.n,
+                 w.before + sum(c.n) OVER (PARTITION BY c.idx, c.zone, c.cell, w.t ORDER BY c.v) AS upto
+          FROM counted c JOIN wanted w ON c.idx = w.idx AND c.zone = w.zone AND c.cell = w.cell
+        )
+        SELECT idx, {hits} FROM placed WHERE upto - n <= rank AND rank < upto GROUP BY idx"""
+
+    entries = []
+    for j, p in enumerate(probs):
+        share = "get(array({}), idx)".format(", ".join(number(s[j] - floor(s[j])) for s in spots))
+        a, b = f"t{2 * j}", f"t{2 * j + 1}"
+        value = (
+            f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN CAST(raise_error('rank outside its bracket') AS DOUBLE) "
+            f"WHEN {a} = {b} THEN {a} ELSE {a} + ({b} - {a}) * {share} END"
+        )
+        entries.append(f"named_struct('prob', {number(p)}, 'value', {value})")
+    return f"SELECT get({texts(names)}, idx) AS column, inline(array({', '.join(entries)})) FROM ({found})"
 
 
 def exact_quantiles(df: DataFrame, names: list[str], probs: list[float], ranges: Ranges | None = None) -> DataFrame:
@@ -150,23 +190,16 @@ def exact_quantiles(df: DataFrame, names: list[str], probs: list[float], ranges:
     probs = sorted(float(p) for p in probs)
     if ranges is None:
         ranges = brackets(df, names, probs)
-    slots = ", ".join(
-        f"({i}, {j}, {text(n)}, {number(p)})" for i, n in enumerate(names) for j, p in enumerate(probs)
-    )
-    found = _exact_sql(df, names, probs, ranges) if any(n in ranges for n in names) else (
-        "SELECT 0 AS idx, 0 AS p, CAST(NULL AS DOUBLE) AS value WHERE false"
-    )
-    # braces of column names must survive the view substitution
-    found = found.replace("{source}", "\0").replace("{", "{{").replace("}", "}}").replace("\0", "{source}")
-    slots = slots.replace("{", "{{").replace("}", "}}")
-    return df.sparkSession.sql(
-        f"""
-        SELECT /*+ BROADCAST(f) */ s.column, s.prob, f.value
-        FROM VALUES {slots} AS s(idx, p, column, prob)
-        LEFT JOIN ({found}) f ON s.idx = f.idx AND s.p = f.p
-        """,
-        source=df,
-    )
+    parts = []
+    if any(n in ranges for n in names):
+        # braces of column names must survive the view substitution
+        found = _exact_sql(df, names, probs, ranges).replace("{source}", "\0")
+        parts.append(found.replace("{", "{{").replace("}", "}}").replace("\0", "{source}"))
+    blank = ", ".join(f"({text(n)}, {number(p)})" for n in names if n not in ranges for p in probs)
+    if blank:
+        blank = blank.replace("{", "{{").replace("}", "}}")
+        parts.append(f"SELECT column, prob, CAST(NULL AS DOUBLE) AS value FROM VALUES {blank} AS s(column, prob)")
+    return df.sparkSession.sql(" UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts), source=df)
 
 
 def quantiles(df: DataFrame, names: list[str], probs: list[float], exact: bool = True) -> DataFrame:

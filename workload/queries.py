@@ -35,7 +35,7 @@ SQL_TEXTS = {
     "sql_left_join_agg": """
         SELECT c.c_custkey, c.c_acctbal, c.c_mktsegment,
                COUNT(o.o_orderkey) AS order_count,
-               round(AVG(o.o_totalprice), 4) AS avg_order,
+               round(AVG(o.o_totalprice), 8) AS avg_order,
                round(SUM(o.o_totalprice), 2) AS total_spent
         FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
         GROUP BY c.c_custkey, c.c_acctbal, c.c_mktsegment

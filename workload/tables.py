@@ -73,9 +73,9 @@ def source(name: str) -> str:
 
 
 def stable(sql: str) -> str:
-    """Round to about nine digits, so that the order of summation does not show."""
+    """Round off the last digits, so that the order of summation does not show."""
     return (
-        f"(CASE WHEN abs({sql}) < 1e3 THEN round({sql}, 6) WHEN abs({sql}) < 1e6 THEN round({sql}, 4) "
+        f"(CASE WHEN abs({sql}) < 1e6 THEN round({sql}, 6) "
         f"WHEN abs({sql}) < 1e9 THEN round({sql}, 2) ELSE round({sql}, 0) END + 0.0)"
     )
 
