@@ -222,18 +222,19 @@ def box_stats(
             "column string, q1 double, median double, q3 double, "
             "whisker_low double, whisker_high double, fliers bigint",
         )
-    bounds = fences(df, names, exact, ranges)
-    inside = "value BETWEEN lower AND upper"
+    inside = "value BETWEEN f.lower AND f.upper"
     ends = (
         long_numbers(df, names)
         .where("value IS NOT NULL")
-        .join(F.broadcast(bounds), "idx")
-        .groupBy("idx", "q1", "median", "q3")
+        .withColumn("f", F.get(fences(df, names, exact, ranges), F.col("idx")))
+        .groupBy("idx")
         .agg(
+            F.expr("max(f) AS f"),
             F.expr(f"min(IF({inside}, value, NULL)) AS lo"),
             F.expr(f"max(IF({inside}, value, NULL)) AS hi"),
-            F.expr("count_if(value < lower OR value > upper) AS fliers"),
+            F.expr("count_if(value < f.lower OR value > f.upper) AS fliers"),
         )
+        .selectExpr("idx", "f.q1", "f.median", "f.q3", "lo", "hi", "fliers")
     )
     out = ends.selectExpr(
         "idx", "q1", "median", "q3", "least(lo, q1) AS whisker_low", "greatest(hi, q3) AS whisker_high", "fliers"

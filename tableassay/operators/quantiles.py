@@ -218,9 +218,11 @@ def quartiles(df: DataFrame, names: list[str], exact: bool = True, ranges: Range
     )
 
 
-def fences(df: DataFrame, names: list[str], exact: bool = True, ranges: Ranges | None = None) -> DataFrame:
-    """``(idx, q1, median, q3, lower, upper)``: one row per column."""
-    idx = f"CAST(array_position({texts(names)}, column) - 1 AS INT) AS idx"
-    return quartiles(df, names, exact, ranges).selectExpr(
-        idx, "q1", "median", "q3", f"q1 - {FENCE}D * (q3 - q1) AS lower", f"q3 + {FENCE}D * (q3 - q1) AS upper"
+def fences(df: DataFrame, names: list[str], exact: bool = True, ranges: Ranges | None = None):
+    """Scalar array by column position: ``q1, median, q3, lower, upper``."""
+    rows = quartiles(df, names, exact, ranges).selectExpr(
+        f"array_position({texts(names)}, column) AS place",
+        f"struct(q1, median, q3, q1 - {FENCE}D * (q3 - q1) AS lower, q3 + {FENCE}D * (q3 - q1) AS upper) AS f",
     )
+    # one entry per column
+    return rows.agg(F.expr("transform(array_sort(collect_list(struct(place, f))), e -> e.f) AS f")).scalar()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableassay.functions.schema import (
@@ -10,6 +10,7 @@ from tableassay.functions.schema import (
     as_double,
     column_class,
     empty,
+    has_value,
     numeric_columns,
     text,
     texts,
@@ -18,7 +19,7 @@ from tableassay.functions.schema import (
 from tableassay.functions.shape import long_numbers, with_names
 from tableassay.operators.distributions import value_counts
 from tableassay.operators.quantiles import Ranges, fences
-from tableassay.operators.stats import describe
+from tableassay.operators.stats import column_means, describe
 
 # Fixed value: correlations above it count as strong.
 STRONG = 0.7
@@ -30,19 +31,21 @@ BLOCK = 6
 _SUMS = ("n", "x1", "y1", "x2", "y2", "xy")
 
 
-def _pair_sums(df: DataFrame, names: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+def _pair_sums(df: DataFrame, names: list[str], pairs: list[tuple[int, int]], means: Column) -> DataFrame:
     """``(i, j, sums..., ranges...)`` over rows in which both columns are present.
 
     Rows without any gap take plain sums of products.  Rows with a gap are
     expanded to the pairs they do hold; both parts then add up.
     """
     used = sorted({c for pair in pairs for c in pair})
-    means = df.agg(F.expr(f"struct({', '.join(f'avg({as_double(df, names[c])}) AS m{c}' for c in used)}) AS m")).scalar()
-    rows = df.selectExpr(*[f"{as_double(df, names[c])} AS v{c}" for c in used]).withColumn("m", means)
-    rows = rows.selectExpr(*[f"v{c} - m.m{c} AS d{c}" for c in used])
-    whole = " AND ".join(f"d{c} IS NOT NULL" for c in used)
+    # on the columns themselves, so that both conditions reach the scan
+    whole = " AND ".join(has_value(df, names[c]) for c in used)
 
-    full = rows.where(whole).agg(
+    def centred(rows: DataFrame) -> DataFrame:
+        rows = rows.selectExpr(*[f"{as_double(df, names[c])} AS v{c}" for c in used]).withColumn("m", means)
+        return rows.selectExpr(*[f"v{c} - m[{c}] AS d{c}" for c in used])
+
+    full = centred(df.where(whole)).agg(
         F.expr("count(1) AS n"),
         *[F.expr(f"{f}(d{c}) AS {k}{c}") for c in used for k, f in (("s", "sum"), ("lo", "min"), ("hi", "max"))],
         *[F.expr(f"sum(d{c} * d{c}) AS q{c}") for c in used],
@@ -57,7 +60,7 @@ def _pair_sums(df: DataFrame, names: list[str], pairs: list[tuple[int, int]]) ->
 
     cells = ", ".join(f"{i}, {j}, d{i}, d{j}" for i, j in pairs)
     part_gaps = (
-        rows.where(f"NOT ({whole})")
+        centred(df.where(f"NOT ({whole})"))
         .selectExpr(f"stack({len(pairs)}, {cells}) AS (i, j, x, y)")
         .where("x IS NOT NULL AND y IS NOT NULL")
         .groupBy("i", "j")
@@ -84,7 +87,8 @@ def _pair_sums(df: DataFrame, names: list[str], pairs: list[tuple[int, int]]) ->
 
 def _pair_correlations(df: DataFrame, names: list[str], tiles: list[list[tuple[int, int]]]) -> DataFrame:
     """``(i, j, r)``; NULL where a column does not vary over the shared rows."""
-    sums = union_all([_pair_sums(df, names, tile) for tile in tiles])
+    means = column_means(df, names)
+    sums = union_all([_pair_sums(df, names, tile, means) for tile in tiles])
     whole = sums.groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in _SUMS],
         *[F.expr(f"min({c}lo) AS {c}lo") for c in "xy"],
@@ -156,9 +160,9 @@ def outlier_detection(
         return empty(df, "column string, outliers bigint, outlier_pct double")
     counted = (
         long_numbers(df, names)
-        .join(F.broadcast(fences(df, names, exact, ranges)), "idx", "left")
+        .withColumn("f", F.get(fences(df, names, exact, ranges), F.col("idx")))
         .groupBy("idx")
-        .agg(F.expr("count_if(value < lower OR value > upper) AS outliers"), F.expr("count(1) AS rows"))
+        .agg(F.expr("count_if(value < f.lower OR value > f.upper) AS outliers"), F.expr("count(1) AS rows"))
     )
     out = with_names(counted, names).selectExpr(
         "column", "outliers", "try_divide(outliers * 100.0D, rows) AS outlier_pct"
@@ -168,7 +172,7 @@ def outlier_detection(
 
 def outlier_rows(df: DataFrame, name: str, exact: bool = True, ranges: Ranges | None = None) -> DataFrame:
     """The rows outside the fences of one column."""
-    bounds = fences(df, [name], exact, ranges).selectExpr("struct(lower, upper) AS b").scalar()
+    bounds = F.get(fences(df, [name], exact, ranges), F.lit(0))
     value = F.expr(as_double(df, name))
     return df.where((value < bounds["lower"]) | (value > bounds["upper"]))
 

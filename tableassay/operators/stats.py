@@ -19,7 +19,7 @@ from tableassay.functions.schema import (
 )
 from tableassay.functions.shape import inline_columns, long_numbers, with_names
 from tableassay.functions.values import identity
-from tableassay.operators.quantiles import Ranges, quartiles
+from tableassay.operators.quantiles import QUARTERS, Ranges, approx_quantiles, exact_quantiles
 
 MOMENTS = (
     "column string, n bigint, mean double, min double, max double, "
@@ -201,18 +201,15 @@ def variance(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return _stat(df, names, "variance", VARIANCE)
 
 
-# The statistics in the order in which they are listed.
+# The statistics that ``describe`` lists, and the further ones.
 DESCRIBE = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 MORE = ("skewness", "kurtosis", "variance")
 
-_SQL = {
+_FROM_MOMENTS = {
     "count": "CAST(n AS DOUBLE)",
     "mean": "mean",
     "std": STD,
     "min": "min",
-    "25%": "q1",
-    "50%": "median",
-    "75%": "q3",
     "max": "max",
     "skewness": SKEW,
     "kurtosis": KURTOSIS,
@@ -224,9 +221,13 @@ def _stat_rows(df, names, wanted, exact, ranges) -> DataFrame:
     names = numeric_columns(df) if names is None else names
     if not names:
         return empty(df, "column string, stat string, value double")
-    per_column = moments(df, names).join(F.broadcast(quartiles(df, names, exact, ranges)), "column")
-    entries = ", ".join(f"named_struct('stat', '{s}', 'value', {_SQL[s]})" for s in wanted)
-    return per_column.selectExpr("column", f"inline(array({entries}))")
+    entries = ", ".join(f"named_struct('stat', '{s}', 'value', {_FROM_MOMENTS[s]})" for s in wanted if s in _FROM_MOMENTS)
+    quarters = exact_quantiles(df, names, QUARTERS, ranges) if exact else approx_quantiles(df, names, QUARTERS)
+    return (
+        moments(df, names)
+        .selectExpr("column", f"inline(array({entries}))")
+        .unionByName(quarters.selectExpr("column", "concat(CAST(prob * 100 AS INT), '%') AS stat", "value"))
+    )
 
 
 def describe(df: DataFrame, names: list[str] | None = None, exact: bool = True, ranges: Ranges | None = None) -> DataFrame:
