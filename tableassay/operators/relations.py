@@ -140,7 +140,7 @@ def high_correlations(df: DataFrame, names: list[str] | None = None, threshold:
     if len(names) < 2:
         return empty(df, CORRELATION)
     strong = _upper(df, names).where(f"i < j AND abs(r) > {threshold}D")
-    return _named(names, strong).orderBy(F.expr("abs(r) DESC"), "feature_1", "feature_2")
+    return _named(names, strong).orderBy(F.abs("r").desc(), "feature_1", "feature_2")
 
 
 def correlation_lower_triangle(df: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -7,21 +7,24 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tableassay.functions.schema import quoted
+
 
 @contextmanager
 def registered(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Iterator[None]:
     """The tables as temporary views; views of the same names are put back after."""
     earlier = {}
     for name, df in tables.items():
-        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary:
-            earlier[name] = spark.table(name)
-        df.createOrReplaceTempView(name)
+        view = quoted(name)
+        if spark.catalog.tableExists(view) and spark.catalog.getTable(view).isTemporary:
+            earlier[name] = spark.table(view)
+        df.createOrReplaceTempView(view)
     try:
         yield
     finally:
         for name in tables:
             if name in earlier:
-                earlier[name].createOrReplaceTempView(name)
+                earlier[name].createOrReplaceTempView(quoted(name))
             else:
                 spark.catalog.dropTempView(name)
 

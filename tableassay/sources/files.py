@@ -75,7 +75,9 @@ def infer_types(raw: DataFrame, infer_dates: bool = False) -> dict[str, str]:
     if infer_dates:
         tests["timestamp_ntz"] = lambda c: f"(try_cast({c} AS TIMESTAMP_NTZ) IS NOT NULL)"
     flags = [
-        f"coalesce(bool_and({test(quoted(n))}), false)" for n in raw.columns for test in tests.values()
+        f"coalesce(bool_and(IF({quoted(n)} IS NULL, NULL, {test(quoted(n))})), false)"
+        for n in raw.columns
+        for test in tests.values()
     ]
     row = raw.selectExpr(*[f"{f} AS f{i}" for i, f in enumerate(flags)]).first()
     out = {}
