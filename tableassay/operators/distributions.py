@@ -149,7 +149,9 @@ def kde(df: DataFrame, names: list[str] | None = None, points: int = 1000, bins:
     first = f"CAST(greatest(0, ceil((value - {KERNEL_REACH} * h - x0) / step)) AS INT)"
     last = f"CAST(least({points - 1}, floor((value + {KERNEL_REACH} * h - x0) / step)) AS INT)"
     sums = (
-        weighted.selectExpr("*", f"explode(sequence({first}, {last})) AS point")
+        weighted.selectExpr("*", f"{first} AS first", f"{last} AS last")
+        .where("first <= last")  # a narrow kernel may fall between two grid points
+        .selectExpr("*", "explode(sequence(first, last)) AS point")
         .selectExpr("idx", "point", "w", "(x0 + point * step - value) / h AS z")
         .groupBy("idx", "point")
         .agg(F.expr("sum(w * exp(-0.5D * z * z)) AS mass"))

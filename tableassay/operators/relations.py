@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableassay.functions.schema import (
     NUMERIC,
     as_double,
+    col,
     column_class,
     empty,
     has_value,
@@ -171,20 +173,24 @@ def outlier_detection(
 
 
 def outlier_rows(df: DataFrame, name: str, exact: bool = True, ranges: Ranges | None = None) -> DataFrame:
-    """The rows outside the fences of one column."""
+    """The rows outside the fences of one column.
+
+    Doubles are compared as they are stored, so that the bounds reach the scan.
+    """
     bounds = F.get(fences(df, [name], exact, ranges), F.lit(0))
-    value = F.expr(as_double(df, name))
-    return df.where((value < bounds["lower"]) | (value > bounds["upper"]))
+    value = col(name) if df.schema[name].dataType == T.DoubleType() else F.expr(as_double(df, name))
+    far = (value < bounds["lower"]) | (value > bounds["upper"])
+    return df.where(far & F.expr(has_value(df, name)))
 
 
 def is_numeric_target(df: DataFrame, target: str) -> bool:
     return column_class(df.schema[target].dataType) == NUMERIC
 
 
-def target_distribution(df: DataFrame, target: str, exact: bool = True) -> DataFrame:
+def target_distribution(df: DataFrame, target: str, exact: bool = True, ranges: Ranges | None = None) -> DataFrame:
     """``describe`` of a numeric target, otherwise its value counts."""
     if is_numeric_target(df, target):
-        return describe(df, [target], exact).select("stat", "value")
+        return describe(df, [target], exact, ranges).select("stat", "value")
     return value_counts(df, target)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tableassay.functions.schema import (
     categorical_columns,
     datetime_columns,
-    empty,
     numeric_columns,
     union_all,
 )
@@ -106,10 +105,10 @@ class Profile:
         }
 
     def target_analysis(self, target: str) -> dict[str, DataFrame]:
-        return target_analysis(self.data, target, self.exact)
+        return target_analysis(self.data, target, self.exact, self.ranges)
 
-    def complete_analysis(self, target: str | None = None) -> dict[str, DataFrame]:
-        return complete_analysis(self, target)
+    def complete_analysis(self, target: str | None = None, persist: bool = False) -> dict[str, DataFrame]:
+        return complete_analysis(self, target, persist)
 
     def profile_report(self) -> DataFrame:
         return profile_report(self.data, self.exact, self.ranges)
@@ -118,12 +117,14 @@ class Profile:
         return target_report(self.data, target, self.exact, self.ranges)
 
 
-def target_analysis(df: DataFrame, target: str, exact: bool = True) -> dict[str, DataFrame]:
+def target_analysis(
+    df: DataFrame, target: str, exact: bool = True, ranges: Ranges | None = None
+) -> dict[str, DataFrame]:
     """Distribution of the target, its plots' tables and the closest features."""
-    out = {"target_distribution": relations.target_distribution(df, target, exact)}
+    out = {"target_distribution": relations.target_distribution(df, target, exact, ranges)}
     if relations.is_numeric_target(df, target):
         out["target_histogram"] = distributions.histogram_count(df, target)
-        out["target_box"] = distributions.box_stats(df, [target], exact)
+        out["target_box"] = distributions.box_stats(df, [target], exact, ranges)
         out["target_correlation"] = relations.target_correlation(df, target)
         out["scatter_grid"] = relations.scatter_grid(df, target)
     else:

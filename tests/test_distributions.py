@@ -60,6 +60,13 @@ def test_kde_far_outlier(spark):
     assert len(got) == 300 and np.allclose(got, want, rtol=1e-9, atol=1e-300)
 
 
+def test_kde_kernel_narrower_than_grid(spark):
+    df = spark.sql("SELECT IF(id = 0, 1e9D, id * 1D) AS x FROM range(5000)")
+    x, want = density([1e9] + list(range(1, 5000)), 11)
+    got = [r["density"] for r in D.kde(df, ["x"], points=11).orderBy("point").collect()]
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-300)
+
+
 def test_kde_constant_column_has_none(gappy):
     assert D.kde(gappy, ["same", "nothing"], points=50).count() == 0
 
