@@ -3,24 +3,22 @@
 The built-in ``percentile`` keeps every distinct value of a column in one
 task.  The exact form here narrows instead:
 
-1. one scan builds a mergeable sketch per column; the exact number of values
-   and a bracket around each wanted rank come back to the driver (a few
-   numbers per column and prob);
-2. one scan counts rows per bracket and, inside the brackets only, per value,
+1. one scan builds a mergeable sketch per column; a range of values around each
+   wanted rank comes back to the driver (a few hundred numbers per column);
+2. while a range still holds too many rows for one task, a further scan
+   sketches the values inside it and makes it about fifty times smaller;
+3. a last scan counts rows between the ranges and, inside them only, per value,
    and the order statistics are read off the running count.
 
-On a large table even the few percent of values inside a bracket are too many
-for one task; each bracket is then cut into equal cells and only the values of
-the cells that hold a wanted rank are put in order.
-
-The sketch only decides which values are counted one by one; ranks are counted
-exactly.  A rank outside its bracket (over ten standard errors away) raises an
-error and never yields a wrong number.
+The sketches only decide which values are counted one by one; ranks are counted
+exactly.  A rank outside its range (over eight standard errors away) raises an
+error and never yields a wrong number.  Nothing but sketches and the values of
+the last ranges is shuffled, whatever the distribution.
 """
 
 from __future__ import annotations
 
-from math import floor
+from math import ceil, floor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -28,11 +26,11 @@ from pyspark.sql import functions as F
 
 from tableassay.functions.schema import as_double, empty, has_value, number, text, texts, union_all
 
-SKETCH_SIZE = 4096  # rank error about 0.13 % at 99 % confidence
-RANK_MARGIN = 0.01  # half width of a bracket
-SMALL = 2000  # below this many values one bracket holds the whole column
-ORDERED_ROWS = 2_000_000  # most bracketed values of one column that one task puts in order
-CELLS = 4096  # cells per bracket beyond that
+SKETCH_SIZE = 4096  # standard error of a rank about 0.05 %
+RANK_MARGIN = 0.004  # added to either side of a rank read off a sketch
+GRID = 200  # steps of rank at which a sketch is read
+SMALL = 2000  # a range with at most this many rows is not narrowed
+ORDERED_ROWS = 2_000_000  # most rows of one column in the last ranges
 MERGE_GROUPS = 64  # first merge level, so no task merges all sketches
 COLUMNS_PER_PLAN = 64  # wide tables are split so that a plan stays small
 
@@ -40,24 +38,26 @@ RESULT = "column string, prob double, value double"
 
 
 class Bracket(NamedTuple):
-    """Number of values of a column and the value range around each prob."""
+    """Values of one column: how many, and per prob the range that holds its rank."""
 
     n: int
     ends: list[tuple[float, float]]
-
-    def ordered_rows(self) -> float:
-        return self.n if self.n < SMALL else 2 * RANK_MARGIN * self.n * len(self.ends)
+    rows: list[float]  # about how many rows each range holds
 
 
 Ranges = dict[str, Bracket]
 
 
-def _sketches(df: DataFrame, names: list[str]) -> DataFrame:
-    """One row: a sketch per column, merged in two levels."""
+def _merged(df: DataFrame, sketched: list[str], counted: list[str] = ()) -> DataFrame:
+    """One row: sketches ``s0..`` of the values and sums ``c0..`` of the counts, merged in two levels."""
     partial = df.groupBy(F.expr(f"spark_partition_id() % {MERGE_GROUPS}")).agg(
-        *[F.expr(f"kll_sketch_agg_double({as_double(df, n)}, {SKETCH_SIZE}) AS s{i}") for i, n in enumerate(names)]
+        *[F.expr(f"kll_sketch_agg_double({v}, {SKETCH_SIZE}) AS s{i}") for i, v in enumerate(sketched)],
+        *[F.expr(f"{c} AS c{i}") for i, c in enumerate(counted)],
+    )
+    return partial.agg(
+        *[F.expr(f"kll_merge_agg_double(s{i}, {SKETCH_SIZE}) AS s{i}") for i in range(len(sketched))],
+        *[F.expr(f"sum(c{i}) AS c{i}") for i in range(len(counted))],
     )
-    return partial.agg(*[F.expr(f"kll_merge_agg_double(s{i}, {SKETCH_SIZE}) AS s{i}") for i in range(len(names))])
 
 
 def _at(sketch: str, rank: float) -> str:
@@ -74,110 +74,143 @@ def approx_quantiles(df: DataFrame, names: list[str], probs: list[float]) -> Dat
         for i, n in enumerate(names)
         for p in probs
     ]
-    return _sketches(df, names).selectExpr(f"inline(array({', '.join(entries)}))")
+    merged = _merged(df, [as_double(df, n) for n in names])
+    return merged.selectExpr(f"inline(array({', '.join(entries)}))")
 
 
-def brackets(df: DataFrame, names: list[str], probs: list[float]) -> Ranges:
-    """A bracket per column that holds any value.
+Range = tuple[float, float] | None  # None: the whole column
 
-    Runs a job; what comes back is two numbers per column and prob.
+
+def _read(df: DataFrame, pieces: list[tuple[str, Range]]) -> dict[tuple[str, Range], tuple[int, int, list[float]]]:
+    """Per range: rows inside, rows below, and its values at every step of rank.
+
+    One job; a few hundred numbers per range come back.
     """
-    fields = []
-    for i in range(len(names)):
-        s = f"s{i}"
-        ends = []
-        for p in sorted(probs):
-            low, high = max(p - RANK_MARGIN, 0.0), min(p + RANK_MARGIN, 1.0)
-            for whole, rank in ((0.0, low), (1.0, high)):
-                ends.append(f"IF(kll_sketch_get_n_double({s}) < {SMALL}, {_at(s, whole)}, {_at(s, rank)})")
-        fields.append(f"named_struct('n', kll_sketch_get_n_double({s}), 'ends', array({', '.join(ends)})) AS e{i}")
-    row = _sketches(df, names).selectExpr(*fields).first()
-    return {
-        n: Bracket(e["n"], list(zip(e["ends"][0::2], e["ends"][1::2]))) for n, e in zip(names, row) if e["n"]
-    }
-
-
-def _cases(ends: list[tuple[float, float]], with_cells: bool) -> tuple[str, str]:
-    """Zone and cell of ``v``: both ascend with the value.
-
-    Odd zones are brackets, even zones lie between them.
+    inside, below = [], []
+    for name, ends in pieces:
+        v = as_double(df, name)
+        if ends is None:
+            inside.append(v)
+            below.append("count_if(false)")
+        else:
+            lo, hi = number(ends[0]), number(ends[1])
+            inside.append(f"IF({v} >= {lo} AND {v} <= {hi}, {v}, NULL)")
+            below.append(f"count_if({v} < {lo})")
+    steps = "array({})".format(", ".join(number(i / GRID) for i in range(GRID + 1)))
+    row = (
+        _merged(df, inside, below)
+        .selectExpr(
+            *[
+                f"named_struct('n', kll_sketch_get_n_double(s{i}), 'below', c{i}, 'at', "
+                f"IF(kll_sketch_get_n_double(s{i}) > 0, kll_sketch_get_quantile_double(s{i}, {steps}), NULL)) AS r{i}"
+                for i in range(len(pieces))
+            ]
+        )
+        .first()
+    )
+    return {piece: (r["n"], r["below"], r["at"]) for piece, r in zip(pieces, row)}
+
+
+def _narrowed(n_inside: int, below: int, at: list[float], rank: int) -> tuple[tuple[float, float], float]:
+    """The part of a range that holds a rank and the next, and about how many rows it holds."""
+    if n_inside <= SMALL:
+        return (at[0], at[-1]), n_inside
+    low = floor((max((rank - below) / n_inside - RANK_MARGIN, 0.0)) * GRID)
+    high = ceil((min((rank + 1 - below) / n_inside + RANK_MARGIN, 1.0)) * GRID)
+    low, high = max(min(low, GRID), 0), max(min(high, GRID), 0)
+    if at[low] == at[high]:
+        return (at[low], at[high]), 1  # one value, however many rows
+    return (at[low], at[high]), n_inside * (high - low) / GRID
+
+
+def brackets(df: DataFrame, names: list[str], probs: list[float]) -> Ranges:
+    """A bracket per column that holds any value, narrow enough to be put in order.
+
+    Runs one job, on very large tables a second and a third.
     """
-    zone, cell = [], []
-    for j, (lo, hi) in enumerate(ends):
-        inside = "0"
-        if 0 < hi - lo < float("inf"):
-            inside = f"CAST(least(floor((v - {number(lo)}) / {number(hi - lo)} * {CELLS}), {CELLS - 1}) AS INT)"
-        zone.append(f"WHEN v < {number(lo)} THEN {2 * j} WHEN v <= {number(hi)} THEN {2 * j + 1}")
-        cell.append(f"WHEN v < {number(lo)} THEN 0 WHEN v <= {number(hi)} THEN {inside}")
-    zone_sql = f"CASE {' '.join(zone)} ELSE {2 * len(ends)} END"
-    return zone_sql, (f"CASE {' '.join(cell)} ELSE 0 END" if with_cells else "0")
+    probs = sorted(float(p) for p in probs)
+    out: Ranges = {}
+    read = _read(df, [(n, None) for n in names])
+    for name in names:
+        n, _, at = read[name, None]
+        if n:
+            found = [_narrowed(n, 0, at, floor((n - 1) * p)) for p in probs]
+            out[name] = Bracket(n, [e for e, _ in found], [r for _, r in found])
+    while True:
+        wide = [
+            (name, j)
+            for name, b in out.items()
+            if sum(b.rows) > ORDERED_ROWS
+            for j, rows in enumerate(b.rows)
+            if rows > SMALL
+        ]
+        if not wide:
+            return out
+        read = _read(df, list(dict.fromkeys((name, out[name].ends[j]) for name, j in wide)))
+        progress = False
+        for name, j in wide:
+            b = out[name]
+            n_inside, below, at = read[name, b.ends[j]]
+            ends, rows = _narrowed(n_inside, below, at, floor((b.n - 1) * probs[j]))
+            progress |= rows < b.rows[j]
+            b.ends[j], b.rows[j] = ends, rows
+        if not progress:
+            return out
+
+
+def _zone(ends: list[tuple[float, float]]) -> str:
+    """Zone of ``v``, ascending with the value: odd zones are ranges, even zones lie between."""
+    # sorting low and high ends apart keeps the values they cover together
+    lows, highs = sorted(e[0] for e in ends), sorted(e[1] for e in ends)
+    cases = [
+        f"WHEN v < {number(lo)} THEN {2 * j} WHEN v <= {number(hi)} THEN {2 * j + 1}"
+        for j, (lo, hi) in enumerate(zip(lows, highs))
+    ]
+    return f"CASE {' '.join(cases)} ELSE {2 * len(ends)} END"
 
 
 def _exact_sql(df: DataFrame, names: list[str], probs: list[float], ranges: Ranges) -> str:
-    """The second scan as SQL over the view ``{source}``: ``(column, prob, value)``.
+    """The last scan as SQL over the view ``{source}``: ``(column, prob, value)``.
 
     Each column is read by its own branch: a column store reads it once, and
     the branch compiles to a plain filter and a hash aggregate.
     """
     names = [n for n in names if n in ranges]
-    direct = max(ranges[n].ordered_rows() for n in names) <= ORDERED_ROWS
-    branches = []
-    for i, n in enumerate(names):
-        zone, cell = _cases(ranges[n].ends, not direct)
-        branches.append(
-            f"SELECT {i} AS idx, {zone} AS zone, {cell} AS cell, v "
-            f"FROM (SELECT {as_double(df, n)} AS v FROM {{source}} WHERE {has_value(df, n)})"
-        )
-
+    branches = [
+        f"SELECT {i} AS idx, {_zone(ranges[n].ends)} AS zone, v "
+        f"FROM (SELECT {as_double(df, n)} AS v FROM {{source}} WHERE {has_value(df, n)})"
+        for i, n in enumerate(names)
+    ]
     # the wanted ranks, low and high per prob, as literals per column position
     spots = [[(ranges[n].n - 1) * p for p in probs] for n in names]
-    ranks = [
-        "get(array({}), idx)".format(
-            ", ".join(f"{min(floor(spot[j]) + side, ranges[n].n - 1)}L" for n, spot in zip(names, spots))
-        )
-        for j in range(len(probs))
-        for side in (0, 1)
-    ]
-    counted = f"""counted AS (
-      SELECT idx, zone, cell, IF(zone % 2 = 1, v, NULL) AS v, count(*) AS n
-      FROM ({' UNION ALL '.join(branches)}) GROUP BY 1, 2, 3, 4
-    )"""
-    if direct:
-        hits = ", ".join(f"max(IF(upto - n <= {r} AND {r} < upto, v, NULL)) AS t{t}" for t, r in enumerate(ranks))
-        found = f"""
-        WITH {counted}, placed AS (
-          SELECT idx, v, n, sum(n) OVER (PARTITION BY idx ORDER BY zone, v) AS upto FROM counted
-        )
-        SELECT idx, {hits} FROM placed GROUP BY idx"""
-    else:
-        # cells: at most probs * (CELLS + 1) + 1 rows per column reach the window
-        # wanted: two rows per column and prob, so its broadcast is bounded
-        targets = ", ".join(f"named_struct('t', {t}, 'rank', {r})" for t, r in enumerate(ranks))
-        hits = ", ".join(f"max(IF(t = {t}, v, NULL)) AS t{t}" for t in range(len(ranks)))
-        found = f"""
-        WITH {counted}, cells AS (
-          SELECT idx, zone, cell, n, sum(n) OVER (PARTITION BY idx ORDER BY zone, cell) - n AS before
-          FROM (SELECT idx, zone, cell, sum(n) AS n FROM counted GROUP BY 1, 2, 3)
-        ), wanted AS (
-          SELECT * FROM (SELECT *, inline(array({targets})) FROM cells)
-          WHERE before <= rank AND rank < before + n
-        ), placed AS (
-          SELECT /*+ BROADCAST(w) */ c.idx, w.t, w.rank, c.v, c.n,
-                 w.before + sum(c.n) OVER (PARTITION BY c.idx, c.zone, c.cell, w.t ORDER BY c.v) AS upto
-          FROM counted c JOIN wanted w ON c.idx = w.idx AND c.zone = w.zone AND c.cell = w.cell
-        )
-        SELECT idx, {hits} FROM placed WHERE upto - n <= rank AND rank < upto GROUP BY idx"""
-
+    hits = []
+    for t in range(2 * len(probs)):
+        j, side = divmod(t, 2)
+        ranks = ", ".join(f"{min(floor(spot[j]) + side, ranges[n].n - 1)}L" for n, spot in zip(names, spots))
+        rank = f"get(array({ranks}), idx)"
+        hits.append(f"max(IF(upto - n <= {rank} AND {rank} < upto, v, NULL)) AS t{t}")
     entries = []
     for j, p in enumerate(probs):
         share = "get(array({}), idx)".format(", ".join(number(s[j] - floor(s[j])) for s in spots))
         a, b = f"t{2 * j}", f"t{2 * j + 1}"
         value = (
-            f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN CAST(raise_error('rank outside its bracket') AS DOUBLE) "
+            f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN CAST(raise_error('rank outside its range') AS DOUBLE) "
             f"WHEN {a} = {b} THEN {a} ELSE {a} + ({b} - {a}) * {share} END"
         )
         entries.append(f"named_struct('prob', {number(p)}, 'value', {value})")
-    return f"SELECT get({texts(names)}, idx) AS column, inline(array({', '.join(entries)})) FROM ({found})"
+    # a window takes the ranges of one column, about ORDERED_ROWS rows at most
+    return f"""
+    SELECT get({texts(names)}, idx) AS column, inline(array({', '.join(entries)}))
+    FROM (
+      SELECT idx, {', '.join(hits)}
+      FROM (
+        SELECT idx, v, n, sum(n) OVER (PARTITION BY idx ORDER BY zone, v) AS upto
+        FROM (
+          SELECT idx, zone, IF(zone % 2 = 1, v, NULL) AS v, count(*) AS n
+          FROM ({' UNION ALL '.join(branches)}) GROUP BY 1, 2, 3
+        )
+      ) GROUP BY idx
+    )"""
 
 
 def exact_quantiles(df: DataFrame, names: list[str], probs: list[float], ranges: Ranges | None = None) -> DataFrame:

@@ -35,24 +35,39 @@ def skewed(spark):
     ).cache()
 
 
-@pytest.mark.parametrize("limit", [0, Q.ORDERED_ROWS])
-def test_both_paths_match_pandas(skewed, monkeypatch, limit):
+@pytest.mark.parametrize("limit", [1, 5000, Q.ORDERED_ROWS])
+def test_narrowing_matches_pandas(skewed, monkeypatch, limit):
+    jobs = []
+    read = Q._read
+    monkeypatch.setattr(Q, "_read", lambda df, pieces: jobs.append(len(pieces)) or read(df, pieces))
     monkeypatch.setattr(Q, "ORDERED_ROWS", limit)
     want = skewed.toPandas().quantile(PROBS)
     got = values(skewed, skewed.columns)
     for c in skewed.columns:
         for p in PROBS:
             assert got[c, p] == pytest.approx(want.loc[p, c], rel=1e-12)
+    assert len(jobs) == 1 if limit == Q.ORDERED_ROWS else 2 <= len(jobs) <= 4
 
 
-def test_large_columns_take_the_cell_path(skewed):
-    few, many = Q.Bracket(1000, [(0.0, 1.0)]), Q.Bracket(10**12, [(0.0, 1.0)])
-    assert few.ordered_rows() <= Q.ORDERED_ROWS < many.ordered_rows()
+def test_ranges_end_up_small(skewed, monkeypatch):
+    monkeypatch.setattr(Q, "ORDERED_ROWS", 3000)
+    found = Q.brackets(skewed, ["falling", "heavy"], [0.25, 0.5, 0.75])
+    for name, b in found.items():
+        for lo, hi in b.ends:
+            assert skewed.where(f"{name} BETWEEN {lo}D AND {hi}D").select(name).distinct().count() <= Q.SMALL
 
 
-def test_wrong_bracket_raises(skewed):
-    wrong = {"falling": Q.Bracket(60000, [(1.0, 2.0)])}
-    with pytest.raises(Exception, match="rank outside its bracket"):
+def test_close_probs(skewed, monkeypatch):
+    monkeypatch.setattr(Q, "ORDERED_ROWS", 1)
+    probs = [0.5, 0.5001, 0.501, 0.51]
+    want = skewed.toPandas()["falling"].quantile(probs)
+    got = values(skewed, ["falling"], probs)
+    assert all(got["falling", p] == pytest.approx(want[p], rel=1e-12) for p in probs)
+
+
+def test_wrong_range_raises(skewed):
+    wrong = {"falling": Q.Bracket(60000, [(1.0, 2.0)], [1.0])}
+    with pytest.raises(Exception, match="rank outside its range"):
         Q.exact_quantiles(skewed, ["falling"], [0.5], wrong).collect()
 
 
