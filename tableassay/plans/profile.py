@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableassay.functions.schema import (
@@ -14,6 +14,7 @@ from tableassay.functions.schema import (
 )
 from tableassay.operators import calendar, distributions, relations, rules, stats
 from tableassay.operators.quantiles import QUARTERS, Ranges, brackets
+from tableassay.sources.auto import load_auto
 
 REPORT = "section string, column string, metric string, value double"
 
@@ -43,6 +44,21 @@ class Profile:
         self.datetime_columns = datetime_columns(df)
         self._ranges: Ranges | None = None
 
+    @classmethod
+    def load(
+        cls,
+        spark: SparkSession,
+        path: str,
+        table_name: str | None = None,
+        query: str | None = None,
+        order_by: str | list[str] | None = None,
+        exact: bool = True,
+        sample: float | None = None,
+        **options,
+    ) -> Profile:
+        """Read a file by its suffix and profile it; ``options`` go to the reader."""
+        return cls(load_auto(spark, path, table_name, query, **options), order_by, exact, sample)
+
     @property
     def ranges(self) -> Ranges | None:
         """Quartile brackets, found once and shared by all exact quartile users."""

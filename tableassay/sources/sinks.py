@@ -14,14 +14,17 @@ from tableassay.sources import sqlite
 _POSITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
-def add_row_key(df: DataFrame, order_by: str | list[str], name: str = "index") -> DataFrame:
+def add_row_key(
+    df: DataFrame, order_by: str | list[str], name: str = "index", partitions: int | None = None
+) -> DataFrame:
     """The table with a dense 0-based row number in the order of the key, first.
 
     Rows are range-partitioned and numbered within each partition; offsets come
     from one count per partition.  The ordered rows are staged as a table in
     the shared folder first: both steps must see the same partitions, also
     after a lost executor.  Ties in the key are spread by row hash and a random
-    number, so equal keys cannot gather in one partition.
+    number, so equal keys cannot gather in one partition.  ``partitions`` is
+    their number, by default that of shuffles.
     """
     spark = df.sparkSession
     keys = [F.col(quoted(c)) for c in ([order_by] if isinstance(order_by, str) else order_by)]
@@ -31,7 +34,7 @@ def add_row_key(df: DataFrame, order_by: str | list[str], name: str = "index") -
     )
     order = [*keys, F.col("_hash"), F.col("_tie")]
     numbered = (
-        ties.repartitionByRange(*order)
+        ties.repartitionByRange(*([partitions] if partitions else []), *order)
         .sortWithinPartitions(*order)
         .withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(_POSITION)})
         .drop("_hash", "_tie")

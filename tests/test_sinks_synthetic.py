@@ -8,7 +8,7 @@ from tableassay.sources import catalog, synthetic
 def test_row_key_is_dense_and_ordered(spark):
     # a third of the rows share one key, and copies exist
     df = spark.sql("SELECT IF(id % 3 = 0, 5, id % 1000) AS k, id % 2 AS v FROM range(20000)")
-    keyed = add_row_key(df, "k", "row_id")
+    keyed = add_row_key(df, "k", "row_id", partitions=13)
     assert keyed.columns == ["row_id", "k", "v"]
     got = [(r[0], r[1]) for r in keyed.orderBy("row_id").select("row_id", "k").collect()]
     assert [i for i, _ in got] == list(range(20000))
@@ -81,9 +81,10 @@ def test_relational(spark, gappy):
     assert [r["v"] for r in relational.sort_values(df, "v", descending=False).collect()] == [-3, 1, 2]
 
 
-def test_profile(spark, gappy):
+def test_profile(spark, gappy, sf_dir):
     with pytest.raises(ValueError):
         Profile(None)
+    assert Profile.load(spark, f"{sf_dir}/orders.parquet", order_by="o_orderkey").datetime_columns == ["o_orderdate"]
     p = Profile(gappy, order_by="id")
     steps = p.complete_analysis("id")
     assert "target_correlation" in steps and "target_correlation" not in p.complete_analysis("absent")

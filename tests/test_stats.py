@@ -74,6 +74,17 @@ def test_moments_keep_precision_far_from_zero(spark):
     assert stats.kurtosis(df).first()["kurtosis"] == pytest.approx(s.kurtosis(), rel=1e-7)
 
 
+def test_moments_off_centre(spark):
+    # heavy tail: the median is far below the mean
+    df = spark.range(2000).selectExpr("exp(id / 150D) AS x")
+    s = df.toPandas()["x"]
+    got = {r["stat"]: r["value"] for r in stats.statistical_summary(df).collect()}
+    assert got["mean"] == pytest.approx(s.mean(), rel=1e-12)
+    assert got["variance"] == pytest.approx(s.var(), rel=1e-10)
+    assert got["skewness"] == pytest.approx(s.skew(), rel=1e-9)
+    assert got["kurtosis"] == pytest.approx(s.kurtosis(), rel=1e-9)
+
+
 def test_no_numeric_columns(spark):
     df = spark.sql("SELECT 'a' AS t")
     for op in (stats.describe, stats.statistical_summary, stats.skewness, stats.moments):
