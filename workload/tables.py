@@ -73,9 +73,13 @@ def source(name: str) -> str:
 
 
 def stable(sql: str) -> str:
-    """Round off the last digits, so that the order of summation does not show."""
+    """Round off the last digits, so that the order of summation does not show.
+
+    Means of amounts in cents end after seven decimals at sf0.01; rounding any
+    shorter would meet exact halves.
+    """
     return (
-        f"(CASE WHEN abs({sql}) < 1e6 THEN round({sql}, 6) "
+        f"(CASE WHEN abs({sql}) < 1e3 THEN round({sql}, 9) WHEN abs({sql}) < 1e6 THEN round({sql}, 7) "
         f"WHEN abs({sql}) < 1e9 THEN round({sql}, 2) ELSE round({sql}, 0) END + 0.0)"
     )
 
