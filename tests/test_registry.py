@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+import workload.oracle
+import workload.queries
 from workload.check import compare, connect
 
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = workload.queries.queries(), workload.oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +17,7 @@ def con(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(entry.queries()) and set(STATEMENTS) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
