@@ -142,14 +142,14 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -
 
     The hash limit leaves a few times ``rows`` per language before they are ranked,
     however many rows a language has."""
-    spark = docs.sparkSession
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("lang-1")), F.lit(1 << 40))
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    limits = spark.createDataFrame([(k, int(min(1.0, 4 * rows / n) * (1 << 40))) for k, n in counts.items()], "lang string, most long")
-    few = learn.withColumn("draw", draw).join(limits, "lang").where("draw <= most")
+    # the limits are literals of the plan, so rows beyond them go at the scan, before any shuffle
+    limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, 4 * rows / n) * (1 << 40)))) for k, n in counts.items()])
+    few = learn.withColumn("draw", draw).where(F.col("draw") <= limit)
     first = Window.partitionBy("lang").orderBy("draw", F.length("text"), "text")
     few = few.select("lang", "draw", F.substring("text", 1, size).alias("text")).withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows)
     texts: dict[str, list[bytes]] = {}
