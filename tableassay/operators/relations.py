@@ -97,7 +97,9 @@ def _pair_correlations(df: DataFrame, names: list[str], tiles: list[list[tuple[i
         *[F.expr(f"max({c}hi) AS {c}hi") for c in "xy"],
     )
     cov, xx, yy = "(xy - x1 * y1 / n)", "(x2 - x1 * x1 / n)", "(y2 - y1 * y1 / n)"
-    r = f"greatest(-1D, least(1D, try_divide({cov}, sqrt({xx}) * sqrt({yy}))))"
+    # NaN compares above every number: it must not become a perfect correlation
+    r = f"greatest(-1D, least(1D, nullif(try_divide({cov}, sqrt({xx}) * sqrt({yy})), double('NaN'))))"
+    r = f"CASE WHEN isnan({cov}) OR isnan(sqrt({xx}) * sqrt({yy})) THEN NULL ELSE {r} END"
     return whole.selectExpr(
         "i", "j", f"CASE WHEN n = 0 OR xlo = xhi OR ylo = yhi THEN NULL WHEN i = j THEN 1D ELSE {r} END AS r"
     )

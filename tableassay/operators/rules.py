@@ -50,7 +50,7 @@ def _rule(rows: DataFrame, rule: str, metric: str, message: str) -> DataFrame:
 
 def highly_skewed(df: DataFrame, names: list[str] | None = None, limit: float = SKEW_LIMIT) -> DataFrame:
     """Numeric columns whose absolute skewness is above the limit, most skewed first."""
-    rows = skewness(df, names).where(f"abs(skewness) > {limit}D")
+    rows = skewness(df, names).where(f"NOT isnan(skewness) AND abs(skewness) > {limit}D")
     return _rule(rows, "highly_skewed", "abs(skewness)", text(ADVICE["highly_skewed"])).orderBy(
         F.desc("metric"), "column"
     )

@@ -10,6 +10,7 @@ from tableassay.functions.schema import (
     categorical_columns,
     datetime_columns,
     numeric_columns,
+    text,
     union_all,
 )
 from tableassay.operators import calendar, distributions, relations, rules, stats
@@ -222,7 +223,7 @@ def target_report(
         extra = relations.target_relation_rows(df, target)
     else:
         extra = distributions.proportions(df, target).selectExpr(
-            "'target' AS section", f"'{target}' AS column", "CAST(value AS STRING) AS metric", "pct AS value"
+            "'target' AS section", f"{text(target)} AS column", "CAST(value AS STRING) AS metric", "pct AS value"
         )
     return report.unionByName(extra)
 
