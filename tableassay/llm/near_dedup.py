@@ -8,10 +8,13 @@ small set borrows a filled one.
 
 1. Star round: a bucket's centre is its most frequently met member; each node is
    verified on full sets against the most popular centre it meets.
-2. Pairs that share a bucket but no component yet are generated, except those whose
-   sizes alone rule a link out. The Jaccard estimate, corrected for register
-   collisions, drops a pair only six standard deviations below the limit; the others
-   are verified on full sets.
+2. Pairs that share a bucket but no component yet are generated, except those that
+   cannot be linked: by their sizes, or, if both were verified against one centre, by how
+   they differ from it. Where A and B are the shingles in which two sets differ from the
+   centre, they differ from each other in |A| + |B| - 2 |A and B|; bit masks of A and B
+   bound the last term from above, so the bound drops no link. The Jaccard estimate,
+   corrected for register collisions, drops a pair only six standard deviations below
+   the limit; the others are verified on full sets.
 
 All pairs within one component are thus never formed, and no bucket is capped. At a
 similarity of 0.8 two sets miss all 96 bands of 9 registers with probability about 1e-6.
@@ -28,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableassay.llm.shared import staged
@@ -190,6 +193,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+#: Longs of a mask of differing shingles.
+MASKS = 8
+_MASK = [f"m{i}" for i in range(MASKS)]
+
+
+def mask(apart: np.ndarray) -> np.ndarray:
+    """Bits of the shingle hashes, by their top."""
+    bit = apart >> U(64 - (MASKS * 64 - 1).bit_length())
+    out = np.zeros(MASKS, np.uint64)
+    np.bitwise_or.at(out, (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    return out.view(np.int64)
+
+
+def _measured(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, its centre b, whether they are linked, in how many shingles they differ, their mask."""
+    both = star.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+
+    def run(batches):
+        for batch in batches:
+            linked, differ, masks = [], [], np.zeros((batch.num_rows, MASKS), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                apart = np.setxor1d(x, y, assume_unique=True)
+                linked.append((100 - percent) * (len(x) + len(y)) >= (100 + percent) * len(apart))
+                differ.append(len(apart))
+                masks[i] = mask(apart)
+            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(differ, pa.int64()), *(pa.array(m) for m in masks.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "differ", *_MASK])
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean, differ long, " + ", ".join(f"{m} long" for m in _MASK))
+
+
+def _possible(percent: int) -> Column:
+    """Whether sides x and y of a bucket, n and differ known, may be linked."""
+
+    def alone(one: str, other: str) -> Column:
+        left = sum((F.bit_count(F.col(f"{one}.{m}").bitwiseAND(F.bitwise_not(f"{other}.{m}"))) for m in _MASK), F.lit(0))
+        return F.col(f"{one}.differ") - left
+
+    total = F.col("x.n") + F.col("y.n")
+    apart = F.col("x.differ") + F.col("y.differ") - 2 * F.least(alone("x", "y"), alone("y", "x"))
+    sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    near = (F.col("x.centre") != F.col("y.centre")) | ((100 + percent) * apart <= (100 - percent) * total)
+    tried = (F.col("x.centre") == F.col("y.node")) | (F.col("y.centre") == F.col("x.node"))
+    return sizes & ~tried & near
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) of every node with a link.
 
@@ -230,22 +280,20 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     star = staged(star, "near-star")
 
     sets = staged(_full_sets(docs, nodes, members.select("node").distinct(), k), "near-sets")
-    links = staged(_verified(star, sets, percent), "near-checked")
+    tried = staged(_measured(star, sets, percent), "near-checked")
+    links = tried.where("linked").select("a", "b")
     comp = components(links)
 
     labelled = members.join(comp, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     open_members = staged(labelled.join(mixed, "key"), "near-open")
-    groups = open_members.select("key", "comp").distinct()
-    # pairs of components that meet, then only members of different components
-    meet = groups.join(groups.select("key", F.col("comp").alias("other")), "key").where("comp < other")
-    left = open_members.select("key", "comp", F.col("node").alias("a"), F.col("n").alias("na"))
-    right = open_members.select("key", F.col("comp").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = meet.join(left, ["key", "comp"]).join(right, ["key", "other"])
-    pairs = pairs.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(_estimated(pairs.join(tried, ["a", "b"], "left_anti"), nodes, percent), sets, percent)
+    # a node without a centre is one, and does not differ from itself
+    own = tried.select(F.col("a").alias("node"), F.col("b").alias("centre"), "differ", *_MASK)
+    side = open_members.join(own, "node", "left").withColumn("centre", F.coalesce("centre", "node")).fillna(0, ["differ", *_MASK])
+    same_key = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))
+    pairs = side.alias("x").join(side.alias("y"), same_key & _possible(percent))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    more = _verified(_estimated(pairs, nodes, percent), sets, percent)
     more = staged(more, "near-checked")
     if more.limit(1).count():
         comp = components(links.union(more))
