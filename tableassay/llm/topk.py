@@ -56,16 +56,17 @@ class Lists:
             to = min(n, depth + step)
             at = np.arange(depth, to)[:, None]
             at = np.where(down, n - 1 - at, at)
-            new = np.unique(self.order[at, use]) if len(use) else np.arange(n)
-            new = new[~met[new]]
-            met[new] = True
+            fresh = np.zeros(n, bool) if len(use) else np.ones(n, bool)
+            fresh[self.order[at, use]] = True
+            new = np.flatnonzero(fresh & ~met)
+            met |= fresh
             score = self.values[new] @ query
             if len(new):
                 worst = top[0][-1] if len(top[0]) == k else -np.inf
                 keep = score >= worst
                 top = best(np.concatenate([top[0], score[keep]]), np.concatenate([top[1], self.ids[new[keep]]]), np.concatenate([top[2], self.rows[new[keep]]]), k)
             depth, step = to, step * 2
-            if not len(use) or depth >= n:
+            if met.all():
                 break
             bound = weight @ self.sorted[np.where(down, n - depth, depth - 1), use]
             if len(top[0]) == k and top[0][-1] > bound:

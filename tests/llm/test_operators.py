@@ -188,3 +188,43 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir):
         seen.append(out.count())
         docs = out if _ != "mix" else docs
     assert seen == sorted(seen, reverse=True) and seen[3] > 0.7 * seen[0]
+
+
+def test_near_duplicates_of_a_group_of_edited_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(400)]
+    base, rows = list(rng.choice(words, 120)), []
+    for i in range(300):
+        text = list(base)
+        for at in rng.choice(120, rng.integers(0, 9), replace=False):
+            text[at] = words[rng.integers(400)]
+        rows.append((i, " ".join(text)))
+    sets = []
+    for _, text in rows:
+        w = text.split()
+        sets.append({tuple(w[j : j + 4]) for j in range(len(w) - 3)})
+    label = list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in range(len(rows))} and len(set(got.values())) > 5
+
+
+def test_bound_of_two_sets_never_exceeds_their_distance():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 64, 600, dtype=np.uint64)
+    bits = lambda m: sum(bin(int(x) & (2**64 - 1)).count("1") for x in m)
+    for size in (1, 40, 500):
+        a, b = (np.unique(rng.choice(hashes, size)) for _ in range(2))
+        ma, mb = near_dedup.mask(a), near_dedup.mask(b)
+        shared = min(len(a) - bits(ma & ~mb), len(b) - bits(mb & ~ma))
+        assert shared >= len(np.intersect1d(a, b))
