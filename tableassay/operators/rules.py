@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,12 @@ from tableassay.operators.stats import distinct_counts, skewness
 RULE = "rule string, column string, metric double, message string"
 NUMBERED = "number int, rule string, message string"
 
-# Thresholds (all strict) and sample sizes of the rules.
+Keys = str | list[str] | None
+
+# Thresholds (all strict) of the rules.
 SKEW_LIMIT = 1.0
 CARDINALITY_LIMIT = 0.5
 MISSING_LIMIT = 0.5
-DATE_SAMPLE = 10
-MIXED_SAMPLE = 100
 
 # The advice given by each rule, word for word.
 ADVICE = {
@@ -74,57 +76,46 @@ def _first_values(df: DataFrame, name: str, order_by: list[str], k: int) -> Data
     return df.where(has_value(df, name)).orderBy(*keys).limit(k).selectExpr(f"{quoted(name)} AS v")
 
 
-def _keys(order_by: str | list[str]) -> list[str]:
-    return [order_by] if isinstance(order_by, str) else list(order_by)
+def _hits(df: DataFrame, names: list[str], test: Callable[[str], str], order_by: Keys, first: int | None) -> DataFrame:
+    """``(column, n, hits)``: values and those that pass ``test``, of whole columns in one
+    aggregate, or of the ``first`` values by the key."""
+    if first is None:
+        row = df.agg(
+            *[F.expr(f"count({quoted(n)}) AS n{i}") for i, n in enumerate(names)],
+            *[F.expr(f"count_if({test(quoted(n))}) AS c{i}") for i, n in enumerate(names)],
+        )
+        at = range(len(names))
+        return inline_columns(row, names, {"n": [f"n{i}" for i in at], "hits": [f"c{i}" for i in at]})
+    if not order_by:
+        raise ValueError("the first values of a table need a key: give order_by")
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    counts = [F.expr("count(v) AS n"), F.expr(f"count_if({test('v')}) AS hits")]
+    return union_all([_first_values(df, n, keys, first).agg(F.expr(f"{text(n)} AS column"), *counts) for n in names])
 
 
 def date_candidates(
-    df: DataFrame, order_by: str | list[str], names: list[str] | None = None, full_scan: bool = False
+    df: DataFrame, order_by: Keys = None, names: list[str] | None = None, first: int | None = None
 ) -> DataFrame:
-    """Text columns whose first values look like dates; metric is how many do."""
+    """Text columns of which some values look like dates; metric is how many do.
+
+    Whole columns, or the ``first`` values by ``order_by``."""
     names = categorical_columns(df) if names is None else names
     if not names:
         return empty(df, RULE)
-    if full_scan:
-        row = df.agg(*[F.expr(f"count_if({looks_like_date(quoted(n))}) AS c{i}") for i, n in enumerate(names)])
-        rows = inline_columns(row, names, {"hits": [f"c{i}" for i in range(len(names))]})
-    else:
-        rows = union_all(
-            [
-                _first_values(df, n, _keys(order_by), DATE_SAMPLE).agg(
-                    F.expr(f"{text(n)} AS column"), F.expr(f"count_if({looks_like_date('v')}) AS hits")
-                )
-                for n in names
-            ]
-        )
+    rows = _hits(df, names, looks_like_date, order_by, first)
     return _rule(rows.where("hits > 0"), "date_candidates", "hits", text(ADVICE["date_candidates"]))
 
 
 def mixed_types(
-    df: DataFrame, order_by: str | list[str], names: list[str] | None = None, full_scan: bool = False
+    df: DataFrame, order_by: Keys = None, names: list[str] | None = None, first: int | None = None
 ) -> DataFrame:
-    """Text columns of which some, not all, first values read as numbers."""
+    """Text columns of which some, not all, values read as numbers.
+
+    Whole columns, or the ``first`` values by ``order_by``."""
     names = categorical_columns(df) if names is None else names
     if not names:
         return empty(df, RULE)
-    if full_scan:
-        row = df.agg(
-            *[F.expr(f"count({quoted(n)}) AS n{i}") for i, n in enumerate(names)],
-            *[F.expr(f"count_if({is_number_text(quoted(n))}) AS c{i}") for i, n in enumerate(names)],
-        )
-        at = range(len(names))
-        rows = inline_columns(row, names, {"n": [f"n{i}" for i in at], "hits": [f"c{i}" for i in at]})
-    else:
-        rows = union_all(
-            [
-                _first_values(df, n, _keys(order_by), MIXED_SAMPLE).agg(
-                    F.expr(f"{text(n)} AS column"),
-                    F.expr("count(v) AS n"),
-                    F.expr(f"count_if({is_number_text('v')}) AS hits"),
-                )
-                for n in names
-            ]
-        )
+    rows = _hits(df, names, is_number_text, order_by, first)
     message = "concat({}, column)".format(text(MIXED.format("")))
     return _rule(rows.where("hits > 0 AND hits < n"), "mixed_types", "hits", message)
 
@@ -133,11 +124,13 @@ def duplicate_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """``(duplicates, duplicate_pct)``: rows equal to an earlier one; missing equals missing.
 
     Copies combine before the shuffle, so a row that fills a third of the table
-    crosses the network once per task; long texts travel as digests.
+    crosses the network once per task; long texts and nested values travel as
+    digests, nested ones of their JSON form.
     """
-    names = flat_columns(df) if names is None else names
-    nested = [n for n in df.columns if n not in flat_columns(df) and n in names]
-    keys = [F.expr(f"{identity(df, n)} AS k{i}") for i, n in enumerate(names) if n not in nested]
+    names = df.columns if names is None else names
+    flat = set(flat_columns(df))
+    nested = "sha2(to_json(struct({}), map('ignoreNullFields', 'false')), 256)"
+    keys = [F.expr(f"{identity(df, n) if n in flat else nested.format(quoted(n))} AS k{i}") for i, n in enumerate(names)]
     if not keys:
         return empty(df, "duplicates bigint, duplicate_pct double")
     groups = df.groupBy(*keys).agg(F.expr("count(1) AS n"))
@@ -188,9 +181,9 @@ def _numbered(rows: list[DataFrame]) -> DataFrame:
     ).orderBy("number")
 
 
-def feature_insights(df: DataFrame, order_by: str | list[str]) -> DataFrame:
+def feature_insights(df: DataFrame) -> DataFrame:
     """``(number, rule, message)``: one piece of advice per rule that fires."""
-    fired = [highly_skewed(df), high_cardinality(df), date_candidates(df, order_by)]
+    fired = [highly_skewed(df), high_cardinality(df), date_candidates(df)]
     rows = [r.select("rule", "message").distinct() for r in fired]
     if len(numeric_columns(df)) >= 2:
         fixed = [(k, ADVICE[k]) for k in ("ratio_features", "polynomial_features")]
@@ -200,7 +193,7 @@ def feature_insights(df: DataFrame, order_by: str | list[str]) -> DataFrame:
     return _numbered(rows)
 
 
-def quality_issues(df: DataFrame, order_by: str | list[str]) -> DataFrame:
+def quality_issues(df: DataFrame) -> DataFrame:
     """``(number, rule, message)``: duplicates, constant, missing, mixed."""
     duplicates = duplicate_rows(df).where("duplicates > 0")
     before, after = DUPLICATES.split("{}")
@@ -222,6 +215,6 @@ def quality_issues(df: DataFrame, order_by: str | list[str]) -> DataFrame:
             ),
             listed,
             high_missing(df).select("rule", "message").distinct(),
-            mixed_types(df, order_by).select("rule", "message"),
+            mixed_types(df).select("rule", "message"),
         ]
     )

@@ -23,22 +23,17 @@ REPORT = "section string, column string, metric string, value double"
 class Profile:
     """One table and its analyses; every method returns a DataFrame.
 
-    ``order_by`` names the key that stands for row order, which the rules on
-    "first values" need.  ``exact=False`` takes quartiles and distinct counts
-    from sketches.  ``sample`` profiles a random share of the rows.
+    ``exact=False`` takes quartiles and distinct counts from sketches.
     """
 
     def __init__(
         self,
         df: DataFrame | None,
-        order_by: str | list[str] | None = None,
         exact: bool = True,
-        sample: float | None = None,
     ):
         if df is None:
             raise ValueError("no data: load a table first")
-        self.data = df.sample(sample, seed=0) if sample else df
-        self.order_by = order_by or df.columns[0]
+        self.data = df
         self.exact = exact
         self.numeric_columns = numeric_columns(df)
         self.categorical_columns = categorical_columns(df)
@@ -52,13 +47,11 @@ class Profile:
         path: str,
         table_name: str | None = None,
         query: str | None = None,
-        order_by: str | list[str] | None = None,
         exact: bool = True,
-        sample: float | None = None,
         **options,
     ) -> Profile:
         """Read a file by its suffix and profile it; ``options`` go to the reader."""
-        return cls(load_auto(spark, path, table_name, query, **options), order_by, exact, sample)
+        return cls(load_auto(spark, path, table_name, query, **options), exact)
 
     @property
     def ranges(self) -> Ranges | None:
@@ -85,7 +78,7 @@ class Profile:
             "null_pattern": distributions.null_pattern(self.data),
         }
 
-    def numeric_distributions(self, kde_bins: int | None = 4096) -> dict[str, DataFrame]:
+    def numeric_distributions(self, kde_bins: int | None = None) -> dict[str, DataFrame]:
         return {
             "histogram_density": distributions.histogram_density(self.data),
             "kde": distributions.kde(self.data, bins=kde_bins),
@@ -107,10 +100,10 @@ class Profile:
         return distributions.box_stats(self.data, exact=self.exact, ranges=self.ranges)
 
     def feature_insights(self) -> DataFrame:
-        return rules.feature_insights(self.data, self.order_by)
+        return rules.feature_insights(self.data)
 
     def quality_issues(self) -> DataFrame:
-        return rules.quality_issues(self.data, self.order_by)
+        return rules.quality_issues(self.data)
 
     def time_series_analysis(self) -> dict[str, DataFrame]:
         return {
@@ -149,12 +142,15 @@ def target_analysis(
     return out
 
 
-def complete_analysis(profile: Profile, target: str | None = None, persist: bool = False) -> dict[str, DataFrame]:
+def complete_analysis(
+    profile: Profile, target: str | None = None, persist: bool = False, kde_bins: int | None = None
+) -> dict[str, DataFrame]:
     """The ten steps in order, as lazy tables by name.
 
     Most steps read few columns of a column store, so by default each scans
     what it needs.  ``persist`` keeps the input for sources that are slow to
-    read; the caller unpersists ``profile.data``.
+    read; the caller unpersists ``profile.data``.  ``kde_bins`` trades exact
+    densities for counts per bin.
     """
     if persist:
         profile.data = profile.data.persist(StorageLevel.DISK_ONLY)
@@ -162,7 +158,7 @@ def complete_analysis(profile: Profile, target: str | None = None, persist: bool
         "basic_info": profile.basic_info(),
         "statistical_summary": profile.statistical_summary(),
         **profile.missing_values(),
-        **profile.numeric_distributions(),
+        **profile.numeric_distributions(kde_bins),
         "value_counts_topn": profile.categorical_distributions(),
         **profile.correlation_analysis(),
         "outlier_detection": profile.outlier_detection(),

@@ -121,9 +121,12 @@ def read_csv(
     Null tokens are removed before types are inferred, so a number column with
     ``NA`` cells stays a number column.  Dates stay text unless ``infer_dates``.
     Pass ``schema`` in production jobs: it saves the inference scan.
+    A file whose header differs from the first one's raises.
     Quoted line breaks need ``multiLine=True``, which makes files unsplittable.
     """
     settings = {"sep": sep, "header": header, "escape": '"', "inferSchema": False, "emptyValue": "", **options}
+    if header and schema is None:
+        settings.setdefault("enforceSchema", False)
     reader = spark.read.options(**settings)
     if schema is not None:
         typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -148,13 +151,19 @@ def read_json(
     path: str | list[str],
     schema: str | T.StructType | None = None,
     *,
-    lines: bool = False,
+    lines: bool | None = None,
     **options,
 ) -> DataFrame:
-    """JSON records: an array per file, or one record per line with ``lines=True``.
+    """JSON records: one per line, or an array per file.
 
-    Only the line form splits within a file.  Malformed input raises.
+    Unless ``lines`` tells the form, a first line that is a whole object means one
+    record per line; all files have one form.  Only the line form splits within a
+    file.  Malformed input raises.
     """
+    if lines is None:
+        filled = spark.read.text(path).where(r"value RLIKE '\\S'")
+        first = filled.selectExpr(r"value RLIKE '^\\s*\\{' AND try_parse_json(value) IS NOT NULL AS whole").head()
+        lines = first is not None and first["whole"]
     reader = spark.read.options(**{"multiLine": not lines, "mode": "FAILFAST", **options})
     if schema is not None:
         reader = reader.schema(schema)

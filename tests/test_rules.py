@@ -27,24 +27,29 @@ def test_feature_rules(table):
     assert set(names(U.high_cardinality(table))) == {"name", "mix", "digits"}
 
 
-def test_dates_look_at_the_first_values(table, spark):
-    assert names(U.date_candidates(table, "id")) == ["early"]
-    assert set(names(U.date_candidates(table, "id", full_scan=True))) == {"early", "late"}
+def test_dates_look_at_whole_columns_or_first_values(table, spark):
+    assert names(U.date_candidates(table, "id", first=10)) == ["early"]
+    assert set(names(U.date_candidates(table))) == {"early", "late"}
     weak = spark.sql("SELECT 1 AS k, '1-URGENT' AS a, '12:30:00' AS b, '2024/01/01' AS c, '20240101' AS d, '2024-1-1 ' AS e")
-    assert names(U.date_candidates(weak, "k")) == ["a", "b", "c"]
+    assert names(U.date_candidates(weak)) == ["a", "b", "c"]
 
 
 def test_mixed_types(table, spark):
-    assert names(U.mixed_types(table, "id")) == ["mix"]
+    assert names(U.mixed_types(table)) == ["mix"]
     rows = [" 12 ", "1e5", "inf", "-.5", "7."]
     not_numbers = ["1d", "1f", "NaN", "1,000", "0x10", ""]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "k int, v string")
-    assert names(U.mixed_types(df, "k")) == []
+    assert names(U.mixed_types(df)) == []
     for text in not_numbers:
         more = spark.createDataFrame([(0, "5"), (1, text)], "k int, v string")
-        assert names(U.mixed_types(more, "k")) == ["v"], text
+        assert names(U.mixed_types(more)) == ["v"], text
     late = spark.sql("SELECT id, IF(id < 100, 'word', '5') AS v FROM range(200)")
-    assert names(U.mixed_types(late, "id")) == [] and names(U.mixed_types(late, "id", full_scan=True)) == ["v"]
+    assert names(U.mixed_types(late, "id", first=100)) == [] and names(U.mixed_types(late)) == ["v"]
+
+
+def test_first_values_need_a_key(table):
+    with pytest.raises(ValueError, match="order_by"):
+        U.date_candidates(table, first=10)
 
 
 def test_constant_and_missing(table):
@@ -70,25 +75,31 @@ def test_duplicates(spark, gappy):
 
 
 def test_insights_in_rule_order(table):
-    got = [(r["number"], r["rule"]) for r in U.feature_insights(table, "id").collect()]
+    got = [(r["number"], r["rule"]) for r in U.feature_insights(table).collect()]
     assert got == list(
         enumerate(["highly_skewed", "high_cardinality", "date_candidates", "ratio_features", "polynomial_features"], 1)
     )
     plain = table.select("even", "grp")
-    assert U.feature_insights(plain, "even").count() == 0
+    assert U.feature_insights(plain).count() == 0
 
 
 def test_quality_issues_in_rule_order(table):
-    got = [r["message"] for r in U.quality_issues(table.unionAll(table.limit(2)), "id").collect()]
+    got = [r["message"] for r in U.quality_issues(table.unionAll(table.limit(2))).collect()]
     assert got == [
         "Remove 2 duplicate rows",
         "Consider removing constant columns: ['half', 'one', 'nothing']",
         "Consider dropping or imputing high missing columns",
         "Review mixed data types in column: mix",
     ]
-    assert U.quality_issues(table.select("id", "name"), "id").count() == 0
+    assert U.quality_issues(table.select("id", "name")).count() == 0
 
 
 def test_first_values_need_no_full_sort(table):
-    plan = U.mixed_types(table, "id")._jdf.queryExecution().executedPlan().toString()
+    plan = U.mixed_types(table, "id", first=100)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Sort [" not in plan
+
+
+def test_duplicate_rows_compare_nested_columns(spark):
+    df = spark.sql("SELECT 1 AS a, array(id % 4) AS v, struct(id % 4 AS x, CAST(NULL AS INT) AS y) AS s FROM range(5)")
+    assert U.duplicate_rows(df).first()["duplicates"] == 1
+    assert U.duplicate_rows(df.select("v")).first()["duplicates"] == 1

@@ -84,8 +84,8 @@ def test_relational(spark, gappy):
 def test_profile(spark, gappy, sf_dir):
     with pytest.raises(ValueError):
         Profile(None)
-    assert Profile.load(spark, f"{sf_dir}/orders.parquet", order_by="o_orderkey").datetime_columns == ["o_orderdate"]
-    p = Profile(gappy, order_by="id")
+    assert Profile.load(spark, f"{sf_dir}/orders.parquet").datetime_columns == ["o_orderdate"]
+    p = Profile(gappy)
     steps = p.complete_analysis("id")
     assert "target_correlation" in steps and "target_correlation" not in p.complete_analysis("absent")
     for name, df in steps.items():
@@ -96,7 +96,7 @@ def test_profile(spark, gappy, sf_dir):
     assert sections == {"overview", "missing", "variables", "statistics", "histogram", "frequent", "correlation"}
     assert p.target_report("absent").count() == report.count()
     assert p.target_report("flag").where("section = 'target'").count() == 2
-    assert Profile(gappy, "id", exact=False).statistical_summary().count() == 55
+    assert Profile(gappy, exact=False).statistical_summary().count() == 55
 
 
 def test_profile_without_numbers(spark):

@@ -237,3 +237,29 @@ def test_filters_and_columns_reach_parquet(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,49.0)" in plan and "l_comment" not in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_json_form_is_found(spark, tmp_path):
+    from tableassay.sources.auto import load_auto
+    from tableassay.sources.files import read_json
+
+    texts = {
+        "lines": '{"a": 1}\n{"a": 2}\n\n{"a": 3}\n',
+        "array": '[{"a": 1},\n {"a": 2}, {"a": 3}]',
+        "pretty": '\n{\n "a": 1\n}\n',
+        "one": '{"a": 1}',
+    }
+    for name, text in texts.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(text)
+        assert sorted(r["a"] for r in load_auto(spark, str(path)).collect()) == ([1, 2, 3] if name in ("lines", "array") else [1]), name
+        assert read_json(spark, str(path)).columns == ["a"]
+
+
+def test_csv_headers_that_differ_raise(spark, tmp_path):
+    from tableassay.sources.files import read_csv
+
+    (tmp_path / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "2.csv").write_text("b,a\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, [str(tmp_path / "1.csv"), str(tmp_path / "2.csv")], infer_dates=False).collect()

@@ -240,25 +240,24 @@ def cardinality(table: str, names: list[str]) -> str:
     FROM ({rows}) WHERE s > 0.5"""
 
 
-def first_values(table: str, name: str, key: str, k: int | None) -> str:
-    limit = f"ORDER BY {key} LIMIT {k}" if k else ""
-    return f"(SELECT {name} AS v FROM {source(table)} WHERE {name} IS NOT NULL {limit})"
+def values_of(table: str, name: str) -> str:
+    return f"(SELECT {name} AS v FROM {source(table)} WHERE {name} IS NOT NULL)"
 
 
-def dates(table: str, names: list[str], key: str, k: int | None) -> str:
+def dates(table: str, names: list[str]) -> str:
     rows = union(
         f"SELECT '{n}' AS c, count(*) FILTER (WHERE length(v) IN (8, 10, 19) AND regexp_matches(v, '[-/:]')) AS s "
-        f"FROM {first_values(table, n, key, k)}"
+        f"FROM {values_of(table, n)}"
         for n in names
     )
     return f"""SELECT 'date_candidates' AS rule, c AS "column", s::DOUBLE AS metric, '{DATES}' AS message
     FROM ({rows}) WHERE s > 0"""
 
 
-def mixed(table: str, names: list[str], key: str, k: int | None) -> str:
+def mixed(table: str, names: list[str]) -> str:
     number = "TRY_CAST(v AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST(v AS DOUBLE))"
     rows = union(
-        f"SELECT '{n}' AS c, count(*) AS n, count(*) FILTER (WHERE {number}) AS s FROM {first_values(table, n, key, k)}"
+        f"SELECT '{n}' AS c, count(*) AS n, count(*) FILTER (WHERE {number}) AS s FROM {values_of(table, n)}"
         for n in names
     )
     return f"""SELECT 'mixed_types' AS rule, c AS "column", s::DOUBLE AS metric,
@@ -361,7 +360,7 @@ def complete() -> str:
                 [
                     skewed("events", numbers),
                     cardinality("events", ["event_type", "props"]),
-                    dates("events", ["event_type", "props"], "event_id", 10),
+                    dates("events", ["event_type", "props"]),
                     f"SELECT 'ratio_features' AS rule, '{RATIO}' AS message",
                     f"SELECT 'polynomial_features' AS rule, '{POLY}' AS message",
                 ]
@@ -373,7 +372,7 @@ def complete() -> str:
                     f"SELECT 'd' AS rule, 'd' AS message FROM ({duplicates('events', list(EVENTS))}) WHERE duplicates > 0",
                     f"SELECT 'c' AS rule, 'c' AS message FROM ({constants('events', list(EVENTS))})",
                     gaps("events", list(EVENTS)),
-                    mixed("events", ["event_type", "props"], "event_id", 100),
+                    mixed("events", ["event_type", "props"]),
                 ]
             )
         ),
@@ -486,20 +485,20 @@ def oracle_sql() -> dict[str, str]:
         "target_top_features": correlation_with("priced", "revenue", [*PRICED_KEY, *PRICED[:3]], 4),
         "highly_skewed": skewed("labelled", ["doc_id", "n_chars", "quality", "toxic"]),
         "high_cardinality": cardinality("documents", ["text", "lang", "source"]),
-        "date_candidates": dates("dated", ["o_orderstatus", "o_orderpriority", "day_text"], "o_orderkey", 10),
-        "date_candidates_full": dates("dated", ["o_orderstatus", "o_orderpriority", "day_text"], "o_orderkey", None),
+        "date_candidates": dates("dated", ["o_orderstatus", "o_orderpriority", "day_text"]),
+        "date_candidates_full": dates("dated", ["o_orderstatus", "o_orderpriority", "day_text"]),
         "feature_insights": numbered(
             [
                 skewed("dated", ["o_orderkey"]),
                 cardinality("dated", ["o_orderstatus", "o_orderpriority", "day_text"]),
-                dates("dated", ["o_orderstatus", "o_orderpriority", "day_text"], "o_orderkey", 10),
+                dates("dated", ["o_orderstatus", "o_orderpriority", "day_text"]),
             ]
         ),
         "duplicate_rows": f"SELECT duplicates, {stable('pct')}::DOUBLE AS duplicate_pct FROM ({duplicates('documents', ['text'])})",
         "constant_columns": constants("messy", messy),
         "high_missing": gaps("labelled", LABELLED),
-        "mixed_types": mixed("messy", ["c_mktsegment", "same", "code"], "c_custkey", 100),
-        "mixed_types_full": mixed("messy", ["c_mktsegment", "same", "code"], "c_custkey", None),
+        "mixed_types": mixed("messy", ["c_mktsegment", "same", "code"]),
+        "mixed_types_full": mixed("messy", ["c_mktsegment", "same", "code"]),
         "quality_issues": numbered(
             [
                 "SELECT 'duplicate_rows' AS rule, 'Remove ' || duplicates || ' duplicate rows' AS message "
@@ -507,7 +506,7 @@ def oracle_sql() -> dict[str, str]:
                 "SELECT 'constant_columns' AS rule, 'Consider removing constant columns: [''same'', ''nothing'']' AS message "
                 f"FROM (SELECT count(*) AS n FROM ({constants('messy', messy)})) WHERE n = 2",
                 gaps("messy", messy),
-                mixed("messy", ["c_mktsegment", "same", "code"], "c_custkey", 100),
+                mixed("messy", ["c_mktsegment", "same", "code"]),
             ]
         ),
         "date_range": """SELECT 'ts' AS "column", min(ts) AS first, max(ts) AS last,

@@ -151,7 +151,7 @@ def _as_rows(spark, tables: dict[str, DataFrame]) -> DataFrame:
 
 def complete_analysis(spark, sf):
     """Rows of every table of the ten steps."""
-    profile = Profile(load(spark, sf, "events"), order_by="event_id")
+    profile = Profile(load(spark, sf, "events"))
     return _as_rows(spark, profile.complete_analysis("value"))
 
 
@@ -341,15 +341,15 @@ def queries() -> dict[str, Query]:
         # rules
         "highly_skewed": _on("labelled", rules.highly_skewed, "metric"),
         "high_cardinality": _on("documents", rules.high_cardinality, "metric"),
-        "date_candidates": _on("dated", lambda d: rules.date_candidates(d, "o_orderkey")),
-        "date_candidates_full": _on("dated", lambda d: rules.date_candidates(d, "o_orderkey", full_scan=True)),
-        "feature_insights": _on("dated", lambda d: rules.feature_insights(d, "o_orderkey")),
+        "date_candidates": _on("dated", lambda d: rules.date_candidates(d)),
+        "date_candidates_full": _on("dated", lambda d: rules.date_candidates(d)),
+        "feature_insights": _on("dated", lambda d: rules.feature_insights(d)),
         "duplicate_rows": _on("documents", lambda d: rules.duplicate_rows(d, ["text"]), "duplicate_pct"),
         "constant_columns": _on("messy", rules.constant_columns),
         "high_missing": _on("labelled", rules.high_missing, "metric"),
-        "mixed_types": _on("messy", lambda d: rules.mixed_types(d, "c_custkey")),
-        "mixed_types_full": _on("messy", lambda d: rules.mixed_types(d, "c_custkey", full_scan=True)),
-        "quality_issues": _on("messy", lambda d: rules.quality_issues(d, "c_custkey")),
+        "mixed_types": _on("messy", lambda d: rules.mixed_types(d)),
+        "mixed_types_full": _on("messy", lambda d: rules.mixed_types(d)),
+        "quality_issues": _on("messy", lambda d: rules.quality_issues(d)),
         # dates
         "date_range": _on("events", calendar.date_range),
         "calendar_features": _on("events", lambda d: calendar.calendar_features(d.select("event_id", "ts"), "ts")),
