@@ -6,7 +6,8 @@ window (the last of equals) is a fingerprint. Any run of ``words`` words or more
 two places share holds a whole window, so both places select the same line in it.
 
 Each fingerprint is joined with its first position in the corpus, by doc_id and then
-text. From there the match is extended line by line both ways; a run that reaches
+text. From there the match is extended both ways, by binary search over hashes of runs
+of lines, so that texts with very many equal lines stay cheap; a run that reaches
 ``words`` words is deleted at the later position. A line is only ever deleted where
 an equal line stands earlier, so no content is lost.
 
@@ -17,12 +18,14 @@ blank lines count no words but belong to runs; columns that clash are replaced.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableassay.llm.shared import staged
+from tableassay.llm.shared import aside, staged
 from tableassay.llm.tokens import Words, mix, pieces, span_hashes, text_bytes
 
 WORDS = 50
@@ -30,17 +33,24 @@ WORDS = 50
 
 def fingerprints(hashes: np.ndarray, words: np.ndarray, least: int) -> list[int]:
     """Lines that are the minimum of some window; the last of equal minima."""
-    n, end, total, out = len(hashes), 0, 0, set()
-    rank = mix(hashes.view(np.uint64))
+    rank, count = mix(hashes.view(np.uint64)).tolist(), words.tolist()
+    n, end, total, out = len(rank), 0, 0, []
+    least_first = deque()
     for start in range(n):
         while end < n and total < least:
-            total += int(words[end])
+            while least_first and rank[least_first[-1]] >= rank[end]:
+                least_first.pop()
+            least_first.append(end)
+            total += count[end]
             end += 1
         if total < least:
             break
-        out.add(end - 1 - int(np.argmin(rank[start:end][::-1])))
-        total -= int(words[start])
-    return sorted(out)
+        if not out or out[-1] != least_first[0]:
+            out.append(least_first[0])
+        if least_first[0] == start:
+            least_first.popleft()
+        total -= count[start]
+    return out
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -80,32 +90,87 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return keyed.mapInArrow(run, f"row long, doc_id {kind}, draw long, lines array<long>, words array<int>, picked array<int>")
 
 
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def reach(own: np.ndarray, old: np.ndarray, here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """How many lines are equal from each ``here`` of own and ``there`` of old on: binary
+    search over hashes of runs, so that many matches in a long text cost little."""
+    most = max(len(own), len(old))
+    up, down = _powers(_BASE, most), _powers(_BACK, most)
+
+    def sums(lines):
+        total = np.zeros(len(lines) + 1, np.uint64)
+        np.cumsum(mix(lines.view(np.uint64)) * up[: len(lines)], out=total[1:])
+        return total
+
+    a, b = sums(own), sums(old)
+    low, high = np.zeros(len(here), np.int64), np.minimum(len(own) - here, len(old) - there)
+    while (low < high).any():
+        half = (low + high + 1) // 2
+        same = (a[here + half] - a[here]) * down[here] == (b[there + half] - b[there]) * down[there]
+        low, high = np.where(same, half, low), np.where(same, high, half - 1)
+    return low
+
+
+def repeated(own: np.ndarray, old: np.ndarray, words: np.ndarray, here: np.ndarray, there: np.ndarray, least: int) -> np.ndarray:
+    """Lines of ``own`` in runs of ``least`` words or more around matches with ``old``."""
+    n = len(own)
+    end = here + reach(own, old, here, there)
+    start = here - reach(own[::-1].copy(), old[::-1].copy(), n - here, len(old) - there)
+    before = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    long = before[end] - before[start] >= least
+    depth = np.bincount(start[long], minlength=n + 1) - np.bincount(end[long], minlength=n + 1)
+    return np.flatnonzero(np.cumsum(depth)[:n] > 0)
+
+
 def _runs(pairs: DataFrame, least: int) -> DataFrame:
-    """row and the line ranges [from, to) of ``lines`` that repeat in ``old`` around each match."""
+    """row and the line ranges [from, to) of ``lines`` that repeat in ``old``."""
 
     def run(batches):
         for batch in batches:
             rows, froms, tos = [], [], []
-            for r in batch.to_pylist():
-                own, old, words = r["lines"], r["old"], r["words"]
-                here, there = r["here"], r["there"]
-                a, b, n = here, here, len(own)
-                shift = there - here
-                while a and a + shift > 0 and own[a - 1] == old[a - 1 + shift]:
-                    a -= 1
-                while b < n and b + shift < len(old) and own[b] == old[b + shift]:
-                    b += 1
-                if sum(words[a:b]) >= least:
-                    rows.append(r["row"])
-                    froms.append(a)
-                    tos.append(b)
+            for i, row in enumerate(batch.column(0).to_pylist()):
+                own, words, old, here, there = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 6))
+                gone = repeated(own, old, words, here.astype(np.int64), there.astype(np.int64), least)
+                breaks = np.flatnonzero(np.diff(gone) > 1)
+                if len(gone):
+                    froms += gone[np.concatenate(([0], breaks + 1))].tolist()
+                    tos += (gone[np.concatenate((breaks, [len(gone) - 1]))] + 1).tolist()
+                    rows += [row] * (len(breaks) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(froms, pa.int32()), pa.array(tos, pa.int32())], ["row", "from", "to"])
 
-    return pairs.mapInArrow(run, "row long, from int, to int")
+    return pairs.select("row", "lines", "words", "old", "here", "there").mapInArrow(run, "row long, from int, to int")
+
+
+def _united(runs: DataFrame) -> DataFrame:
+    """Per row the sorted line numbers in its runs, and for each line up to the last of
+    them whether it is one."""
+
+    def run(batches):
+        for batch in batches:
+            numbers, flags = [], []
+            for i in range(batch.num_rows):
+                froms, tos = (batch.column(c)[i].values.to_numpy() for c in (1, 2))
+                cut = np.cumsum(np.bincount(froms, minlength=tos.max() + 1) - np.bincount(tos, minlength=tos.max() + 1))[:-1] > 0
+                flags.append(cut)
+                numbers.append(np.flatnonzero(cut).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.list_(pa.int32())), pa.array(flags, pa.list_(pa.bool_()))], ["row", "removed", "cut"])
+
+    both = runs.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("runs")).select("row", "runs.from", "runs.to")
+    return both.mapInArrow(run, "row long, removed array<int>, cut array<boolean>")
 
 
 def deletions(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a key ``row``, and per row with deletions the sorted line numbers."""
+    """``docs`` with a key ``row``, and per row with deletions the sorted line numbers
+    and whether each line goes."""
     keyed = docs.drop("row").withColumn("row", F.monotonically_increasing_id())
     lines = staged(_lines(keyed, words), "line-hashes")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "draw", "row", "here")
@@ -114,23 +179,22 @@ def deletions(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame
     first = marks.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("met")).where("met > 1").select("hash", "first")
     later = marks.join(first, "hash").select("row", "here", F.col("first.row").alias("source"), F.col("first.here").alias("there"))
     later = later.where("row <> source OR here <> there")
-    # one match per document, earlier document and distance reaches every line of its run that is in one piece
+    # the lines of both documents travel once, whatever the number of matches between them
+    met = later.groupBy("row", "source").agg(F.collect_list(F.struct("here", "there")).alias("met"))
     own = lines.select("row", "lines", "words")
     old = lines.select(F.col("row").alias("source"), F.col("lines").alias("old"))
-    pairs = later.join(own, "row").join(old, "source").select("row", "lines", "words", "old", "here", "there")
-    gone = _runs(pairs, words).distinct()
-    gone = gone.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(from, to - 1)"))))).alias("removed"))
-    return keyed, gone
+    pairs = met.join(own, "row").join(old, "source").select("row", "lines", "words", "old", "met.here", "met.there")
+    return keyed, _united(_runs(pairs, words))
 
 
-def _cut(text, removed):
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(removed, i))
-    return F.when(removed.isNull(), text).otherwise(F.array_join(kept, "\n"))
+def _cut(text, cut):
+    kept = F.zip_with(F.split(text, "\n", -1), cut, lambda x, gone: F.when(~F.coalesce(gone, F.lit(False)), x))
+    return F.when(cut.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The columns of ``docs`` with shortened ``text``, and n_lines, n_removed, removed (line numbers)."""
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed", "row")]
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed", "row", "cut")]
     keyed, gone = deletions(docs.select(columns), words)
     # the key is a function of file and position alone; both reads of the input give the same one
     out = keyed.join(gone, "row", "left")
@@ -138,7 +202,7 @@ def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
     none = F.array().cast("array<int>")
     return out.select(
         *[c for c in columns if c != "text"],
-        _cut(F.col("text"), F.col("removed")).alias("text"),
+        _cut(F.col("text"), F.col("cut")).alias("text"),
         lines.cast("long").alias("n_lines"),
         F.size(F.coalesce("removed", none)).cast("long").alias("n_removed"),
         F.coalesce("removed", none).alias("removed"),
@@ -154,7 +218,8 @@ def report(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def shortened(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows of ``docs`` with later repeated runs cut out; rows that lose every line go."""
-    found = deduplicate(docs, words).where("n_removed = 0 OR n_removed < n_lines")
+    plain, back = aside(docs, "doc_id", "text", "n_chars")
+    found = deduplicate(plain, words).where("n_removed = 0 OR n_removed < n_lines")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(docs.columns)
+    return found.select(back)

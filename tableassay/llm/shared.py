@@ -23,3 +23,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts
+
+
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` whose columns but the used ones travel under names that clash with nothing,
+    and the columns that give them back as they were."""
+    names = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]

@@ -108,6 +108,53 @@ def test_line_dedup_equals_brute_force(docs):
         assert found[i]["text_sha256"] == hashlib.sha256("\n".join(x for p, x in enumerate(lines) if p not in gone).encode()).hexdigest()
 
 
+def test_repeated_lines_equal_line_by_line_extension():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        own, old = (rng.integers(0, 3, rng.integers(1, 40)) for _ in range(2))
+        words, expected = rng.integers(0, 5, len(own)), set()
+        met = [(i, j) for i in range(len(own)) for j in range(len(old)) if own[i] == old[j] and rng.random() < 0.2]
+        for i, j in met:
+            a, b = i, i
+            while a and a + j - i and own[a - 1] == old[a - 1 + j - i]:
+                a -= 1
+            while b < len(own) and b + j - i < len(old) and own[b] == old[b + j - i]:
+                b += 1
+            expected |= set(range(a, b)) if words[a:b].sum() >= 9 else set()
+        here, there = np.array(met, np.int64).reshape(-1, 2).T
+        assert set(line_dedup.repeated(own, old, words, here, there, 9).tolist()) == expected
+
+
+def test_fingerprints_are_last_minima_of_windows():
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        hashes, words = rng.integers(0, 4, 30), rng.integers(0, 4, 30)
+        rank, expected = near_dedup.mix(hashes.view(np.uint64)), set()
+        for start in range(30):
+            ends = [e for e in range(start, 31) if words[start:e].sum() >= 7]
+            if ends:
+                expected.add(ends[0] - 1 - int(np.argmin(rank[start : ends[0]][::-1])))
+        assert line_dedup.fingerprints(hashes, words, 7) == sorted(expected)
+
+
+def test_line_dedup_of_long_texts_of_equal_lines_and_clashing_columns(spark):
+    text = "\n".join(["the same five words here"] * 40_000)
+    rows = [(1, text, 1, 2, 3), (2, text, 1, 2, 3), (3, "a line of its own", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, cut int, n_lines int")
+    got = {r["doc_id"]: r for r in line_dedup.shortened(docs).collect()}
+    assert sorted(got) == [1, 3] and got[3].asDict() == docs.where("doc_id = 3").first().asDict()
+    assert got[1]["text"] == "the same five words here"
+
+
+def test_filters_leave_clashing_columns_alone(spark):
+    rows = [(1, "clean words in a row here", "en", "a", "x", "y", 2.5, "z"), (2, "and another text of words", "en", "b", "x", "y", 1.5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, items string, _n string, score double, node string")
+    items = spark.createDataFrame([(1, "nothing of this")], "item_id long, text string")
+    for out in (language_id.known(docs), line_dedup.shortened(docs), near_dedup.one_of_each(docs), decontaminate.clean(docs, items)):
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        assert sorted(map(tuple, out.collect())) == rows
+
+
 def test_held_out_accuracy(spark, sf_dir, docs):
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
     held = [r for r in language_id.predict(docs).collect() if r["held_out"]]
