@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableassay.llm.shared import staged
+from tableassay.llm.shared import aside, staged
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -179,6 +179,6 @@ def report(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` without any benchmark window."""
-    columns = docs.columns
-    found = find(docs, benchmark, **parameters)
-    return found.where(F.size("hit_from") == 0).select(columns)
+    plain, back = aside(docs, "text")
+    found = find(plain, benchmark, **parameters)
+    return found.where(F.size("hit_from") == 0).select(back)

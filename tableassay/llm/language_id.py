@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableassay.llm.shared import fold
+from tableassay.llm.shared import aside, fold
 from tableassay.llm.tokens import LOWER, pieces, text_bytes
 
 FOLDS, HELD_OUT = 4, 2
@@ -205,4 +205,5 @@ def predict(docs: DataFrame) -> DataFrame:
 
 def known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that have a language."""
-    return identify(docs, sample(docs)).where(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
+    plain, back = aside(docs, "text")
+    return identify(plain, sample(docs)).where(F.col("lang_pred") != UNDETERMINED).select(back)

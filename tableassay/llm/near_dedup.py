@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableassay.llm.shared import staged
+from tableassay.llm.shared import aside, staged
 from tableassay.llm.tokens import LOWER, U, Words, mix, pieces, text_bytes
 
 BANDS, ROWS = 96, 9
@@ -318,9 +318,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFram
     found = near_duplicates(docs, k, percent)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
     kept = staged(kept, "near-kept")
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
+    plain, back = aside(docs, "doc_id", "text")
+    chosen = plain.join(kept, plain["doc_id"].eqNullSafe(kept["_id"]))
     if not kept.where("_n > 1").limit(1).count():
-        return chosen.select(docs.columns)
+        return chosen.select(back)
     # rows that repeat an id: one of each text stays
-    again = chosen.where("_n > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return chosen.where("_n = 1").select(docs.columns).unionByName(again)
+    again = chosen.where("_n > 1").select(back).dropDuplicates(["doc_id", "text"])
+    return chosen.where("_n = 1").select(back).unionByName(again)
