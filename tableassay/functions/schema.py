@@ -85,6 +85,12 @@ def as_double(df: DataFrame, name: str) -> str:
     return f"CAST({present(df, name)} AS DOUBLE)"
 
 
+def as_finite(df: DataFrame, name: str) -> str:
+    """``as_double`` with infinities read as missing, for ranges and moments over a range."""
+    sql = as_double(df, name)
+    return f"IF(abs({sql}) < double('Infinity'), {sql}, NULL)" if is_float(df, name) else sql
+
+
 def has_value(df: DataFrame, name: str) -> str:
     """SQL condition for a non-missing cell; its first part reaches the scan."""
     test = f"{quoted(name)} IS NOT NULL"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tableassay.functions.schema import (
     as_double,
+    as_finite,
     categorical_columns,
     empty,
     has_value,
@@ -57,46 +58,60 @@ def null_blocks(df: DataFrame, key: str, names: list[str] | None = None, blocks:
 
 
 def _histogram(df: DataFrame, names: list[str], bins: int) -> DataFrame:
-    # one row with the range of each column; a constant column gets v - 0.5 .. v + 0.5
-    ends = ", ".join(f"struct(min({as_double(df, n)}) AS lo, max({as_double(df, n)}) AS hi)" for n in names)
-    wide = "transform(array({}), b -> IF(b.lo = b.hi, struct(b.lo - 0.5D AS lo, b.hi + 0.5D AS hi), b)) AS b"
+    # one row with the finite range of each column; a constant column gets v - w .. v + w,
+    # w one half or, where that is lost in rounding, a share of v
+    ends = ", ".join(f"struct(min({as_finite(df, n)}) AS lo, max({as_finite(df, n)}) AS hi)" for n in names)
+    half = "greatest(0.5D, abs(b.lo) * power(2D, -44))"
+    wide = f"transform(array({{}}), b -> IF(b.lo = b.hi, struct(b.lo - {half} AS lo, b.hi + {half} AS hi), b)) AS b"
     bounds = df.agg(F.expr(wide.format(ends))).scalar()
+    finite = "abs(value) < double('Infinity')"
     spot = (
         long_numbers(df, names)
         .where("value IS NOT NULL")
         .withColumn("b", F.get(bounds, F.col("idx")))
         .selectExpr("idx", "value", "b.lo AS lo", "b.hi AS hi")
         .selectExpr("idx", "value", "lo", "hi", f"(hi - lo) / {bins} AS step")
-        .selectExpr("*", f"least(floor((value - lo) / (hi - lo) * {bins}), {bins - 1}) AS guess")
+        .selectExpr("*", f"IF({finite}, least(floor(try_divide(value - lo, hi - lo) * {bins}), {bins - 1}), NULL) AS guess")
     )
     # the edges decide: lo + i * step, the last bin closed
     binned = spot.selectExpr(
         "idx",
-        f"CAST(CASE WHEN value < lo + guess * step THEN guess - 1 "
+        f"CAST(CASE WHEN NOT {finite} THEN IF(value < 0, -1, {bins}) "
+        f"WHEN value < lo + guess * step THEN guess - 1 "
         f"WHEN guess < {bins - 1} AND value >= lo + (guess + 1) * step THEN guess + 1 "
         "ELSE guess END AS INT) AS bin",
     )
     counts = binned.groupBy("idx", "bin").agg(F.expr("count(1) AS count"))
-    # bounded: columns * bins rows
+    # bounded: columns * (bins + 2) rows
     slots = (
-        df.sparkSession.range(len(names) * bins, numPartitions=1)
-        .selectExpr(f"CAST(id DIV {bins} AS INT) AS idx", f"CAST(id % {bins} AS INT) AS bin")
+        df.sparkSession.range(len(names) * (bins + 2), numPartitions=1)
+        .selectExpr(f"CAST(id DIV {bins + 2} AS INT) AS idx", f"CAST(id % {bins + 2} AS INT) - 1 AS bin")
         .withColumn("b", F.get(bounds, F.col("idx")))
-        .where("b.lo IS NOT NULL")
     )
-    filled = slots.join(F.broadcast(counts), ["idx", "bin"], "left").selectExpr(
-        "idx",
-        "bin",
-        f"b.lo + bin * ((b.hi - b.lo) / {bins}) AS lower",
-        f"IF(bin = {bins - 1}, b.hi, b.lo + (bin + 1) * ((b.hi - b.lo) / {bins})) AS upper",
-        "coalesce(count, 0L) AS count",
+    inside = f"bin BETWEEN 0 AND {bins - 1}"
+    filled = (
+        slots.join(F.broadcast(counts), ["idx", "bin"], "left")
+        .where(f"IF({inside}, b.lo IS NOT NULL, count IS NOT NULL)")
+        .selectExpr(
+            "idx",
+            "bin",
+            f"CASE WHEN bin < 0 THEN -double('Infinity') WHEN bin = {bins} THEN double('Infinity') "
+            f"ELSE b.lo + bin * ((b.hi - b.lo) / {bins}) END AS lower",
+            f"CASE WHEN bin < 0 THEN -double('Infinity') WHEN bin = {bins} THEN double('Infinity') "
+            f"WHEN bin = {bins - 1} THEN b.hi ELSE b.lo + (bin + 1) * ((b.hi - b.lo) / {bins}) END AS upper",
+            "coalesce(count, 0L) AS count",
+        )
     )
-    total = "sum(count) OVER (PARTITION BY idx)"
-    return with_names(filled.selectExpr("*", f"count / ({total} * (upper - lower)) AS density"), names)
+    total = f"sum(IF({inside}, count, 0L)) OVER (PARTITION BY idx)"
+    density = f"IF({inside}, try_divide(count, {total} * (upper - lower)), NULL)"
+    return with_names(filled.selectExpr("*", f"{density} AS density"), names)
 
 
 def histogram_density(df: DataFrame, names: list[str] | None = None, bins: int = 30) -> DataFrame:
-    """``(column, bin, lower, upper, count, density)`` of equal-width bins."""
+    """``(column, bin, lower, upper, count, density)`` of equal-width bins over the finite values.
+
+    Infinite values, if any, are counted in bins of their own, -1 and ``bins``.
+    """
     names = numeric_columns(df) if names is None else names
     return _histogram(df, names, bins) if names else empty(df, HISTOGRAM)
 
@@ -116,13 +131,13 @@ def kde(df: DataFrame, names: list[str] | None = None, points: int = 1000, bins:
 
     With ``bins`` the values are first counted into that many equal bins and
     each bin acts as its centre: an approximation whose cost after one counting
-    scan does not depend on the number of rows.
+    scan does not depend on the number of rows.  Infinite values are left out.
     """
     names = numeric_columns(df) if names is None else names
     if not names:
         return empty(df, "column string, point int, x double, density double")
     parts = ", ".join(
-        "struct(count({0}) AS n, stddev_samp({0}) AS std, min({0}) AS lo, max({0}) AS hi)".format(as_double(df, n))
+        "struct(count({0}) AS n, stddev_samp({0}) AS std, min({0}) AS lo, max({0}) AS hi)".format(as_finite(df, n))
         for n in names
     )
     stats = (
@@ -134,7 +149,8 @@ def kde(df: DataFrame, names: list[str] | None = None, points: int = 1000, bins:
         )
         .scalar()
     )
-    values = long_numbers(df, names).where("value IS NOT NULL").withColumn("s", F.get(stats, F.col("idx")))
+    finite = long_numbers(df, names).where("abs(value) < double('Infinity')")
+    values = finite.withColumn("s", F.get(stats, F.col("idx")))
     values = values.selectExpr("idx", "value", "s.lo", "s.hi", "s.h", "s.x0", "s.step").where("h > 0")
     if bins is None:
         weighted = values.selectExpr("idx", "value", "1L AS w", "h", "x0", "step")
@@ -215,8 +231,6 @@ def box_stats(
 
     A whisker ends at the farthest value inside 1.5 interquartile ranges.
     """
-    from tableassay.operators.relations import fences
-
     names = numeric_columns(df) if names is None else names
     if not names:
         return empty(
@@ -225,17 +239,18 @@ def box_stats(
             "whisker_low double, whisker_high double, fliers bigint",
         )
     inside = "value BETWEEN f.lower AND f.upper"
+    fence = F.get(fences(df, names, exact, ranges), F.col("idx"))
     ends = (
         long_numbers(df, names)
         .where("value IS NOT NULL")
-        .withColumn("f", F.get(fences(df, names, exact, ranges), F.col("idx")))
+        .withColumn("f", fence)
         .groupBy("idx")
         .agg(
-            F.expr("max(f) AS f"),
             F.expr(f"min(IF({inside}, value, NULL)) AS lo"),
             F.expr(f"max(IF({inside}, value, NULL)) AS hi"),
             F.expr("count_if(value < f.lower OR value > f.upper) AS fliers"),
         )
+        .withColumn("f", fence)
         .selectExpr("idx", "f.q1", "f.median", "f.q3", "lo", "hi", "fliers")
     )
     out = ends.selectExpr(

@@ -4,7 +4,9 @@ The built-in ``percentile`` keeps every distinct value of a column in one
 task.  The exact form here narrows instead:
 
 1. one scan builds a mergeable sketch per column; a range of values around each
-   wanted rank comes back to the driver (a few hundred numbers per column);
+   wanted rank comes back to the driver (a few hundred numbers per column); a
+   frequent value at the end of a range becomes a range of its own, counted as
+   one number however many rows hold it;
 2. while a range still holds too many rows for one task, a further scan
    sketches the values inside it and makes it about fifty times smaller;
 3. a last scan counts rows between the ranges and, inside them only, per value,
@@ -18,7 +20,8 @@ the last ranges is shuffled, whatever the distribution.
 
 from __future__ import annotations
 
-from math import ceil, floor
+from bisect import bisect_left, bisect_right
+from math import ceil, floor, inf, nextafter
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -43,6 +46,17 @@ class Bracket(NamedTuple):
     n: int
     ends: list[tuple[float, float]]
     rows: list[float]  # about how many rows each range holds
+    points: set[float] | frozenset[float] = frozenset()  # frequent values cut off from the ranges
+
+    def closed(self) -> list[tuple[float, float]]:
+        """The ranges and the points as disjoint closed ranges, ascending."""
+        out: list[tuple[float, float]] = []
+        for lo, hi in sorted([*self.ends, *((p, p) for p in self.points)]):
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            else:
+                out.append((lo, hi))
+        return out
 
 
 Ranges = dict[str, Bracket]
@@ -84,8 +98,11 @@ Range = tuple[float, float] | None  # None: the whole column
 def _read(df: DataFrame, pieces: list[tuple[str, Range]]) -> dict[tuple[str, Range], tuple[int, int, list[float]]]:
     """Per range: rows inside, rows below, and its values at every step of rank.
 
-    One job; a few hundred numbers per range come back.
+    A few hundred numbers per range come back, in jobs of a bounded number of ranges.
     """
+    if len(pieces) > COLUMNS_PER_PLAN:
+        parts = [pieces[i : i + COLUMNS_PER_PLAN] for i in range(0, len(pieces), COLUMNS_PER_PLAN)]
+        return {k: v for part in parts for k, v in _read(df, part).items()}
     inside, below = [], []
     for name, ends in pieces:
         v = as_double(df, name)
@@ -111,16 +128,29 @@ def _read(df: DataFrame, pieces: list[tuple[str, Range]]) -> dict[tuple[str, Ran
     return {piece: (r["n"], r["below"], r["at"]) for piece, r in zip(pieces, row)}
 
 
-def _narrowed(n_inside: int, below: int, at: list[float], rank: int) -> tuple[tuple[float, float], float]:
-    """The part of a range that holds a rank and the next, and about how many rows it holds."""
+def _narrowed(n_inside: int, below: int, at: list[float], rank: int) -> tuple[tuple[float, float], float, list[float]]:
+    """The part of a range that holds a rank and the next, about how many rows it
+    holds, and the frequent values cut off from its ends."""
     if n_inside <= SMALL:
-        return (at[0], at[-1]), n_inside
+        return (at[0], at[-1]), n_inside, []
     low = floor((max((rank - below) / n_inside - RANK_MARGIN, 0.0)) * GRID)
     high = ceil((min((rank + 1 - below) / n_inside + RANK_MARGIN, 1.0)) * GRID)
     low, high = max(min(low, GRID), 0), max(min(high, GRID), 0)
-    if at[low] == at[high]:
-        return (at[low], at[high]), 1  # one value, however many rows
-    return (at[low], at[high]), n_inside * (high - low) / GRID
+    lo, hi = at[low], at[high]
+    if lo == hi:
+        return (lo, hi), 1, []  # one value, however many rows
+    points = []
+    if at[low + 1] == lo:
+        points.append(lo)
+        low = bisect_right(at, lo) - 1
+        lo = nextafter(lo, inf)
+    if at[high - 1] == hi:
+        points.append(hi)
+        high = bisect_left(at, hi)
+        hi = nextafter(hi, -inf)
+    if lo > hi:
+        return (points[0], points[0]), 1, points
+    return (lo, hi), n_inside * max(high - low, 1) / GRID, points
 
 
 def brackets(df: DataFrame, names: list[str], probs: list[float]) -> Ranges:
@@ -135,7 +165,7 @@ def brackets(df: DataFrame, names: list[str], probs: list[float]) -> Ranges:
         n, _, at = read[name, None]
         if n:
             found = [_narrowed(n, 0, at, floor((n - 1) * p)) for p in probs]
-            out[name] = Bracket(n, [e for e, _ in found], [r for _, r in found])
+            out[name] = Bracket(n, [e for e, _, _ in found], [r for _, r, _ in found], {p for _, _, ps in found for p in ps})
     while True:
         wide = [
             (name, j)
@@ -151,22 +181,22 @@ def brackets(df: DataFrame, names: list[str], probs: list[float]) -> Ranges:
         for name, j in wide:
             b = out[name]
             n_inside, below, at = read[name, b.ends[j]]
-            ends, rows = _narrowed(n_inside, below, at, floor((b.n - 1) * probs[j]))
+            # no row between two frequent values: both orders stand on them
+            ends, rows, points = _narrowed(n_inside, below, at, floor((b.n - 1) * probs[j])) if n_inside else (b.ends[j], 0, [])
             progress |= rows < b.rows[j]
             b.ends[j], b.rows[j] = ends, rows
+            b.points.update(points)
         if not progress:
             return out
 
 
-def _zone(ends: list[tuple[float, float]]) -> str:
+def _zone(ranges: list[tuple[float, float]]) -> str:
     """Zone of ``v``, ascending with the value: odd zones are ranges, even zones lie between."""
-    # sorting low and high ends apart keeps the values they cover together
-    lows, highs = sorted(e[0] for e in ends), sorted(e[1] for e in ends)
     cases = [
         f"WHEN v < {number(lo)} THEN {2 * j} WHEN v <= {number(hi)} THEN {2 * j + 1}"
-        for j, (lo, hi) in enumerate(zip(lows, highs))
+        for j, (lo, hi) in enumerate(ranges)
     ]
-    return f"CASE {' '.join(cases)} ELSE {2 * len(ends)} END"
+    return f"CASE {' '.join(cases)} ELSE {2 * len(ranges)} END"
 
 
 def _exact_sql(df: DataFrame, names: list[str], probs: list[float], ranges: Ranges) -> str:
@@ -177,7 +207,7 @@ def _exact_sql(df: DataFrame, names: list[str], probs: list[float], ranges: Rang
     """
     names = [n for n in names if n in ranges]
     branches = [
-        f"SELECT {i} AS idx, {_zone(ranges[n].ends)} AS zone, v "
+        f"SELECT {i} AS idx, {_zone(ranges[n].closed())} AS zone, v "
         f"FROM (SELECT {as_double(df, n)} AS v FROM {{source}} WHERE {has_value(df, n)})"
         for i, n in enumerate(names)
     ]

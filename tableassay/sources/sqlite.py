@@ -21,13 +21,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
     DataSourceWriter,
-    EqualTo,
-    GreaterThan,
-    GreaterThanOrEqual,
     InputPartition,
-    IsNotNull,
-    LessThan,
-    LessThanOrEqual,
     WriterCommitMessage,
 )
 
@@ -177,19 +171,6 @@ class _Reader(DataSourceReader):
         self.schema = schema
         self.path = options["path"]
         self.table = options["table"]
-        self.conditions: list[tuple[str, object]] = []
-
-    def pushFilters(self, filters):
-        """Let SQLite skip rows; Spark still checks every condition itself."""
-        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-        for f in filters:
-            if len(f.attribute) == 1:
-                column = quoted(f.attribute[0])
-                if isinstance(f, IsNotNull):
-                    self.conditions.append((f"{column} IS NOT NULL", None))
-                elif type(f) in signs and isinstance(f.value, (int, float, str)) and not isinstance(f.value, bool):
-                    self.conditions.append((f"{column} {signs[type(f)]} ? COLLATE BINARY", f.value))
-            yield f
 
     def partitions(self):
         out = []
@@ -218,14 +199,10 @@ class _Reader(DataSourceReader):
 
         names = [f.name for f in self.schema.fields]
         convert = [_converter(f.dataType, f.name) for f in self.schema.fields]
-        where = [c for c, _ in self.conditions]
-        params = [v for c, v in self.conditions if "?" in c]
+        query, params = f"SELECT {', '.join(quoted(n) for n in names)} FROM {quoted(self.table)}", []
         if partition.low is not None:
-            where.append("rowid BETWEEN ? AND ?")
-            params += [partition.low, partition.high]
-        query = f"SELECT {', '.join(quoted(n) for n in names)} FROM {quoted(self.table)}"
-        if where:
-            query += f" WHERE {' AND '.join(where)}"
+            query += " WHERE rowid BETWEEN ? AND ?"
+            params = [partition.low, partition.high]
         arrow = to_arrow_schema(self.schema)
         conn = connect(partition.path)
         try:
@@ -313,7 +290,6 @@ class SQLiteFiles(DataSource):
 
 
 def register(spark) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SQLiteFiles)
 
 

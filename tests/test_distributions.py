@@ -111,3 +111,24 @@ def test_box_stats(spark):
     q1, med, q3 = np.percentile(values, [25, 50, 75])
     assert (r["q1"], r["median"], r["q3"]) == (q1, med, q3)
     assert (r["whisker_low"], r["whisker_high"], r["fliers"]) == (1.0, 9.0, 1)
+
+
+def test_histogram_of_infinite_values_and_large_constants(spark):
+    df = spark.sql("SELECT IF(id = 3, double('Infinity'), IF(id = 4, -double('Infinity'), id * 1D)) AS x, 1e17D AS c FROM range(50)")
+    got = {r["bin"]: r for r in D.histogram_density(df, ["x"], bins=7).collect()}
+    assert sorted(got) == list(range(-1, 8)) and got[-1]["count"] == got[7]["count"] == 1
+    data = np.array([v for v in range(50) if v not in (3, 4)], float)
+    counts, edges = np.histogram(data, bins=7)
+    density, _ = np.histogram(data, bins=7, density=True)
+    assert [got[i]["count"] for i in range(7)] == list(counts) and got[0]["lower"] == edges[0] and got[6]["upper"] == edges[-1]
+    assert [got[i]["density"] for i in range(7)] == pytest.approx(list(density))
+    flat = D.histogram_density(df, ["c"], bins=30).collect()
+    assert len(flat) == 30 and sum(r["count"] for r in flat) == 50
+    assert all(r["upper"] > r["lower"] for r in flat)
+    densities = D.kde(df, ["x", "c"], points=50).collect()
+    assert {r["column"] for r in densities} == {"x"} and all(r["density"] >= 0 for r in densities)
+
+
+def test_box_stats_aggregates_hash_rows(spark, lineitem):
+    plan = D.box_stats(lineitem, ["l_quantity"])._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan

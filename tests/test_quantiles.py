@@ -57,6 +57,19 @@ def test_ranges_end_up_small(skewed, monkeypatch):
             assert skewed.where(f"{name} BETWEEN {lo}D AND {hi}D").select(name).distinct().count() <= Q.SMALL
 
 
+def test_quartile_at_the_edge_of_a_frequent_value(spark, monkeypatch):
+    monkeypatch.setattr(Q, "ORDERED_ROWS", 5000)
+    df = spark.sql("SELECT IF(id % 10000 < 7499, 0D, 1 + sqrt(id)) AS x, IF(id % 10000 < 2501, -5D, -sqrt(id)) AS y FROM range(300000)").cache()
+    probs = [0.25, 0.5, 0.75]
+    want = df.toPandas().quantile(probs)
+    got = values(df, ["x", "y"], probs)
+    for c in ("x", "y"):
+        for p in probs:
+            assert got[c, p] == pytest.approx(want.loc[p, c], rel=1e-12)
+        held = " OR ".join(f"{c} BETWEEN {lo!r}D AND {hi!r}D" for lo, hi in Q.brackets(df, [c], probs)[c].closed())
+        assert df.where(held).select(c).distinct().count() <= 2 * Q.SMALL
+
+
 def test_close_probs(skewed, monkeypatch):
     monkeypatch.setattr(Q, "ORDERED_ROWS", 1)
     probs = [0.5, 0.5001, 0.501, 0.51]

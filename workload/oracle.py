@@ -167,12 +167,16 @@ def kde(table: str, name: str, points: int, bins: int | None) -> str:
       FROM (SELECT count({name}) AS n, min({name})::DOUBLE AS lo, max({name})::DOUBLE AS hi,
                    stddev_samp({name}) AS std FROM {source(table)})),
     v AS ({values})
-    SELECT '{name}' AS "column", range::INTEGER AS point, round(x0 + range * step, 6) + 0.0 AS x,
-      round(sum(w * exp(-0.5 * power((x0 + range * step - v) / h, 2))) / (any_value(n) * h * sqrt(2 * pi())), 9) + 0.0
-        AS density
+    SELECT '{name}' AS "column", range::INTEGER AS point, x0 + range * step AS x,
+      sum(w * exp(-0.5 * power((x0 + range * step - v) / h, 2))) / (any_value(n) * h * sqrt(2 * pi())) AS density
     FROM s CROSS JOIN range({points}) CROSS JOIN v GROUP BY range, x0, step, h"""
 
 
+def rounded_kde(bins: int | None) -> str:
+    return f"""SELECT "column", point, round(x, 6) + 0.0 AS x, round(density, 9) + 0.0 AS density
+    FROM ({kde('events', 'value', 1000, bins)})"""
+
+
 def calendar_counts(table: str, name: str, label: str, sql: str) -> str:
     return f"""SELECT '{name}' AS "column", {sql} AS {label}, count(*) AS rows FROM {source(table)}
     WHERE {name} IS NOT NULL GROUP BY 2"""
@@ -218,6 +222,7 @@ def scatter(table: str, target: str, names: list[str], bins: int) -> str:
     FROM b GROUP BY feature, x_bin, y_bin, xlo, xhi, ylo, yhi"""
 
 
+# The advice texts of the rules.
 LOG = "Consider log transformation for highly skewed features"
 GROUP = "Consider grouping rare categories or using embedding techniques"
 DATES = "Consider converting date strings to datetime and extracting features"
@@ -333,61 +338,96 @@ def uplift() -> str:
                  p_value < 0.05 AND NOT (ci_low <= 0 AND ci_high >= 0) AS significant FROM {source('experiment')})"""
 
 
+def cells(step: str, sql: str, keys: list[str], metrics: list[str]) -> str:
+    """``(step, key, metric, value)`` of a table; without metrics one row per row."""
+    key = "concat_ws('|', " + ", ".join(f"coalesce(({k})::VARCHAR, '')" for k in keys) + ")" if keys else "''"
+    values = {m.strip('"'): stable(f"{m}::DOUBLE") for m in metrics} or {"rows": "1"}
+    return union(
+        f"SELECT '{step}' AS step, {key} AS key, '{m}' AS metric, {v}::DOUBLE AS value FROM ({sql})" for m, v in values.items()
+    )
+
+
+BOX = ["q1", "median", "q3", "whisker_low", "whisker_high", "fliers"]
+DATE_RANGE = """SELECT 'ts' AS "column", min(ts) AS first, max(ts) AS last,
+            date_diff('microsecond', min(ts), max(ts)) // 1000000 AS seconds FROM events"""
+
+
+def target_cells(table: str, target: str, names: list[str]) -> str:
+    return union(
+        [
+            cells("target_distribution", f"SELECT stat, value FROM ({stat_rows(table, [target], DESCRIBE)})", ["stat"], ["value"]),
+            cells("target_histogram", histogram(table, target), ["bin"], ["lower", "upper", "count"]),
+            cells("target_box", box(table, target), ['"column"'], BOX),
+            cells("target_correlation", correlation_with(table, target, names, 10), ["feature"], ["abs_r"]),
+            cells("scatter_grid", scatter(table, target, names, 50), ["feature", "x_bin", "y_bin"], ["x_low", "y_low", "count"]),
+        ]
+    )
+
+
+def info_rows(table: str, columns: list[tuple[str, str, str]]) -> str:
+    return union(
+        f"""SELECT '{c}' AS "column", '{t}' AS dtype, '{column_class(t)}' AS class, count(*) AS rows,
+        count(*) - count({c}) AS missing,
+        {stable(f'((count(*) - count({c})) * 100.0 / count(*))')}::DOUBLE AS missing_pct,
+        count(DISTINCT {c}) AS "distinct", {size}::BIGINT AS bytes FROM {source(table)}"""
+        for c, t, size in columns
+    )
+
+
 def complete() -> str:
-    """Rows per table of the ten steps over ``events`` (target ``value``)."""
-    numbers = ["event_id", "user_id", "value"]
-
-    def n(sql: str) -> str:
-        return f"(SELECT count(*) FROM ({sql}))"
-
-    one = "(SELECT count(*) FROM (SELECT DISTINCT {} FROM events))"
-    steps = {
-        "basic_info": "6",
-        "statistical_summary": "33",
-        "missing_nonzero": n(f"SELECT * FROM ({missing('events', list(EVENTS))}) WHERE missing > 0"),
-        "null_pattern": one.format(", ".join(f"{c} IS NULL" for c in EVENTS)),
-        "histogram_density": "90",
-        "kde": "3000",
-        "value_counts_topn": n(topn("events", ["event_type", "props"])),
-        "correlation_matrix": "9",
-        "high_correlations": n(
-            f"SELECT * FROM ({corr_rows('events', pairs(numbers, lambda i, j: i < j))}) WHERE abs(r) > 0.7"
-        ),
-        "outlier_detection": "3",
-        "box_stats": "3",
-        "feature_insights": n(
-            numbered(
-                [
-                    skewed("events", numbers),
-                    cardinality("events", ["event_type", "props"]),
-                    dates("events", ["event_type", "props"]),
-                    f"SELECT 'ratio_features' AS rule, '{RATIO}' AS message",
-                    f"SELECT 'polynomial_features' AS rule, '{POLY}' AS message",
-                ]
-            )
-        ),
-        "quality_issues": n(
-            numbered(
-                [
-                    f"SELECT 'd' AS rule, 'd' AS message FROM ({duplicates('events', list(EVENTS))}) WHERE duplicates > 0",
-                    f"SELECT 'c' AS rule, 'c' AS message FROM ({constants('events', list(EVENTS))})",
-                    gaps("events", list(EVENTS)),
-                    mixed("events", ["event_type", "props"]),
-                ]
-            )
-        ),
-        "date_range": "1",
-        "daily_counts": one.format("ts::DATE"),
-        "monthly_pattern": one.format("month(ts)"),
-        "weekday_pattern": one.format("isodow(ts)"),
-        "hourly_pattern": one.format("hour(ts)"),
-        "target_distribution": "8",
-        "target_histogram": "30",
-        "target_box": "1",
-        "target_correlation": "2",
-        "scatter_grid": n(scatter("events", "value", ["event_id", "user_id"], 50)),
-    }
-    return union(f"SELECT '{k}' AS step, {v}::BIGINT AS rows" for k, v in steps.items())
+    """The cells of the ten steps over ``events`` (target ``value``)."""
+    numbers, texts, column = ["event_id", "user_id", "value"], ["event_type", "props"], ['"column"']
+    sizes = [(c, t, f"sum(strlen({c}))" if t == "string" else f"(count({c}) * 8)") for c, t in EVENTS.items()]
+    pattern = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in EVENTS) + ")"
+    insights = [
+        skewed("events", numbers),
+        cardinality("events", texts),
+        dates("events", texts),
+        f"SELECT 'ratio_features' AS rule, '{RATIO}' AS message",
+        f"SELECT 'polynomial_features' AS rule, '{POLY}' AS message",
+    ]
+    listed = """chr(39) || string_agg("column", chr(39) || ', ' || chr(39)) || chr(39)"""
+    issues = [
+        "SELECT 'duplicate_rows' AS rule, 'Remove ' || duplicates || ' duplicate rows' AS message "
+        f"FROM ({duplicates('events', list(EVENTS))}) WHERE duplicates > 0",
+        f"SELECT 'constant_columns' AS rule, 'Consider removing constant columns: [' || {listed} || ']' AS message "
+        f"FROM ({constants('events', list(EVENTS))}) HAVING count(*) > 0",
+        gaps("events", list(EVENTS)),
+        mixed("events", texts),
+    ]
+    span = [f"strftime({k}, '%Y-%m-%d %H:%M:%S')" for k in ("first", "last")]
+    info = ["rows", "missing", "missing_pct", '"distinct"', "bytes"]
+    gappy = f"SELECT * FROM ({missing('events', list(EVENTS))}) WHERE missing > 0"
+    strong = f"SELECT * FROM ({corr_rows('events', pairs(numbers, lambda i, j: i < j))}) WHERE abs(r) > 0.7"
+    days = "(isodow(ts) - 1)"
+    return union(
+        [
+            cells("basic_info", info_rows("events", sizes), [*column, "dtype", "class"], info),
+            cells("statistical_summary", stat_rows("events", numbers, STATS), [*column, "stat"], ["value"]),
+            cells("missing_nonzero", gappy, column, ["missing"]),
+            cells("null_pattern", f"SELECT {pattern} AS p, count(*) AS rows FROM events GROUP BY 1", ["p"], ["rows"]),
+            cells(
+                "histogram_density",
+                union(histogram("events", n) for n in numbers),
+                [*column, "bin"],
+                ["lower", "upper", "count", "density"],
+            ),
+            *[cells("kde", kde("events", n, 1000, None), [*column, "point"], ["x", "density"]) for n in numbers],
+            cells("value_counts_topn", topn("events", texts), [*column, "value"], ["count"]),
+            cells("correlation_matrix", corr_rows("events", pairs(numbers)), ["feature_1", "feature_2"], ["r"]),
+            cells("high_correlations", strong, ["feature_1", "feature_2"], ["r"]),
+            cells("outlier_detection", outliers("events", numbers), column, ["outliers", "outlier_pct"]),
+            cells("box_stats", union(box("events", n) for n in numbers), column, BOX),
+            cells("feature_insights", numbered(insights), ["number", "rule", "message"], []),
+            cells("quality_issues", numbered(issues), ["number", "rule", "message"], []),
+            cells("date_range", DATE_RANGE, [*column, *span], ["seconds"]),
+            cells("daily_counts", calendar_counts("events", "ts", "day", "ts::DATE"), [*column, "day"], ["rows"]),
+            cells("monthly_pattern", calendar_counts("events", "ts", "month", "month(ts)"), [*column, "month"], ["rows"]),
+            cells("weekday_pattern", calendar_counts("events", "ts", "dayofweek", days), [*column, "dayofweek"], ["rows"]),
+            cells("hourly_pattern", calendar_counts("events", "ts", "hour", "hour(ts)"), [*column, "hour"], ["rows"]),
+            target_cells("events", "value", ["event_id", "user_id"]),
+        ]
+    )
 
 
 def oracle_sql() -> dict[str, str]:
@@ -399,7 +439,7 @@ def oracle_sql() -> dict[str, str]:
     blocks = 50
     upper = [(a, b) for a, b in pairs(PRICED, lambda i, j: i < j)]
     report_columns = [*PRICED_KEY, *PRICED]
-    orders4 = ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]
+    order_numbers, order_texts = ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]
     share = "SELECT o_orderstatus AS value, count(*) AS count, count(*) * 100.0::DOUBLE / (SELECT count(o_orderstatus) FROM orders) AS pct FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1"
     n_customers = "(SELECT count(*) FROM customer)"
     return {
@@ -422,6 +462,14 @@ def oracle_sql() -> dict[str, str]:
         "drop_nulls": f"SELECT * FROM {source('labelled')} WHERE quality IS NOT NULL",
         "head": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10",
         "sort_values": corr_rows("priced", pairs(PRICED)) + " ORDER BY abs(r) DESC, feature_1, feature_2",
+        "scalar_functions": f"""SELECT o_orderkey, o_orderstatus IS NULL AS is_missing,
+            TRY_CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) AS as_number, o_custkey::VARCHAR AS as_text,
+            trunc(o_totalprice)::BIGINT AS whole, length(o_orderpriority)::INTEGER AS chars,
+            regexp_matches(o_orderpriority, '[-/:]') AS separated, {stable('abs(o_totalprice - 100000)')}::DOUBLE AS distance,
+            year(o_orderdate)::INTEGER AS year, month(o_orderdate)::INTEGER AS month, day(o_orderdate)::INTEGER AS day,
+            (isodow(o_orderdate) - 1)::INTEGER AS weekday, hour(o_orderdate)::INTEGER AS hour, o_orderdate::DATE AS date,
+            o_orderdate + INTERVAL 30 DAY AS later,
+            {stable('((o_totalprice - 10) * 100 / (o_totalprice + 10))')}::DOUBLE AS share FROM orders""",
         "add_columns": f"""SELECT l_orderkey, l_linenumber, {stable('(l_extendedprice * (1 - l_discount))')}::DOUBLE AS revenue,
             year(l_shipdate)::INTEGER AS year FROM lineitem""",
         **SQL_TEXTS,
@@ -467,8 +515,8 @@ def oracle_sql() -> dict[str, str]:
             count, {stable('density')}::DOUBLE AS density FROM ({union(histogram('lineitem', n) for n in LINEITEM_NUMBERS)})""",
         "histogram_count": f"""SELECT bin, {stable('lower')}::DOUBLE AS lower, {stable('upper')}::DOUBLE AS upper, count
             FROM ({histogram('events', 'value')})""",
-        "kde": kde("events", "value", 1000, None),
-        "kde_binned": kde("events", "value", 1000, 4096),
+        "kde": rounded_kde(None),
+        "kde_binned": rounded_kde(4096),
         "value_counts_topn": topn("documents", ["lang", "source", "text"]),
         "value_counts": "SELECT o_orderpriority AS value, count(*) AS count FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1",
         "proportions": f"SELECT value, count, {stable('pct')}::DOUBLE AS pct FROM ({share})",
@@ -495,6 +543,7 @@ def oracle_sql() -> dict[str, str]:
             ]
         ),
         "duplicate_rows": f"SELECT duplicates, {stable('pct')}::DOUBLE AS duplicate_pct FROM ({duplicates('documents', ['text'])})",
+        "duplicate_rows_nested": f"SELECT duplicates, {stable('pct')}::DOUBLE AS duplicate_pct FROM ({duplicates('embeddings', ['embedding'])})",
         "constant_columns": constants("messy", messy),
         "high_missing": gaps("labelled", LABELLED),
         "mixed_types": mixed("messy", ["c_mktsegment", "same", "code"]),
@@ -509,43 +558,31 @@ def oracle_sql() -> dict[str, str]:
                 mixed("messy", ["c_mktsegment", "same", "code"]),
             ]
         ),
-        "date_range": """SELECT 'ts' AS "column", min(ts) AS first, max(ts) AS last,
-            date_diff('microsecond', min(ts), max(ts)) // 1000000 AS seconds FROM events""",
+        "date_range": DATE_RANGE,
         "calendar_features": """SELECT event_id, ts, year(ts)::INTEGER AS ts_year, month(ts)::INTEGER AS ts_month,
             day(ts)::INTEGER AS ts_day, (isodow(ts) - 1)::INTEGER AS ts_dayofweek, hour(ts)::INTEGER AS ts_hour FROM events""",
         "daily_counts": calendar_counts("events", "ts", "day", "ts::DATE"),
         "monthly_pattern": calendar_counts("lineitem", "l_shipdate", "month", "month(l_shipdate)::INTEGER"),
         "weekday_pattern": calendar_counts("orders", "o_orderdate", "dayofweek", "(isodow(o_orderdate) - 1)::INTEGER"),
         "hourly_pattern": calendar_counts("events", "ts", "hour", "hour(ts)::INTEGER"),
-        "basic_info": union(
-            f"""SELECT '{c}' AS "column", '{t}' AS dtype, '{column_class(t)}' AS class, count(*) AS rows,
-            count(*) - count({c}) AS missing,
-            {stable(f'((count(*) - count({c})) * 100.0 / count(*))')}::DOUBLE AS missing_pct,
-            count(DISTINCT {c}) AS "distinct", {size}::BIGINT AS bytes FROM {source('labelled')}"""
-            for c, t, size in (
+        "basic_info": info_rows(
+            "labelled",
+            [
                 ("doc_id", "bigint", "(count(doc_id) * 8)"),
                 ("lang", "string", "sum(strlen(lang))"),
                 ("source", "string", "sum(strlen(source))"),
                 ("n_chars", "bigint", "(count(n_chars) * 8)"),
                 ("quality", "int", "(count(quality) * 4)"),
                 ("toxic", "int", "(count(toxic) * 4)"),
-            )
-        ),
-        "target_analysis": union(
-            f"SELECT '{k}' AS step, {v}::BIGINT AS rows"
-            for k, v in {
-                "target_distribution": "8",
-                "target_histogram": "30",
-                "target_box": "1",
-                "target_correlation": "5",
-                "scatter_grid": f"(SELECT count(*) FROM ({scatter('priced', 'revenue', [*PRICED_KEY, *PRICED[:3]], 50)}))",
-            }.items()
+            ],
         ),
+        "target_analysis": target_cells("priced", "revenue", [*PRICED_KEY, *PRICED[:3]]),
         "complete_analysis": complete(),
-        "profile_report": report("priced", report_columns, report_columns, []),
+        "profile_report": report("events", list(EVENTS), ["event_id", "user_id", "value"], ["event_type", "props"], 1),
+        "profile_report_numbers": report("priced", report_columns, report_columns, []),
         "target_report": union(
             [
-                f"SELECT * FROM ({report('orders', orders4, orders4[:2], orders4[2:])})",
+                f"SELECT * FROM ({report('orders', list(ORDERS), order_numbers, order_texts, 1)})",
                 f"SELECT 'target' AS section, 'o_orderstatus' AS \"column\", value AS metric, {stable('pct')}::DOUBLE AS value FROM ({share})",
             ]
         ),

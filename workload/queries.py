@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableassay.functions.schema import union_all
+from tableassay.functions.values import DATE_SEPARATORS, is_number_text
 from tableassay.operators import calendar, distributions, quantiles, relational, relations, rules, stats, uplift
 from tableassay.plans import sql
 from tableassay.plans.profile import Profile, profile_report, target_analysis, target_report
@@ -142,30 +144,75 @@ def add_columns(df):
     return out.select("l_orderkey", "l_linenumber", "revenue", "year")
 
 
+def scalar_functions(df):
+    """The functions of single cells that the operators are made of, on every order."""
+    first = "substring(o_orderpriority, 1, 1)"
+    out = relational.add_columns(
+        df,
+        {
+            "is_missing": "o_orderstatus IS NULL",
+            "as_number": f"IF({is_number_text(first)}, CAST({first} AS DOUBLE), NULL)",
+            "as_text": "CAST(o_custkey AS STRING)",
+            "whole": "CAST(o_totalprice AS BIGINT)",
+            "chars": "length(o_orderpriority)",
+            "separated": f"o_orderpriority RLIKE '{DATE_SEPARATORS}'",
+            "distance": "abs(o_totalprice - 100000)",
+            "year": "year(o_orderdate)",
+            "month": "month(o_orderdate)",
+            "day": "day(o_orderdate)",
+            "weekday": "weekday(o_orderdate)",
+            "hour": "hour(o_orderdate)",
+            "date": "to_date(o_orderdate)",
+            "later": "timestampadd(DAY, 30, o_orderdate)",
+            "share": "(o_totalprice - 10) * 100 / (o_totalprice + 10)",
+        },
+    )
+    return out.drop("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
 # reports ---------------------------------------------------------------------
 
 
-def _as_rows(spark, tables: dict[str, DataFrame]) -> DataFrame:
-    return union_all([t.agg(F.lit(k).alias("step"), F.expr("count(1) AS rows")) for k, t in tables.items()])
+def _long(step: str, table: DataFrame) -> DataFrame:
+    """``(step, key, metric, value)``: a row per cell that holds a count or a measure,
+    under the other cells as key; a table without such cells gives one row per row."""
+    keys, metrics = [], []
+    for f in table.schema.fields:
+        if f.dataType in (T.LongType(), T.DoubleType()):
+            metrics += [f"'{f.name}'", f"CAST(`{f.name}` AS DOUBLE)"]
+        elif f.dataType in (T.TimestampType(), T.TimestampNTZType()):
+            keys.append(f"date_format(`{f.name}`, 'yyyy-MM-dd HH:mm:ss')")
+        else:
+            keys.append(f"coalesce(CAST(`{f.name}` AS STRING), '')")
+    metrics = metrics or ["'rows'", "1D"]
+    key = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
+    cells = f"stack({len(metrics) // 2}, {', '.join(metrics)}) AS (metric, value)"
+    return table.selectExpr(f"'{step}' AS step", f"{key} AS key", cells)
+
+
+def _as_long(tables: dict[str, DataFrame]) -> DataFrame:
+    return rounded(union_all([_long(k, t) for k, t in tables.items()]), "value")
 
 
 def complete_analysis(spark, sf):
-    """Rows of every table of the ten steps."""
-    profile = Profile(load(spark, sf, "events"))
-    return _as_rows(spark, profile.complete_analysis("value"))
+    """Every cell of every table of the ten steps."""
+    return _as_long(Profile(load(spark, sf, "events")).complete_analysis("value"))
 
 
-def target_analysis_rows(spark, sf):
-    return _as_rows(spark, target_analysis(load(spark, sf, "priced"), "revenue"))
+def target_analysis_cells(spark, sf):
+    return _as_long(target_analysis(load(spark, sf, "priced"), "revenue"))
 
 
 def report(spark, sf):
-    return rounded(profile_report(load(spark, sf, "priced").select(*PRICED_KEY, *PRICED)), "value")
+    return rounded(profile_report(load(spark, sf, "events")), "value")
+
+
+def report_of_numbers(spark, sf):
+    return rounded(profile_report(load(spark, sf, "priced")), "value")
 
 
 def report_with_target(spark, sf):
-    df = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    return rounded(target_report(df, "o_orderstatus"), "value")
+    return rounded(target_report(load(spark, sf, "orders"), "o_orderstatus"), "value")
 
 
 # synthetic tables on the given keys --------------------------------------------
@@ -292,6 +339,7 @@ def queries() -> dict[str, Query]:
             ),
             "r",
         ),
+        "scalar_functions": _on("orders", scalar_functions, "distance", "share"),
         "add_columns": _on("lineitem", add_columns, "revenue"),
         # SQL pass-through
         **{name: _sql(name) for name in SQL_TEXTS},
@@ -345,6 +393,7 @@ def queries() -> dict[str, Query]:
         "date_candidates_full": _on("dated", lambda d: rules.date_candidates(d)),
         "feature_insights": _on("dated", lambda d: rules.feature_insights(d)),
         "duplicate_rows": _on("documents", lambda d: rules.duplicate_rows(d, ["text"]), "duplicate_pct"),
+        "duplicate_rows_nested": _on("embeddings", lambda d: rules.duplicate_rows(d, ["embedding"]), "duplicate_pct"),
         "constant_columns": _on("messy", rules.constant_columns),
         "high_missing": _on("labelled", rules.high_missing, "metric"),
         "mixed_types": _on("messy", lambda d: rules.mixed_types(d)),
@@ -359,9 +408,10 @@ def queries() -> dict[str, Query]:
         "hourly_pattern": _on("events", calendar.hourly_pattern),
         # workflows and reports
         "basic_info": _on("labelled", stats.basic_info, "missing_pct"),
-        "target_analysis": target_analysis_rows,
+        "target_analysis": target_analysis_cells,
         "complete_analysis": complete_analysis,
         "profile_report": report,
+        "profile_report_numbers": report_of_numbers,
         "target_report": report_with_target,
         "uplift_summary": _on("experiment", uplift.uplift_summary, "lift"),
         # synthetic data
