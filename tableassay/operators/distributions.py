@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableassay.functions.schema import (
+    BOOLEAN,
+    CATEGORICAL,
     as_double,
     as_finite,
-    categorical_columns,
+    columns_of,
     empty,
     has_value,
     numeric_columns,
@@ -225,12 +227,12 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
 
 
 def value_counts_topn(df: DataFrame, names: list[str] | None = None, top_n: int = 10) -> DataFrame:
-    """``(column, value, count)``: the most frequent values of text columns.
+    """``(column, value, count)``: the most frequent values of text and boolean columns.
 
     One branch per column: counts combine before the shuffle, and the top rows
     are kept per task, so nothing large is sorted.
     """
-    names = categorical_columns(df) if names is None else names
+    names = columns_of(df, CATEGORICAL, BOOLEAN) if names is None else names
     if not names:
         return empty(df, "column string, value string, count bigint")
     return union_all(

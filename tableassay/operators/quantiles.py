@@ -47,6 +47,7 @@ class Bracket(NamedTuple):
     ends: list[tuple[float, float]]
     rows: list[float]  # about how many rows each range holds
     points: set[float] | frozenset[float] = frozenset()  # frequent values cut off from the ranges
+    values: dict[float, float] | None = None  # the quantiles themselves, where they are known
 
     def closed(self) -> list[tuple[float, float]]:
         """The ranges and the points as disjoint closed ranges, ascending."""
@@ -247,6 +248,13 @@ def exact_quantiles(df: DataFrame, names: list[str], probs: list[float], ranges:
     """``(column, prob, value)`` with linear interpolation between order statistics."""
     if not names:
         return empty(df, RESULT)
+    known = [n for n in names if ranges and n in ranges and ranges[n].values and set(probs) <= set(ranges[n].values)]
+    if known:
+        rows = ", ".join(f"({text(n)}, {number(p)}, {number(ranges[n].values[p])})" for n in known for p in probs)
+        rows = rows.replace("{", "{{").replace("}", "}}")
+        found = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS s(column, prob, value)")
+        rest = [n for n in names if n not in known]
+        return found.unionByName(exact_quantiles(df, rest, probs, ranges)) if rest else found
     if len(names) > COLUMNS_PER_PLAN:
         parts = [names[i : i + COLUMNS_PER_PLAN] for i in range(0, len(names), COLUMNS_PER_PLAN)]
         return union_all([exact_quantiles(df, part, probs, ranges) for part in parts])
@@ -265,6 +273,15 @@ def exact_quantiles(df: DataFrame, names: list[str], probs: list[float], ranges:
     return df.sparkSession.sql(" UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts), source=df)
 
 
+def settled(df: DataFrame, probs: list[float], ranges: Ranges) -> Ranges:
+    """The ranges with their quantiles, so that no later table scans for them again."""
+    found: dict[str, dict[float, float]] = {}
+    # one row per column and prob
+    for r in exact_quantiles(df, list(ranges), probs, ranges).collect():
+        found.setdefault(r["column"], {})[r["prob"]] = r["value"]
+    return {n: b._replace(values=found[n]) for n, b in ranges.items()}
+
+
 def quantiles(df: DataFrame, names: list[str], probs: list[float], exact: bool = True) -> DataFrame:
     return (exact_quantiles if exact else approx_quantiles)(df, names, probs)
 

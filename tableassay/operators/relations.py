@@ -222,16 +222,14 @@ def scatter_grid(df: DataFrame, target: str, names: list[str] | None = None, k:
     """``(feature, x_bin, y_bin, x_low, y_low, count)`` of the strongest features.
 
     The table of a scatter plot: rows per cell of a grid, empty cells left out.
+    Runs one job when called, which names the features; only their columns are binned.
     """
     features = [n for n in (numeric_columns(df) if names is None else names) if n != target]
     if not features or not is_numeric_target(df, target):
         return empty(df, "feature string, x_bin int, y_bin int, x_low double, y_low double, count bigint")
-    top = (
-        target_top_features(df, target, features, k)
-        .where("abs_r IS NOT NULL")
-        .agg(F.expr("collect_list(feature) AS f"))
-        .scalar()
-    )
+    features = [r["feature"] for r in target_top_features(df, target, features, k).where("abs_r IS NOT NULL").collect()]
+    if not features:
+        return empty(df, "feature string, x_bin int, y_bin int, x_low double, y_low double, count bigint")
     ends = ", ".join(
         f"struct(min({as_double(df, n)}) AS lo, max({as_double(df, n)}) AS hi)" for n in [*features, target]
     )
@@ -240,7 +238,6 @@ def scatter_grid(df: DataFrame, target: str, names: list[str] | None = None, k:
         long_numbers(df, features, keep=(f"{as_double(df, target)} AS y",))
         .where("value IS NOT NULL AND y IS NOT NULL")
         .withColumn("feature", F.expr(f"get({texts(features)}, idx)"))
-        .where(F.array_contains(top, F.col("feature")))
         .withColumn("b", bounds)
         .selectExpr("feature", "value AS x", "y", "get(b, idx) AS bx", f"get(b, {len(features)}) AS by")
     )

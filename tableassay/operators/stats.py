@@ -59,8 +59,8 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns"))
 
 
-def column_footprint(df: DataFrame) -> DataFrame:
-    """``(column, bytes)``: logical size of the data, not of its storage."""
+def _sizes(df: DataFrame) -> list[str]:
+    """SQL of the logical size of each column."""
     sizes = []
     for f in df.schema.fields:
         width = _WIDTHS.get(type(f.dataType))
@@ -73,6 +73,12 @@ def column_footprint(df: DataFrame) -> DataFrame:
         else:
             sql = f"coalesce(sum(octet_length(to_json(struct({quoted(f.name)})))), 0)"
         sizes.append(f"CAST({sql} AS BIGINT)")
+    return sizes
+
+
+def column_footprint(df: DataFrame) -> DataFrame:
+    """``(column, bytes)``: logical size of the data, not of its storage."""
+    sizes = _sizes(df)
     row = df.agg(*[F.expr(f"{s} AS b{i}") for i, s in enumerate(sizes)])
     return inline_columns(row, df.columns, {"bytes": [f"b{i}" for i in range(len(sizes))]})
 
@@ -257,13 +263,24 @@ def statistical_summary(
 def basic_info(df: DataFrame, exact: bool = True) -> DataFrame:
     """``(column, dtype, class, rows, missing, missing_pct, distinct, bytes)``.
 
-    Nested columns have no distinct count.
+    Nested columns have no distinct count.  One scan for all but the distinct counts.
     """
-    rows = df.agg(F.expr("count(1) AS rows"))
+    row = df.agg(
+        F.expr("count(1) AS total"),
+        *[F.expr(f"count_if({has_value(df, n)}) AS n{i}") for i, n in enumerate(df.columns)],
+        *[F.expr(f"{s} AS b{i}") for i, s in enumerate(_sizes(df))],
+    )
+    at = range(len(df.columns))
+    cells = {
+        "rows": ["total" for _ in at],
+        "missing": [f"total - n{i}" for i in at],
+        "missing_pct": [f"try_divide((total - n{i}) * 100.0D, total)" for i in at],
+        "bytes": [f"b{i}" for i in at],
+    }
     info = column_types(df)
     # one row per column on every side
-    for part in (missing_summary(df), distinct_counts(df, exact=exact), column_footprint(df)):
+    for part in (inline_columns(row, df.columns, cells), distinct_counts(df, exact=exact)):
         info = info.join(F.broadcast(part), "column", "left")
-    return info.withColumn("rows", rows.scalar()).select(
+    return info.select(
         "column", "dtype", "class", "rows", "missing", "missing_pct", "distinct", "bytes"
     )

@@ -14,7 +14,7 @@ from tableassay.functions.schema import (
     union_all,
 )
 from tableassay.operators import calendar, distributions, relations, rules, stats
-from tableassay.operators.quantiles import QUARTERS, Ranges, brackets
+from tableassay.operators.quantiles import QUARTERS, Ranges, brackets, settled
 from tableassay.sources.auto import load_auto
 
 REPORT = "section string, column string, metric string, value double"
@@ -55,9 +55,9 @@ class Profile:
 
     @property
     def ranges(self) -> Ranges | None:
-        """Quartile brackets, found once and shared by all exact quartile users."""
+        """Quartiles and their brackets, found once and shared by all exact quartile users."""
         if self.exact and self._ranges is None and self.numeric_columns:
-            self._ranges = brackets(self.data, self.numeric_columns, QUARTERS)
+            self._ranges = settled(self.data, QUARTERS, brackets(self.data, self.numeric_columns, QUARTERS))
         return self._ranges
 
     def column_types(self) -> DataFrame:

@@ -99,6 +99,19 @@ def test_profile(spark, gappy, sf_dir):
     assert Profile(gappy, exact=False).statistical_summary().count() == 55
 
 
+def test_quartiles_are_scanned_once(spark, lineitem):
+    p = Profile(lineitem)
+    scans = lambda df: str(df._jdf.queryExecution().optimizedPlan()).count("] parquet")
+    assert scans(p.box_stats()) == 1 and scans(p.outlier_detection()) <= 2
+    assert p.statistical_summary().where("stat IN ('25%', '50%', '75%')").count() == 24
+    assert scans(stats.basic_info(lineitem)) == 1 + len(lineitem.columns)
+
+
+def test_boolean_frequencies(gappy):
+    got = {(r["column"], r["value"]): r["count"] for r in Profile(gappy).categorical_distributions().collect()}
+    assert got["flag", "true"] == got["flag", "false"] == 25
+
+
 def test_profile_without_numbers(spark):
     df = spark.createDataFrame([("a",), ("b",)], "t string")
     for name, out in Profile(df).complete_analysis("t").items():
