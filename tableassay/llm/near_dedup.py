@@ -10,7 +10,8 @@ small set borrows a filled one.
    verified on full sets against the most popular centre it meets.
 2. Pairs that share a bucket but no component yet are generated, except those that
    cannot be linked: by their sizes, or, if both were verified against one centre, by how
-   they differ from it. Where A and B are the shingles in which two sets differ from the
+   they differ from it. A node is also verified against its root, the centre of its
+   centre's centre and so on, so that all of a large group share one. Where A and B are the shingles in which two sets differ from the
    centre, they differ from each other in |A| + |B| - 2 |A and B|; bit masks of A and B
    bound the last term from above, so the bound drops no link. The Jaccard estimate,
    corrected for register collisions, drops a pair only six standard deviations below
@@ -196,6 +197,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 #: Longs of a mask of differing shingles.
 MASKS = 8
 _MASK = [f"m{i}" for i in range(MASKS)]
+_FAR = [f"f{i}" for i in range(MASKS)]
 
 
 def mask(apart: np.ndarray) -> np.ndarray:
@@ -226,18 +228,32 @@ def _measured(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(percent: int) -> Column:
-    """Whether sides x and y of a bucket, n and differ known, may be linked."""
+    """Whether sides x and y of a bucket, of which n and the distances are known, may be linked."""
+    total = F.col("x.n") + F.col("y.n")
 
-    def alone(one: str, other: str) -> Column:
-        left = sum((F.bit_count(F.col(f"{one}.{m}").bitwiseAND(F.bitwise_not(f"{other}.{m}"))) for m in _MASK), F.lit(0))
-        return F.col(f"{one}.differ") - left
+    def near(centre: str, differ: str, masks: list[str]) -> Column:
+        def alone(one: str, other: str) -> Column:
+            left = sum((F.bit_count(F.col(f"{one}.{m}").bitwiseAND(F.bitwise_not(f"{other}.{m}"))) for m in masks), F.lit(0))
+            return F.col(f"{one}.{differ}") - left
+
+        apart = F.col(f"x.{differ}") + F.col(f"y.{differ}") - 2 * F.least(alone("x", "y"), alone("y", "x"))
+        tried = (F.col(f"x.{centre}") == F.col("y.node")) | (F.col(f"y.{centre}") == F.col("x.node"))
+        return ~tried & ((F.col(f"x.{centre}") != F.col(f"y.{centre}")) | ((100 + percent) * apart <= (100 - percent) * total))
 
-    total = F.col("x.n") + F.col("y.n")
-    apart = F.col("x.differ") + F.col("y.differ") - 2 * F.least(alone("x", "y"), alone("y", "x"))
     sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    near = (F.col("x.centre") != F.col("y.centre")) | ((100 + percent) * apart <= (100 - percent) * total)
-    tried = (F.col("x.centre") == F.col("y.node")) | (F.col("y.centre") == F.col("x.node"))
-    return sizes & ~tried & near
+    return sizes & near("centre", "differ", _MASK) & near("root", "far", _FAR)
+
+
+def _roots(star: DataFrame) -> DataFrame:
+    """node and root, the end of its chain of centres, by doubling steps; each centre
+    is met more often than the nodes it is of, so a chain has an end."""
+    roots = star.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    while True:
+        ahead = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new = staged(roots.join(ahead, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "near-roots")
+        roots = new.select("node", "root")
+        if not new.where("moved").limit(1).count():
+            return roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -287,15 +303,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     labelled = members.join(comp, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     open_members = staged(labelled.join(mixed, "key"), "near-open")
-    # a node without a centre is one, and does not differ from itself
     own = tried.select(F.col("a").alias("node"), F.col("b").alias("centre"), "differ", *_MASK)
-    side = open_members.join(own, "node", "left").withColumn("centre", F.coalesce("centre", "node")).fillna(0, ["differ", *_MASK])
+    wanted = open_members.select("node").distinct().join(_roots(star), "node").join(own, "node")
+    near = wanted.where("root = centre").select("node", "root", F.col("differ").alias("far"), *[F.col(m).alias(f) for m, f in zip(_MASK, _FAR, strict=True)])
+    beyond = staged(_measured(wanted.where("root <> centre").select(F.col("node").alias("a"), F.col("root").alias("b")), sets, percent), "near-beyond")
+    links = links.union(beyond.where("linked").select("a", "b"))
+    near = near.union(beyond.select("a", "b", "differ", *_MASK))
+    # a node without a centre is one, and does not differ from itself
+    side = open_members.join(own, "node", "left").join(near, "node", "left")
+    side = side.withColumns({"centre": F.coalesce("centre", "node"), "root": F.coalesce("root", "node")}).fillna(0, ["differ", *_MASK, "far", *_FAR])
     same_key = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))
     pairs = side.alias("x").join(side.alias("y"), same_key & _possible(percent))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = _verified(_estimated(pairs, nodes, percent), sets, percent)
     more = staged(more, "near-checked")
-    if more.limit(1).count():
+    if more.limit(1).count() or beyond.where("linked").limit(1).count():
         comp = components(links.union(more))
 
     named = nodes.select("node", "set_id", "doc_id").join(comp, "node", "left")
