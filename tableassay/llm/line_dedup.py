@@ -5,11 +5,14 @@ from a line on that holds ``words`` words; the line with the smallest hash of ea
 window (the last of equals) is a fingerprint. Any run of ``words`` words or more that
 two places share holds a whole window, so both places select the same line in it.
 
-Each fingerprint is joined with its first position in the corpus, by doc_id and then
-text. From there the match is extended both ways, by binary search over hashes of runs
-of lines, so that texts with very many equal lines stay cheap; a run that reaches
-``words`` words is deleted at the later position. A line is only ever deleted where
-an equal line stands earlier, so no content is lost.
+Fingerprints are a sieve: equal windows select equal lines, so a window is followed up
+only if a fingerprint in it occurs more than once in the corpus. Those windows, and the
+shortest runs of ``words`` words that end (rather than start) at each line, are keyed by
+the hash of the whole run and joined with the first place of an equal run, by doc_id and
+then text; a run that is not the first is deleted. Any run of ``words`` words or more is
+the union of such windows, so a line goes if and only if it lies in a run of ``words``
+words or more that stands earlier as well, at whatever place. An equal line always stands
+earlier, so no content is lost.
 
 Defined cases: a null text stays null, an empty text has one empty line and loses
 nothing; documents with one id follow each other by text, equal rows in any order;
@@ -131,23 +134,46 @@ def repeated(own: np.ndarray, old: np.ndarray, words: np.ndarray, here: np.ndarr
     return np.flatnonzero(np.cumsum(depth)[:n] > 0)
 
 
-def _runs(pairs: DataFrame, least: int) -> DataFrame:
-    """row and the line ranges [from, to) of ``lines`` that repeat in ``old``."""
+def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of ``least`` words or more from each line on
+    and up to each line."""
+    n = len(words)
+    before = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    to = np.searchsorted(before, before[:-1] + least)
+    start = np.searchsorted(before, before[1:] - least, side="right") - 1
+    ahead, back = np.flatnonzero(to <= n), np.flatnonzero(start >= 0)
+    code = np.unique(np.concatenate((ahead * (n + 1) + to[ahead], start[back] * (n + 1) + back + 1)))
+    return code // (n + 1), code % (n + 1)
+
+
+def run_hashes(lines: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs [start, end) of lines."""
+    n = len(lines)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(lines.view(np.uint64)) * _powers(_BASE, n)[:n], out=total[1:])
+    return mix((total[end] - total[start]) * _powers(_BACK, n)[start] + (end - start).astype(np.uint64))
+
+
+def _windows(held: DataFrame, least: int) -> DataFrame:
+    """row, doc_id, draw, from, to and hash of the windows around the fingerprints ``met``."""
 
     def run(batches):
         for batch in batches:
-            rows, froms, tos = [], [], []
-            for i, row in enumerate(batch.column(0).to_pylist()):
-                own, words, old, here, there = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 6))
-                gone = repeated(own, old, words, here.astype(np.int64), there.astype(np.int64), least)
-                breaks = np.flatnonzero(np.diff(gone) > 1)
-                if len(gone):
-                    froms += gone[np.concatenate(([0], breaks + 1))].tolist()
-                    tos += (gone[np.concatenate((breaks, [len(gone) - 1]))] + 1).tolist()
-                    rows += [row] * (len(breaks) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(froms, pa.int32()), pa.array(tos, pa.int32())], ["row", "from", "to"])
+            for i in range(batch.num_rows):
+                lines, words, met = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5))
+                start, end = windows(words, least)
+                met = np.sort(met)
+                kept = np.searchsorted(met, end) > np.searchsorted(met, start)
+                start, end = start[kept], end[kept]
+                own = batch.slice(i, 1)
+                same = pa.array(np.zeros(len(start), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [*(own.column(c).take(same) for c in range(3)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(run_hashes(lines, start, end).view(np.int64))],
+                    ["row", "doc_id", "draw", "from", "to", "hash"],
+                )
 
-    return pairs.select("row", "lines", "words", "old", "here", "there").mapInArrow(run, "row long, from int, to int")
+    kind = held.schema["doc_id"].dataType.simpleString()
+    return held.select("row", "doc_id", "draw", "lines", "words", "met").mapInArrow(run, f"row long, doc_id {kind}, draw long, from int, to int, hash long")
 
 
 def _united(runs: DataFrame) -> DataFrame:
@@ -173,18 +199,15 @@ def deletions(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame
     and whether each line goes."""
     keyed = docs.drop("row").withColumn("row", F.monotonically_increasing_id())
     lines = staged(_lines(keyed, words), "line-hashes")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "draw", "row", "here")
-    marks = lines.select("row", "doc_id", "draw", "lines", F.explode("picked").alias("here"))
-    marks = marks.select("row", "doc_id", "draw", "here", F.expr("lines[here]").alias("hash"))
-    first = marks.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("met")).where("met > 1").select("hash", "first")
-    later = marks.join(first, "hash").select("row", "here", F.col("first.row").alias("source"), F.col("first.here").alias("there"))
-    later = later.where("row <> source OR here <> there")
-    # the lines of both documents travel once, whatever the number of matches between them
-    met = later.groupBy("row", "source").agg(F.collect_list(F.struct("here", "there")).alias("met"))
-    own = lines.select("row", "lines", "words")
-    old = lines.select(F.col("row").alias("source"), F.col("lines").alias("old"))
-    pairs = met.join(own, "row").join(old, "source").select("row", "lines", "words", "old", "met.here", "met.there")
-    return keyed, _united(_runs(pairs, words))
+    marks = lines.select("row", F.explode("picked").alias("here"), "lines").select("row", "here", F.expr("lines[here]").alias("hash"))
+    again = marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    met = marks.join(again, "hash").groupBy("row").agg(F.collect_list("here").alias("met"))
+    found = staged(_windows(lines.join(met, "row"), words), "line-windows")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "draw", "row", "from")
+    first = found.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = found.join(first.select("hash", F.col("first.row").alias("source"), F.col("first.from").alias("there")), "hash")
+    later = later.where("row <> source OR from <> there").select("row", "from", "to")
+    return keyed, _united(later)
 
 
 def _cut(text, cut):

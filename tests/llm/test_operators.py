@@ -146,6 +146,32 @@ def test_line_dedup_of_long_texts_of_equal_lines_and_clashing_columns(spark):
     assert got[1]["text"] == "the same five words here"
 
 
+def test_line_dedup_equals_brute_force_over_runs_of_lines_at_every_earlier_place(spark):
+    rng = np.random.default_rng(11)
+    # frequent short lines stand between rarer ones, some of them long or blank
+    common = ["", "a", "two words", "three words here"]
+    rare = [" ".join([f"r{i}"] * int(rng.choice([1, 4, 9, 30, 60]))) for i in range(60)]
+    line = lambda: common[rng.integers(4)] if rng.random() < 0.4 else rare[rng.integers(60)]
+    shared = [[line() for _ in range(rng.integers(3, 25))] for _ in range(12)]
+    texts = []
+    for _ in range(80):
+        parts = [shared[rng.integers(12)] if rng.random() < 0.5 else [line() for _ in range(rng.integers(1, 12))] for _ in range(rng.integers(1, 5))]
+        cut = [x[rng.integers(0, 3) :] for x in parts]
+        texts.append([y for x in cut for y in x] or [""])
+    seen, expected = set(), []
+    for lines in texts:
+        words, gone = [len(x.split()) for x in lines], set()
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if sum(words[a:b]) >= line_dedup.WORDS]
+        for a, b in runs:  # by start, so that what stands earlier in the text is seen
+            if tuple(lines[a:b]) in seen:
+                gone |= set(range(a, b))
+            seen.add(tuple(lines[a:b]))
+        expected.append(",".join(map(str, sorted(gone))))
+    rows = [(i, "\n".join(x)) for i, x in enumerate(texts)]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(expected)) and sum(map(bool, expected)) > 20
+
+
 def test_filters_leave_clashing_columns_alone(spark):
     rows = [(1, "clean words in a row here", "en", "a", "x", "y", 2.5, "z"), (2, "and another text of words", "en", "b", "x", "y", 1.5, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, items string, _n string, score double, node string")
