@@ -85,16 +85,18 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Where an empty register starts to look for a filled one.
-_LOOK = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) % U(REGISTERS)).astype(np.int64)
+#: For each register, its own order of all registers.
+_ORDER = (mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)) >> U(32)).astype(np.uint32).reshape(REGISTERS, REGISTERS)
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band. An empty register borrows the first filled one from a
-    place of its own on, so that bands of small sets are as selective as any."""
-    filled = np.flatnonzero(registers != EMPTY)
-    lent = registers[filled[np.searchsorted(filled, _LOOK) % len(filled)]]
-    rows = np.where(registers != EMPTY, registers, lent).reshape(BANDS, ROWS)
+    """One 64-bit key per band. An empty register borrows the filled one that is first in
+    an order of its own, so that registers of small sets agree independently, too."""
+    empty, filled = np.flatnonzero(registers == EMPTY), np.flatnonzero(registers != EMPTY)
+    rows = registers.copy()
+    if len(empty):
+        rows[empty] = registers[filled[_ORDER[np.ix_(empty, filled)].argmin(axis=1)]]
+    rows = rows.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         key = mix(key * U(0x9E3779B97F4A7C15) + rows[:, i].astype(np.uint64))

@@ -292,6 +292,15 @@ def test_near_duplicates_of_a_group_of_edited_copies_equal_brute_force(spark):
     assert got == {i: root(i) for i in range(len(rows))} and len(set(got.values())) > 5
 
 
+def test_short_texts_at_the_limit_are_linked(spark):
+    # 5, 10 and 20 shingles against 4, 8 and 16 of them: a similarity of exactly 0.8
+    texts = [[f"w{i}x{j}" for j in range(n + 3)] for i in range(300) for n in (5, 10, 20)]
+    rows = [(2 * i + half, " ".join(w[: len(w) - half * (len(w) - 3) // 5])) for i, w in enumerate(texts) for half in (0, 1)]
+    rows = [(i, t.replace("w", f"w{i // 2}y")) for i, t in rows]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_bound_of_two_sets_never_exceeds_their_distance():
     rng = np.random.default_rng(3)
     hashes = rng.integers(0, 1 << 64, 600, dtype=np.uint64)
