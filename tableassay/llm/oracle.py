@@ -86,6 +86,59 @@ SELECT doc_id, size, source_size, target, (rounds * size
 FROM rested
 """
 
+OP11 = """
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM docs),
+seqs AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM seqs WHERE len(w) > 0),
+totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+starts AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS d FROM places),
+grams AS (SELECT lang, list_slice(w, i, i + d - 1) AS g, count(*) AS a FROM starts GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM grams WHERE len(g) > 1),
+scored AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN totals t USING (lang) JOIN grams x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k) JOIN grams y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, len(c.g))),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_runs AS (SELECT lang, a, g, i, unnest(range(2, len(g))) AS d FROM (SELECT lang, a, g, unnest(range(1, len(g))) AS i FROM grams WHERE len(g) > 2)),
+covered AS (SELECT lang, list_slice(g, i, i + d - 1) AS g, max(a) AS most FROM inner_runs WHERE i + d - 1 <= len(g) GROUP BY ALL),
+open_phrases AS (SELECT x.*, array_to_string(x.g, ' ') AS phrase FROM lowest x LEFT JOIN covered c USING (lang, g) WHERE c.most IS NULL OR 100 * c.most < 100 * x.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM open_phrases)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score FROM ranked WHERE rank <= 2000
+"""
+
+OP12 = """
+WITH RECURSIVE steps AS (SELECT i, 0 AS k, i::UINTEGER AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+docs AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size,
+  xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::UINTEGER)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::UINTEGER)::BIGINT AS text_crc32,
+  coalesce('=' || source, '') AS source, ('0x' || substr(md5('shard-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS draw FROM documents, crc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id NULLS FIRST, size, text_crc32) AS r, count(*) OVER (PARTITION BY source) AS n,
+  ('0x' || substr(md5('shard-1:of:' || source), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS shift FROM docs),
+line AS (SELECT *, row_number() OVER (ORDER BY (r - shift) / n, source, r) - 1 AS p, count(*) OVER () AS total FROM ranked),
+dealt AS (SELECT *, p * 40 // total AS shard FROM line)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (p - (shard * total + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM dealt
+"""
+
+OP13 = """
+WITH RECURSIVE known AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+docs AS (SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+words AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM docs),
+masks AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+  + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS m FROM words LEFT JOIN known USING (doc_id)),
+counts AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM masks GROUP BY part, m),
+orders AS (SELECT '' AS o UNION ALL SELECT o || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE NOT contains(o, f)),
+steps AS (SELECT o, s, (1 << (ord(substr(o, s, 1)) - 65))::INT AS bit, coalesce(list_sum(list_transform(range(1, s), lambda i: (1 << (ord(substr(o, i, 1)) - 65))::INT)), 0)::INT AS earlier
+  FROM (SELECT o, unnest(range(1, 6)) AS s FROM orders WHERE len(o) = 5)),
+steps_of AS (SELECT part, o, s, bit,
+  sum(n) FILTER (m & (earlier | bit) = 0) AS kept, sum(n) FILTER (m & earlier = 0 AND m & bit > 0) AS removed, sum(n) FILTER (m & earlier > 0 AND m & bit > 0) AS redundant,
+  sum(n) FILTER (m = bit) AS unique_fails, sum(g) FILTER (m & earlier = 0 AND m & bit > 0) AS good_lost, sum(x) FILTER (m & earlier = 0 AND m & bit > 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, o, s, bit)
+SELECT part, o AS filter_order, s::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM steps_of
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op8_near_dedup": OP8, "op9_topk": OP9, "op10_mixing": OP10}
+    return {"op2_decontamination": OP2, "op8_near_dedup": OP8, "op9_topk": OP9, "op10_mixing": OP10, "op11_phrases": OP11, "op12_sharding": OP12, "op13_filter_audit": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableassay.llm import brown_lm, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality, secrets, topk
+from tableassay.llm import brown_lm, decontaminate, filter_audit, language_id, line_dedup, mixing, near_dedup, phrases, pii, quality, secrets, sharding, topk
 from tableassay.llm.shared import table
 
 
@@ -50,6 +50,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,5 +69,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secrets, op2_decontamination, op3_brown_lm, op4_quality, op5_pii, op6_line_dedup, op7_language, op8_near_dedup, op9_topk, op10_mixing, pipeline)
+    own = (op1_secrets, op2_decontamination, op3_brown_lm, op4_quality, op5_pii, op6_line_dedup, op7_language, op8_near_dedup, op9_topk, op10_mixing, op11_phrases, op12_sharding, op13_filter_audit, pipeline)
     return {f.__name__: f for f in own}
