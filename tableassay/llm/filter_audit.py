@@ -15,8 +15,9 @@ the changes up gives the counters, and from them every order and step.
 Rows of one text are combined in each task before they are dealt by text, so a text that
 fills a third of the table sends a few rows per task. A call of the state function costs
 milliseconds, so texts share one: state is keyed by pages of digests, as many as keep
-about ``PAGE`` texts in each. It stays out of memory (RocksDB) and grows with the distinct
-texts; ``BATCHES`` is the number of micro-batches.
+about ``PAGE`` texts in each. State grows with the distinct texts, some 100 bytes each; where
+that passes the executors' memory, set the session's state store to RocksDB. ``BATCHES``
+is the number of micro-batches.
 
 Defined cases: null and empty texts are one text, without words; a null doc_id is not
 smaller than any and has no smaller one, so it passes E, and has no labels; rows that
@@ -48,9 +49,6 @@ PAGE = 1000
 _E = 16
 _GOOD, _TOXIC = 1, 2
 _HELD = 100_000
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 _CAPITAL = np.isin(np.arange(256), list(range(65, 91)))
 _ODD = np.isin(np.arange(256), list(b"#$%&*|"))
@@ -185,13 +183,8 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     combined = _labelled(stream, labels).mapInArrow(_combine, packed)
     changes = combined.withColumn("page", page).groupBy("page").applyInPandasWithState(_changes, counted, "held string", "append", "NoTimeout").mapInArrow(_summed, counted)
     sink, checkpoint = scratch_path(spark, "audit-changes"), scratch_path(spark, "audit-checkpoint")
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)
-    try:
-        query = changes.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set(_STORE, before)
+    query = changes.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(counted).parquet(sink).groupBy("part", "mask", "kind").agg(F.sum("n").alias("n"))
 
 
