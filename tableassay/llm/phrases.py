@@ -7,10 +7,10 @@ group's subtree is built alone, and phrase counts are sums over its leaves:
 
 1. Words are counted per lang and get 64-bit codes; codes are checked to differ.
 2. A suffix is cut where no phrase of ``least`` occurrences can go on: at rare words,
-   and before pairs (then triples) of words whose slot in a table of counters stays
-   below ``least``. The slots give bit sets of at most ``SLOT_BITS`` bits; a slot shared
-   by rare pairs only keeps suffixes longer, so counts stay exact. What is left is
-   combined per task: leaves, with how often each occurs.
+   and before pairs of words whose slot in a table of counters stays below ``least``.
+   The slots give bit sets of at most 2^``SLOT_BITS`` bits; a slot shared by rare pairs
+   only keeps suffixes longer, so counts stay exact. What is left is combined per task:
+   leaves, with how often each occurs.
 3. Vertical partitioning: a suffix goes to the group of its first two words, or, where
    the counters show that these begin more than ``BUDGET`` suffixes, of its first three.
    Groups are hashed to as many tasks as keep about ``BUDGET`` suffixes in each.
@@ -22,7 +22,7 @@ that occur at least as often, so they are found among the nodes and the words. P
 pass 64 bits: decimals of 38 digits hold them.
 
 Defined cases: null and empty texts have no words; a null lang is ``und``; repeated rows
-count each; very long texts are read in slices by whole rows; an empty table gives no
+count each; a very long text is one slice; an empty table gives no
 row; columns that clash with the results, and others, are not read.
 """
 
@@ -43,7 +43,9 @@ TOP = 2000
 BUDGET = 2_000_000
 #: At most 2^SLOT_BITS counters: bit sets of 128 MB.
 SLOT_BITS = 30
-_HELD = 600_000
+#: Rows that a task combines, and bytes of text that it reads at once.
+_HELD = 400_000
+_SLICE = 1 << 20
 _RANGE_BITS = 18
 _W = [f"w{i + 1}" for i in range(DEPTH)]
 
@@ -88,42 +90,58 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _combined(batches, read, combine, most: int):
+    """What ``read`` makes of each slice, a tuple of arrays, combined. Rows go on only once
+    more than half of ``most`` are left after combining."""
+    held, size = [], 0
+    for whole in batches:
+        for batch in pieces(whole, "text", _SLICE):
+            found = read(batch)
+            held.append(found)
+            size += len(found[-1])
+            if size >= most:
+                one = combine([np.concatenate(x, axis=-1) for x in zip(*held, strict=True)])
+                size = len(one[-1])
+                held = [one]
+                if 2 * size > most:
+                    yield one
+                    held, size = [], 0
+    if held:
+        yield combine([np.concatenate(x, axis=-1) for x in zip(*held, strict=True)])
+
+
+def _starts(changes: np.ndarray) -> np.ndarray:
+    """First rows of runs, where ``changes`` says of each row but the first if one begins."""
+    return np.flatnonzero(np.concatenate(([True], changes)))
+
+
 def _counted(docs: DataFrame, seed: int) -> DataFrame:
     """lang, word, code and f of every word."""
 
+    def read(batch):
+        found = Pieces(batch, seed)
+        codes, first, back, n = np.unique(found.codes, return_index=True, return_inverse=True, return_counts=True)
+        if (found.check != found.check[first][back]).any():
+            # one code for two words: all go on, and are told apart by their texts
+            codes, first, n = found.codes, np.arange(len(found.codes)), np.ones(len(found.codes), np.int64)
+        raw, words = found.data.tobytes(), found.words
+        texts = np.empty(len(first), object)
+        texts[:] = [raw[a:b].decode() for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
+        langs = np.array(batch.column(0).to_pylist(), object)[words.of[first]]
+        return langs, texts, codes, found.check[first], n
+
+    def combine(columns):
+        langs, texts, codes, checks, n = columns
+        if not len(n):
+            return columns
+        order = np.argsort(codes, kind="stable")
+        first = _starts((np.diff(codes[order]) != 0) | (checks[order][1:] != checks[order][:-1]))
+        at = order[first]
+        return langs[at], texts[at], codes[at], checks[at], np.add.reduceat(n[order], first)
+
     def run(batches):
-        held, size = [], 0
-
-        def out():
-            langs, texts, codes, checks, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(codes, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], codes[order][1:] != codes[order][:-1])))
-            if (checks[order] != np.repeat(checks[order][first], np.diff(np.append(first, len(order))))).any():
-                # the same code for two words: both go on, and are told apart by their texts
-                first = np.arange(len(order))
-            at = order[first]
-            yield pa.RecordBatch.from_arrays([pa.array(langs[at], pa.string()), pa.array(texts[at], pa.string()), pa.array(codes[at].view(np.int64)), pa.array(np.add.reduceat(n[order], first))], ["lang", "word", "code", "n"])
-
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                found = Pieces(batch, seed)
-                if not len(found.codes):
-                    continue
-                codes, first, back, n = np.unique(found.codes, return_index=True, return_inverse=True, return_counts=True)
-                if (found.check != found.check[first][back]).any():
-                    first, n = np.arange(len(found.codes)), np.ones(len(found.codes), np.int64)
-                    codes = found.codes
-                raw, words = found.data.tobytes(), found.words
-                texts = np.empty(len(first), object)
-                texts[:] = [raw[a:b].decode() for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
-                langs = np.array(batch.column(0).to_pylist(), object)[words.of[first]]
-                held.append((langs, texts, codes, found.check[first], n))
-                size += len(first)
-                if size >= _HELD:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
+        for langs, texts, codes, _, n in _combined(batches, read, combine, _HELD):
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "word", "code", "n"])
 
     per = _texts(docs).mapInArrow(run, "lang string, word string, code long, n long")
     return per.groupBy("lang", "word").agg(F.first("code").alias("code"), F.sum("n").alias("f"))
@@ -175,7 +193,7 @@ def _set(flags: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Whether a word, pair or triple may occur often enough; its parts broadcast."""
+    """Whether a word or pair may occur often enough; its parts broadcast."""
 
     def __init__(self, seed: int, bits: int):
         self.seed, self.bits, self.levels = seed, bits, []
@@ -184,33 +202,21 @@ class Filter:
         self.levels.append(spark.sparkContext.broadcast(flags))
 
     def runs(self, found: Pieces) -> np.ndarray:
-        """How many words from each on may be one phrase: two words of a pair that may,
-        three of which both pairs and the triple may, and so on."""
+        """How many words from each on, up to ``DEPTH``, may be one phrase: each word and
+        each pair in it may."""
         codes, n = found.codes, len(found.codes)
-        link = found.follows.copy()  # word i to i + 1
         if not n:
             return np.zeros(0, np.int64)
         word = _set(self.levels[0].value, _slot(codes, self.bits))
+        link = found.follows & word  # word i to i + 1
         link[:-1] &= word[1:]
-        link &= word
-        key = codes
-        for d, level in enumerate(self.levels[1:], start=2):
-            key = joined(codes, key, d)
-            may = np.zeros(n, bool)
-            may[: len(key)] = _set(level.value, _slot(key, self.bits))
-            if d == 2:
-                link &= may
-            else:
-                triple = may
-        reach = np.where(word, 1, 0)
-        going = word.copy()
-        for d in range(2, DEPTH + 1):
+        if len(self.levels) > 1:
+            link[:-1] &= _set(self.levels[1].value, _slot(joined(codes, codes, 2), self.bits))
+        reach, going = word.astype(np.int64), word
+        for d in range(1, DEPTH):
             step = np.zeros(n, bool)
-            if d - 1 < n:
-                step[: n - d + 1] = link[d - 2 : n - 1]
-                if len(self.levels) > 2 and d >= 3:
-                    step[: n - d + 1] &= triple[d - 3 : n - 2]
-            going &= step
+            step[: max(0, n - d)] = link[d - 1 : n - 1]
+            going = going & step
             reach += going
         return reach
 
@@ -221,33 +227,26 @@ def joined(codes: np.ndarray, shorter: np.ndarray, d: int) -> np.ndarray:
     return mix(shorter[:n] * U(0x9E3779B97F4A7C15) + codes[d - 1 : d - 1 + n])
 
 
-def _slots(docs: DataFrame, sieve: Filter, d: int) -> DataFrame:
-    """slot and n of the runs of d words that the filter lets through."""
+def _slots(docs: DataFrame, sieve: Filter) -> DataFrame:
+    """slot and n of the pairs of words that the filter lets through."""
     seed, bits = sieve.seed, sieve.bits
 
+    def read(batch):
+        found = Pieces(batch, seed)
+        pair = joined(found.codes, found.codes, 2)
+        return np.unique(_slot(pair[sieve.runs(found)[: len(pair)] >= 2], bits), return_counts=True)
+
+    def combine(columns):
+        slot, n = columns
+        if not len(n):
+            return columns
+        order = np.argsort(slot, kind="stable")
+        first = _starts(np.diff(slot[order]) != 0)
+        return slot[order][first], np.add.reduceat(n[order], first)
+
     def run(batches):
-        held, size = [], 0
-
-        def out():
-            slot, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(slot, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], slot[order][1:] != slot[order][:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(slot[order][first]), pa.array(np.add.reduceat(n[order], first))], ["slot", "n"])
-
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                found = Pieces(batch, seed)
-                key = found.codes
-                for k in range(2, d + 1):
-                    key = joined(found.codes, key, k)
-                slot, n = np.unique(_slot(key[sieve.runs(found)[: len(key)] >= d], bits), return_counts=True)
-                held.append((slot, n))
-                size += len(slot)
-                if size >= 4 * _HELD:
-                    yield from out()
-                    held, size = [], 0
-        if size:
-            yield from out()
+        for slot, n in _combined(batches, read, combine, 5 * _HELD):
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
 
     return _texts(docs).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
 
@@ -258,43 +257,32 @@ def _leaves(docs: DataFrame, sieve: Filter, heavy: np.ndarray) -> DataFrame:
     seed = sieve.seed
     heavy = docs.sparkSession.sparkContext.broadcast(heavy)
 
+    def read(batch):
+        found = Pieces(batch, seed)
+        reach = sieve.runs(found)
+        at = np.flatnonzero(reach >= 2)
+        rows = np.zeros((DEPTH, len(at)), np.uint64)
+        for k in range(DEPTH):
+            there = reach[at] > k
+            rows[k, there] = found.codes[at[there] + k]
+        return rows, np.ones(len(at), np.int64)
+
+    def combine(columns):
+        rows, n = columns
+        if not len(n):
+            return columns
+        order = np.lexsort(rows[::-1])
+        rows = rows[:, order]
+        first = _starts((rows[:, 1:] != rows[:, :-1]).any(axis=0))
+        return rows[:, first], np.add.reduceat(n[order], first)
+
     def run(batches):
-        held, size = [], 0
-
-        def out():
-            rows = np.concatenate(held, axis=1)
-            order = np.lexsort(rows[DEPTH - 1 :: -1])
-            rows = rows[:, order]
-            new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[:DEPTH, 1:] != rows[:DEPTH, :-1]).any(axis=0)
-            first = np.flatnonzero(new)
-            n = np.add.reduceat(rows[DEPTH].view(np.int64), first)
-            rows = rows[:DEPTH, first]
+        for rows, n in _combined(batches, read, combine, 2 * _HELD):
             pair = joined(rows[1], rows[0], 1)
             deep = np.isin(_slot(pair, sieve.bits), heavy.value)
             group = np.where(deep, joined(rows[2], pair, 1), pair)
             yield pa.RecordBatch.from_arrays([*(pa.array(w.view(np.int64)) for w in rows), pa.array(np.where(deep, 3, 2).astype(np.int32)), pa.array(group.view(np.int64)), pa.array(n)], [*_W, "d", "g", "n"])
 
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                found = Pieces(batch, seed)
-                reach = sieve.runs(found)
-                at = np.flatnonzero(reach >= 2)
-                if not len(at):
-                    continue
-                rows = np.zeros((DEPTH + 1, len(at)), np.uint64)
-                for k in range(DEPTH):
-                    there = reach[at] > k
-                    rows[k, there] = found.codes[at[there] + k]
-                rows[DEPTH] = 1
-                held.append(rows)
-                size += len(at)
-                if size >= _HELD:
-                    yield from out()
-                    held, size = [], 0
-        if size:
-            yield from out()
-
     longs = ", ".join(f"{w} long" for w in _W)
     return _texts(docs).mapInArrow(run, f"{longs}, d int, g long, n long")
 
@@ -359,13 +347,11 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     bits = _bits(tokens)
     sieve = Filter(seed, bits)
     sieve.add(spark, _flags(frequent.select(F.shiftrightunsigned("code", 64 - bits).alias("slot")), bits))
-    pairs = staged(_slots(docs, sieve, 2).where(F.col("n") >= least), "phrase-pairs")
+    pairs = staged(_slots(docs, sieve).where(F.col("n") >= least), "phrase-pairs")
     sieve.add(spark, _flags(pairs.select("slot"), bits))
     # at most tokens / budget slots; the budget grows where they would pass a hundred thousand
     budget = max(BUDGET, tokens // 100_000)
     heavy = np.array(sorted(r[0] for r in pairs.where(F.col("n") > budget).select("slot").collect()), np.int64)
-    triples = staged(_slots(docs, sieve, 3).where(F.col("n") >= least), "phrase-triples")
-    sieve.add(spark, _flags(triples.select("slot"), bits))
     passing = pairs.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-passing // BUDGET))
     nodes = _subtrees(_leaves(docs, sieve, heavy), tasks, least)
