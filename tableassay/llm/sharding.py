@@ -4,8 +4,9 @@ Each source's rows are put in a seeded order and get a fractional rank: the r-th
 rows stands at (r - offset) / n, where the seeded offset of the source, from 0 to 1,
 keeps small sources from meeting in one place. Sorted by fractional rank, the sources
 interleave as in the whole table, and equal cuts give shards whose row counts are at
-most one apart and which each hold their share of every source, up to one row for each
-end of the cut.
+most one apart and which each hold their share of every source: up to one row for each
+end of the cut, and where many sources have fewer rows than there are shards, up to the
+chance by which their places bunch.
 
 Neither order is made in one task. A source is split by the draw of its rows into about
 as many parts as a part has rows, and so is the line of fractional ranks; rows are
