@@ -85,17 +85,27 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
-#: For each register, its own order of all registers.
-_ORDER = (mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)) >> U(32)).astype(np.uint32).reshape(REGISTERS, REGISTERS)
+#: For each register, the places of all registers in an order of its own, and the order itself.
+_PLACE = (mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)) >> U(32)).astype(np.uint32).reshape(REGISTERS, REGISTERS)
+_ORDER = np.argsort(_PLACE, axis=1, kind="stable").astype(np.int16)
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """One 64-bit key per band. An empty register borrows the filled one that is first in
     an order of its own, so that registers of small sets agree independently, too."""
-    empty, filled = np.flatnonzero(registers == EMPTY), np.flatnonzero(registers != EMPTY)
+    held = registers != EMPTY
+    empty, filled = np.flatnonzero(~held), np.flatnonzero(held)
     rows = registers.copy()
-    if len(empty):
-        rows[empty] = registers[filled[_ORDER[np.ix_(empty, filled)].argmin(axis=1)]]
+    if 0 < len(filled) < 48:
+        rows[empty] = registers[filled[_PLACE[np.ix_(empty, filled)].argmin(axis=1)]]
+    elif len(filled):
+        step = 0
+        while len(empty):
+            first = _ORDER[empty, step]
+            found = held[first]
+            rows[empty[found]] = registers[first[found]]
+            empty = empty[~found]
+            step += 1
     rows = rows.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
@@ -286,7 +296,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     nodes = nodes.groupBy("set_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
-    buckets = _buckets(nodes)
+    # read twice: for the keys that are shared and for their members
+    buckets = staged(_buckets(nodes), "near-buckets")
     shared = buckets.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     members = staged(buckets.join(shared, "key"), "near-members")
 
