@@ -197,7 +197,8 @@ def _united(runs: DataFrame) -> DataFrame:
 def deletions(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a key ``row``, and per row with deletions the sorted line numbers
     and whether each line goes."""
-    keyed = docs.drop("row").withColumn("row", F.monotonically_increasing_id())
+    # the key depends on how the scan is split, so every later read is of the written rows
+    keyed = staged(docs.drop("row").withColumn("row", F.monotonically_increasing_id()), "line-rows")
     lines = staged(_lines(keyed, words), "line-hashes")
     marks = lines.select("row", F.explode("picked").alias("here"), "lines").select("row", "here", F.expr("lines[here]").alias("hash"))
     again = marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
@@ -219,7 +220,6 @@ def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The columns of ``docs`` with shortened ``text``, and n_lines, n_removed, removed (line numbers)."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed", "row", "cut")]
     keyed, gone = deletions(docs.select(columns), words)
-    # the key is a function of file and position alone; both reads of the input give the same one
     out = keyed.join(gone, "row", "left")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
     none = F.array().cast("array<int>")
