@@ -85,31 +85,28 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
-#: For each register, the places of all registers in an order of its own, and the order itself.
-_PLACE = (mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)) >> U(32)).astype(np.uint32).reshape(REGISTERS, REGISTERS)
-_ORDER = np.argsort(_PLACE, axis=1, kind="stable").astype(np.int16)
+#: For each register, all registers in an order of its own.
+_ORDER = (mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)) >> U(32)).reshape(REGISTERS, REGISTERS).argsort(axis=1, kind="stable").astype(np.int16)
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band. An empty register borrows the filled one that is first in
-    an order of its own, so that registers of small sets agree independently, too."""
+    """For each set (a row of registers) one 64-bit key per band. An empty register borrows
+    the filled one that is first in an order of its own, so that registers of small sets
+    agree independently, too."""
     held = registers != EMPTY
-    empty, filled = np.flatnonzero(~held), np.flatnonzero(held)
     rows = registers.copy()
-    if 0 < len(filled) < 48:
-        rows[empty] = registers[filled[_PLACE[np.ix_(empty, filled)].argmin(axis=1)]]
-    elif len(filled):
-        step = 0
-        while len(empty):
-            first = _ORDER[empty, step]
-            found = held[first]
-            rows[empty[found]] = registers[first[found]]
-            empty = empty[~found]
-            step += 1
-    rows = rows.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    of, empty = np.nonzero(~held & held.any(axis=1)[:, None])
+    step = 0
+    while len(of):
+        first = _ORDER[empty, step]
+        found = held[of, first]
+        rows[of[found], empty[found]] = registers[of[found], first[found]]
+        of, empty = of[~found], empty[~found]
+        step += 1
+    rows = rows.reshape(-1, BANDS, ROWS)
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), 1))
     for i in range(ROWS):
-        key = mix(key * U(0x9E3779B97F4A7C15) + rows[:, i].astype(np.uint64))
+        key = mix(key * U(0x9E3779B97F4A7C15) + rows[:, :, i].astype(np.uint64))
     return key
 
 
@@ -146,13 +143,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 def _buckets(nodes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            keys = [band_keys(np.frombuffer(r, np.uint8)) for r in batch.column(2).to_pylist()]
-            per = np.array([len(x) for x in keys], np.int64)
-            node = np.repeat(batch.column(0).to_numpy(), per)
-            size = np.repeat(batch.column(1).to_numpy(), per)
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            for i in range(0, max(1, len(flat)), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (flat, node, size)], ["key", "node", "n"])
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                keys = band_keys(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, REGISTERS))
+                node, size = (np.repeat(part.column(i).to_numpy(), BANDS) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.reshape(-1).view(np.int64), node, size)], ["key", "node", "n"])
 
     return nodes.select("node", "n_shingles", "regs").mapInArrow(run, "key long, node long, n long")
 
