@@ -85,8 +85,11 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
-#: For each register, all registers in an order of its own.
-_ORDER = (mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)) >> U(32)).reshape(REGISTERS, REGISTERS).argsort(axis=1, kind="stable").astype(np.int16)
+#: For each register, the places of all registers in an order of its own, and that order.
+_PLACE = (mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)) >> U(32)).astype(np.uint32).reshape(REGISTERS, REGISTERS)
+_ORDER = _PLACE.argsort(axis=1, kind="stable").astype(np.int16)
+#: Sets with fewer filled registers than these try them all.
+_FEW = 48
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
@@ -94,8 +97,11 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     the filled one that is first in an order of its own, so that registers of small sets
     agree independently, too."""
     held = registers != EMPTY
-    rows = registers.copy()
-    of, empty = np.nonzero(~held & held.any(axis=1)[:, None])
+    rows, size = registers.copy(), held.sum(axis=1)
+    for i in np.flatnonzero((size > 0) & (size < _FEW)).tolist():
+        empty, filled = np.flatnonzero(~held[i]), np.flatnonzero(held[i])
+        rows[i, empty] = registers[i, filled[_PLACE[np.ix_(empty, filled)].argmin(axis=1)]]
+    of, empty = np.nonzero(~held & (size >= _FEW)[:, None])
     step = 0
     while len(of):
         first = _ORDER[empty, step]
