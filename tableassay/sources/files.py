@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableassay.functions.schema import quoted, text
+from tableassay.functions.schema import quoted, text, union_all
 from tableassay.functions.values import is_number_text
+from tableassay.session import scratch_path
+from tableassay.sources import records
 
 # Texts that a CSV or workbook reader takes for a missing cell.
 NULL_TOKENS = (
@@ -101,6 +107,76 @@ def cast_texts(raw: DataFrame, types: dict[str, str]) -> DataFrame:
     return raw.selectExpr(*[cast(n) for n in raw.columns])
 
 
+#: Options that leave the layout of a file to Spark's own reader.
+_SPARK_LAYOUT = ("multiLine", "comment", "encoding", "charset", "lineSep")
+_CORRUPT = "_not_a_row"
+
+
+def _cells(record: str, sep: str, quote: str) -> list[str]:
+    return next(csv.reader([record], delimiter=sep, quotechar=quote), [])
+
+
+def _named(cells: list[str]) -> list[str]:
+    """Column names from a head: empty ones by position, repeated ones numbered."""
+    out: list[str] = []
+    for i, cell in enumerate(cells):
+        name, n = cell or f"_c{i}", 0
+        while name in out:
+            n += 1
+            name = f"{cell or f'_c{i}'}.{n}"
+        out.append(name)
+    return out
+
+
+def _whole_rows(rows: DataFrame, columns: list[str], sep: str, quote: str) -> DataFrame:
+    """``rows`` without the parser's note of rows that have another number of cells: with
+    fewer the last are missing, with more the job ends."""
+    q, s = (re.escape(x) for x in (quote, sep))
+    # no text of the first column: Spark refuses to read the note without any column beside it
+    nothing = f"substring(coalesce({quoted(columns[0])}, ''), 1, 0)"
+    bare = f"regexp_replace(concat({_CORRUPT}, {nothing}), {text(f'{q}[^{q}]*{q}')}, '')"
+    cells = f"(regexp_count({bare}, {text(s)}) + 1)"
+    said = f"concat('a row of ', {cells}, ' cells under {len(columns)} names: ', left({_CORRUPT}, 80))"
+    fits = f"CASE WHEN concat({_CORRUPT}, {nothing}) IS NULL OR {cells} <= {len(columns)} THEN true ELSE raise_error({said}) END"
+    return rows.where(fits).drop(_CORRUPT)
+
+
+def _text_rows(spark: SparkSession, path: str | list[str], settings: dict, names: list[str] | None, wanted: list[str] | None) -> DataFrame:
+    """All cells as text, files with other orders of columns merged by name."""
+    sep, quote, header = settings["sep"], settings.get("quote", '"'), settings["header"]
+    found = records.CsvLayout(records.lines(spark, path), sep, quote, settings["escape"])
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, head in found.heads.items():
+        if head:
+            cells = _cells(head, sep, quote)
+            own = _named(cells) if header else names or wanted or [f"_c{i}" for i in range(len(cells))]
+            groups.setdefault(tuple(own), []).append(file)
+    if not groups:
+        if wanted or names:
+            return spark.createDataFrame([], ", ".join(f"{quoted(n)} string" for n in wanted or names))
+        raise ValueError(f"no header and no rows in {path}")
+    first = next(iter(groups))
+    for other in groups:
+        if header and set(other) != set(wanted or first):
+            raise ValueError(f"the header {list(other)} of {groups[other][0]} has not the columns {list(wanted or first)}")
+        if not header and len(other) != len(first):
+            raise ValueError(f"{groups[other][0]} has {len(other)} columns, not {len(first)}")
+    options = {**settings, "columnPruning": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    parts = []
+    for columns, own in groups.items():
+        ddl = ", ".join(f"{quoted(n)} string" for n in [*columns, _CORRUPT])
+        if found.spans_lines:
+            rows = found.records(header)
+            rows = rows if len(groups) == 1 else rows.where(F.col("file").isin(own))
+            texts_only = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if k not in ("header", "enforceSchema", "inferSchema", "columnPruning")}
+            rows = rows.select(F.from_csv("record", ddl, texts_only).alias("row")).select("row.*")
+        else:
+            rows = spark.read.options(**options).schema(ddl).csv(path)
+            rows = rows if len(groups) == 1 else rows.where(F.col("_metadata.file_path").isin(own))
+        parts.append(_whole_rows(rows, list(columns), sep, quote).selectExpr(*[quoted(n) for n in wanted or (first if header else columns)]))
+    return union_all(parts)
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -114,31 +190,39 @@ def read_csv(
     na_values: Iterable[str] | str | None = None,
     keep_default_na: bool = True,
     infer_dates: bool = False,
+    scan: bool = True,
     **options,
 ) -> DataFrame:
     """CSV files with a header line and inferred types.
 
     Null tokens are removed before types are inferred, so a number column with
     ``NA`` cells stays a number column.  Dates stay text unless ``infer_dates``.
+
+    One scan of the lines finds each file's header and whether quoted cells hold line
+    breaks; if so, records are put together from lines, and files still split.  Files
+    merge by column name, whatever their order, also with ``schema``; files with other
+    names raise, and so do rows with more cells than names.  Rows with fewer cells lack
+    the last ones.  ``scan=False`` leaves the layout to Spark's reader, for files known
+    to be alike and without quoted breaks; headers that differ then raise.
     Pass ``schema`` in production jobs: it saves the inference scan.
-    A file whose header differs from the first one's raises.
-    Quoted line breaks need ``multiLine=True``, which makes files unsplittable.
     """
     settings = {"sep": sep, "header": header, "escape": '"', "inferSchema": False, "emptyValue": "", **options}
-    if header and schema is None:
-        settings.setdefault("enforceSchema", False)
-    reader = spark.read.options(**settings)
-    if schema is not None:
-        typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in typed.fields]))
-    raw = reader.csv(path)
-    if schema is None and names:
+    typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not scan or any(k in options for k in _SPARK_LAYOUT):
+        reader = spark.read.options(**({"enforceSchema": False} if header else {}), **settings)
+        if typed is not None:
+            reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in typed.fields]))
+        raw = reader.csv(path)
+    else:
+        raw = _text_rows(spark, path, settings, None if header else names, typed.names if typed is not None else None)
+    if typed is None and names:
         raw = raw.toDF(*names)
     if usecols:
         raw = raw.selectExpr(*[quoted(n) for n in usecols])
     raw = without_tokens(raw, null_tokens(na_values, keep_default_na))
-    if schema is not None:
-        return cast_texts(raw, {f.name: f.dataType.simpleString() for f in typed.fields})
+    if typed is not None:
+        kinds = {f.name: f.dataType.simpleString() for f in typed.fields}
+        return cast_texts(raw, kinds)
     fixed = dict(dtype or {})
     open_ = [n for n in raw.columns if n not in fixed]
     if open_:
@@ -146,6 +230,24 @@ def read_csv(
     return cast_texts(raw, fixed)
 
 
+def _turned(texts: DataFrame) -> DataFrame:
+    """Records of files that hold one object each, ``(record)``.
+
+    Where all values of the object are objects, it is read as pandas reads it: columns
+    that map row labels to cells.  Rows come from the labels; a column without a label
+    lacks that cell.  Otherwise the object is one record."""
+    cells = texts.select("file", F.from_json("value", "map<string, variant>", {"mode": "FAILFAST"}).alias("columns"), "value")
+    kinds = F.transform(F.map_values("columns"), lambda v: F.schema_of_variant(v))
+    form = cells.withColumn("by_column", (F.size("columns") > 0) & F.forall(kinds, lambda k: k.startswith("OBJECT")))
+    whole = form.where("NOT by_column").select(F.translate("value", "\n\r", "  ").alias("record"))
+    parts = form.where("by_column").select("file", F.explode(F.from_json("value", "map<string, map<string, variant>>", {"mode": "FAILFAST"})).alias("column", "cells"))
+    parts = parts.select("file", "column", F.explode("cells").alias("label", "cell"))
+    # a name as JSON text: the object of that one name without its brackets and value
+    pair = F.concat(F.expr("substring(to_json(map(column, 0)), 2, length(to_json(map(column, 0))) - 3)"), F.coalesce(F.to_json("cell"), F.lit("null")))
+    rows = parts.groupBy("file", "label").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(pair)), ","), F.lit("}")).alias("record"))
+    return whole.unionByName(rows.select("record"))
+
+
 def read_json(
     spark: SparkSession,
     path: str | list[str],
@@ -154,20 +256,38 @@ def read_json(
     lines: bool | None = None,
     **options,
 ) -> DataFrame:
-    """JSON records: one per line, or an array per file.
+    """JSON files: objects one per line, an array of objects, one object, or one object of
+    columns (``{"a": {"0": 1}}``), as pandas writes tables.
 
-    Unless ``lines`` tells the form, a first line that is a whole object means one
-    record per line; all files have one form.  Only the line form splits within a
-    file.  Malformed input raises.
+    Each file has the form that a scan of its brackets finds, so a folder may mix them.
+    ``lines=True`` says that all have an object per line and saves the scan.  Arrays are cut
+    between their elements, at line ends too, so a large file of many lines is read by many
+    tasks; their elements are written once as lines to the shared folder.  Malformed input,
+    text after an array and elements that are not objects raise.
     """
-    if lines is None:
-        filled = spark.read.text(path).where(r"value RLIKE '\\S'")
-        first = filled.selectExpr(r"value RLIKE '^\\s*\\{' AND try_parse_json(value) IS NOT NULL AS whole").head()
-        lines = first is not None and first["whole"]
-    reader = spark.read.options(**{"multiLine": not lines, "mode": "FAILFAST", **options})
+    settings = {"mode": "FAILFAST", **options}
+    if lines:
+        parts = [path] if isinstance(path, str) else list(path)
+    else:
+        found = records.JsonLayout(records.lines(spark, path))
+        parts, made = [unquote(f) for f in found.files("lines")], []
+        if found.files("array"):
+            made.append(found.elements().select("record"))
+        if found.files("one"):
+            whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+            made.append(_turned(whole.where(F.col("file").isin(found.files("one")))))
+        if made:
+            staged = scratch_path(spark, "json-lines")
+            union_all(made).write.text(staged)
+            parts = [*parts, staged]
+        elif not found.files("array", "empty"):
+            parts = [path] if isinstance(path, str) else list(path)
+        if not parts:
+            return spark.createDataFrame([], schema if schema is not None else T.StructType())
+    reader = spark.read.options(**settings)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.json(path)
+    return reader.json(parts)
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], **options) -> DataFrame:

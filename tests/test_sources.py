@@ -256,10 +256,81 @@ def test_json_form_is_found(spark, tmp_path):
         assert read_json(spark, str(path)).columns == ["a"]
 
 
-def test_csv_headers_that_differ_raise(spark, tmp_path):
-    from tableassay.sources.files import read_csv
-
-    (tmp_path / "1.csv").write_text("a,b\n1,2\n")
-    (tmp_path / "2.csv").write_text("b,a\n3,4\n")
+def test_csv_files_merge_by_name(spark, tmp_path):
+    for name, content in {"1 a.csv": "a,b\n1,2\n", "2.csv": "b,a\n3,4\n", "3.csv": "b,a\n", "4.csv": ""}.items():
+        (tmp_path / name).write_text(content)
+    for schema in (None, "a bigint, b bigint"):
+        assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path), schema).select("a", "b").collect()) == [(1, 2), (4, 3)]
+    (tmp_path / "5.csv").write_text("a,c\n5,6\n")
+    with pytest.raises(ValueError, match="a', 'c"):
+        files.read_csv(spark, str(tmp_path))
     with pytest.raises(Exception, match="(?i)header"):
-        read_csv(spark, [str(tmp_path / "1.csv"), str(tmp_path / "2.csv")], infer_dates=False).collect()
+        files.read_csv(spark, str(tmp_path), scan=False).collect()
+
+
+def test_csv_rows_of_other_lengths(spark, tmp_path):
+    (tmp_path / "short.csv").write_text('a,b,c\n1,2\n\n3,"x,y",z\n')
+    assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "short.csv")).collect()) == [(1, "2", None), (3, "x,y", "z")]
+    for row in ("4,5,6,7", "4,5,6,", '4,"x""y,",6,7', "4,5,6,,,"):
+        path = tmp_path / "long.csv"
+        path.write_text(f"a,b,c\n1,2,3\n{row}\n")
+        for schema in (None, "a string, b string, c string"):
+            with pytest.raises(Exception, match="cells under 3 names"):
+                files.read_csv(spark, str(path), schema).select("a").collect()
+
+
+@pytest.mark.parametrize("size", [7, 16, 61, 1 << 20])
+def test_csv_quoted_breaks_over_splits(spark, tmp_path, size):
+    cells = ["plain", 'with "quotes"', "two\nlines", 'a\n\n"b",\n', "", "x,y", 'ends with "', "\n", "é\nü" * 9, '5" disk', "cr\r\nlf"]
+    table = pd.DataFrame({"id": range(44), "text, of": cells * 4, "n": [1.5, None] * 22})
+    table.to_csv(tmp_path / "t.csv", index=False)
+    # a quote inside a cell opens nothing
+    (tmp_path / "u.csv").write_text('n,id,"text, of"\n2.5,100,5" disk\n,101,"a\nb"\n')
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    other.conf.set("spark.sql.files.openCostInBytes", "1")
+    got = files.read_csv(other, str(tmp_path), keep_default_na=False, dtype={"n": "string"})
+    assert size > 1000 or got.rdd.getNumPartitions() > 10
+    want = [(i, t, "" if pd.isna(n) else str(n)) for i, t, n in zip(table["id"], table["text, of"], table["n"])] + [(100, '5" disk', "2.5"), (101, "a\nb", "")]
+    assert sorted((r["id"], (r["text, of"] or ""), r["n"] or "") for r in got.collect()) == want
+    (tmp_path / "v.csv").write_text('id,"text, of",n\n1,"never closed\n')
+    with pytest.raises(ValueError, match="not closed"):
+        files.read_csv(other, str(tmp_path))
+
+
+MIXED = {
+    "array.json": '\ufeff[{"a": 1, "b": "]}{["},\n {"a": 2, "b": "\\"["}, {"a": 3},\n\n{\n"a"\n:\n4, "c": {"d": [1,\n2]}}\n]\n',
+    "lines.json": '{"a": 5}\n\n{"a": 6, "b": "x"}\n',
+    "one.json": '{\n "a": 7,\n "c": {"d": []}}',
+    "columns of.json": '{"a": {"0": 8, "1": 9, "x": null}, "b": {"0": "p\\"q", "1": null, "y": "z"}}',
+    "empty.json": "\n",
+    "none.json": "[]",
+}
+
+
+@pytest.mark.parametrize("size", [5, 40, 1 << 20])
+def test_json_folder_of_all_forms(spark, tmp_path, size):
+    for name, content in MIXED.items():
+        (tmp_path / name).write_text(content)
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    other.conf.set("spark.sql.files.openCostInBytes", "1")
+    got = files.read_json(other, str(tmp_path))
+    assert got.dtypes == [("a", "bigint"), ("b", "string"), ("c", "struct<d:array<bigint>>")]
+    rows = sorted(((r["a"], r["b"], r["c"]["d"] if r["c"] else None) for r in got.collect()), key=str)
+    want = [(1, "]}{[", None), (2, '"[', None), (3, None, None), (4, None, [1, 2]), (5, None, None), (6, "x", None), (7, None, []), (8, 'p"q', None), (9, None, None), (None, "z", None), (None, None, None)]
+    assert rows == sorted(want, key=str)
+
+
+def test_json_columns_as_pandas(spark, tmp_path):
+    table = pd.DataFrame({"a": [1, 2, 3], 'b "x"': ["p", None, "q"], "c": [0.5, None, 2.5]})
+    table.to_json(tmp_path / "t.json")
+    got = files.read_json(spark, str(tmp_path / "t.json"))
+    assert sorted(tuple(r) for r in got.select("a", '`b "x"`', "c").collect()) == [(1, "p", 0.5), (2, None, None), (3, "q", 2.5)]
+
+
+@pytest.mark.parametrize("content", ['[{"a": 1}]\n{"a": 4}\n', '[{"a": 1}, 2]', '{"a": 1', '"x"', '[{"a": 1}]]'])
+def test_json_that_is_none_raises(spark, tmp_path, content):
+    (tmp_path / "x.json").write_text(content)
+    with pytest.raises(Exception):
+        files.read_json(spark, str(tmp_path / "x.json")).collect()

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tableassay.session import scratch_path
 
@@ -81,3 +82,36 @@ def write_json(df: DataFrame) -> str:
     path = scratch_path(df.sparkSession, "json")
     df.write.json(path)
     return path
+
+
+def write_csv_texts(df: DataFrame) -> str:
+    """Quoted cells with their line breaks; two folders' files with other orders of columns."""
+    path = scratch_path(df.sparkSession, "csv-texts")
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    for i, columns in enumerate((df.columns, df.columns[::-1])):
+        part = df.where(f"{df.columns[0]} % 2 = {i}").select(columns)
+        part.write.mode("append").options(header=True, quoteAll=True, escape='"', **spaces).csv(path)
+    return path
+
+
+def write_json_forms(df: DataFrame, key: str) -> list[str]:
+    """A third of the rows as lines, a third as arrays, a third as objects of columns."""
+    paths = [scratch_path(df.sparkSession, f"json-{form}") for form in ("lines", "arrays", "columns")]
+    part = [df.where(f"{key} % 3 = {i}").withColumn("_file", F.col(key) % 7) for i in range(3)]
+    part[0].drop("_file").write.json(paths[0])
+    record = F.to_json(F.struct(*df.columns))
+    arrays = part[1].groupBy("_file").agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value"))
+    label = F.col(key).cast("string")
+    columns = [F.concat(F.lit(f'"{c}":'), F.to_json(F.map_from_entries(F.collect_list(F.struct(label, c))))) for c in df.columns]
+    turned = part[2].groupBy("_file").agg(F.concat(F.lit("{"), F.concat_ws(",", *columns), F.lit("}")).alias("value"))
+    for texts, path in zip((arrays, turned), paths[1:]):
+        texts.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return paths
+
+
+def small_splits(spark: SparkSession, size: str = "64k") -> SparkSession:
+    """A session whose scans cut even small files."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", size)
+    other.conf.set("spark.sql.files.openCostInBytes", "1k")
+    return other

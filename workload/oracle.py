@@ -445,7 +445,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "read_csv": csv,
         "read_excel": csv,
+        "read_csv_breaks": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "read_json": whole,
+        "read_json_forms": whole,
         "read_parquet": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000",
         "read_sqlite_table": whole,
         "read_sqlite_query": SQL_TEXTS["sql_left_join_agg"],
@@ -544,6 +546,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "duplicate_rows": f"SELECT duplicates, {stable('pct')}::DOUBLE AS duplicate_pct FROM ({duplicates('documents', ['text'])})",
         "duplicate_rows_nested": f"SELECT duplicates, {stable('pct')}::DOUBLE AS duplicate_pct FROM ({duplicates('embeddings', ['embedding'])})",
+        "duplicate_rows_whole": f"SELECT duplicates, {stable('pct')}::DOUBLE AS duplicate_pct FROM ({duplicates('messy', messy)})",
         "constant_columns": constants("messy", messy),
         "high_missing": gaps("labelled", LABELLED),
         "mixed_types": mixed("messy", ["c_mktsegment", "same", "code"]),

@@ -81,8 +81,20 @@ def read_csv(spark, sf):
     return files.read_csv(spark, fixtures.write_csv(rows))
 
 
+def read_csv_breaks(spark, sf):
+    """Whole texts with line breaks in quotes, cut over many splits, in two orders of columns."""
+    path = fixtures.write_csv_texts(load(spark, sf, "documents"))
+    return files.read_csv(fixtures.small_splits(spark), path)
+
+
 def read_json(spark, sf):
-    return files.read_json(spark, fixtures.write_json(load(spark, sf, "customer")), lines=True)
+    return files.read_json(spark, fixtures.write_json(load(spark, sf, "customer")))
+
+
+def read_json_forms(spark, sf):
+    """Files of three forms, each found by its brackets."""
+    paths = fixtures.write_json_forms(load(spark, sf, "customer"), "c_custkey")
+    return files.read_json(fixtures.small_splits(spark), paths)
 
 
 def read_parquet(spark, sf):
@@ -120,7 +132,15 @@ def explore_sample(spark, sf):
 
 
 def load_auto(spark, sf):
-    return auto.load_auto(spark, f"{sf}/supplier.parquet")
+    """A third of the suppliers by each suffix."""
+    rows, folder = load(spark, sf, "supplier"), scratch_path(spark, "auto")
+    parts = [rows.where(f"s_suppkey % 3 = {i}") for i in range(3)]
+    parts[0].write.option("header", True).csv(f"{folder}/a.csv")
+    parts[1].write.json(f"{folder}/b.JSON")
+    parts[2].write.parquet(f"{folder}/c.parquet")
+    read = [auto.load_auto(spark, f"{folder}/{name}") for name in ("a.csv", "b.JSON", "c.parquet")]
+    columns = rows.columns
+    return union_all([r.select(columns) for r in read]).withColumn("s_nationkey", F.col("s_nationkey").cast("int"))
 
 
 def write_table(spark, sf):
@@ -313,7 +333,9 @@ def queries() -> dict[str, Query]:
         # sources and sinks
         "read_csv": read_csv,
         "read_excel": read_excel,
+        "read_csv_breaks": read_csv_breaks,
         "read_json": read_json,
+        "read_json_forms": read_json_forms,
         "read_parquet": read_parquet,
         "read_sqlite_table": read_sqlite_table,
         "read_sqlite_query": read_sqlite_query,
@@ -394,6 +416,7 @@ def queries() -> dict[str, Query]:
         "feature_insights": _on("dated", lambda d: rules.feature_insights(d)),
         "duplicate_rows": _on("documents", lambda d: rules.duplicate_rows(d, ["text"]), "duplicate_pct"),
         "duplicate_rows_nested": _on("embeddings", lambda d: rules.duplicate_rows(d, ["embedding"]), "duplicate_pct"),
+        "duplicate_rows_whole": _on("messy", lambda d: rules.duplicate_rows(d), "duplicate_pct"),
         "constant_columns": _on("messy", rules.constant_columns),
         "high_missing": _on("labelled", rules.high_missing, "metric"),
         "mixed_types": _on("messy", lambda d: rules.mixed_types(d)),
