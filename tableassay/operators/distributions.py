@@ -69,15 +69,15 @@ def _histogram(df: DataFrame, names: list[str], bins: int) -> DataFrame:
     # w one half or, where that is lost in rounding, a share of v
     ends = ", ".join(f"struct(min({as_finite(df, n)}) AS lo, max({as_finite(df, n)}) AS hi)" for n in names)
     half = "greatest(0.5D, abs(b.lo) * power(2D, -44))"
-    wide = f"transform(array({{}}), b -> IF(b.lo = b.hi, struct(b.lo - {half} AS lo, b.hi + {half} AS hi), b)) AS b"
-    bounds = df.agg(F.expr(wide.format(ends))).scalar()
+    wide = f"transform(array({ends}), b -> IF(b.lo = b.hi, struct(b.lo - {half} AS lo, b.hi + {half} AS hi), b))"
+    # one row per column; joined, so that no expression repeats the aggregate
+    bounds = df.agg(F.expr(wide).alias("ends")).selectExpr("posexplode(ends) AS (idx, b)")
+    bounds = F.broadcast(bounds.selectExpr("idx", "b.lo AS lo", "b.hi AS hi", f"(b.hi - b.lo) / {bins} AS step"))
     finite = "abs(value) < double('Infinity')"
     spot = (
         long_numbers(df, names)
         .where("value IS NOT NULL")
-        .withColumn("b", F.get(bounds, F.col("idx")))
-        .selectExpr("idx", "value", "b.lo AS lo", "b.hi AS hi")
-        .selectExpr("idx", "value", "lo", "hi", f"(hi - lo) / {bins} AS step")
+        .join(bounds, "idx")
         .selectExpr("*", f"IF({finite}, least(floor(try_divide(value - lo, hi - lo) * {bins}), {bins - 1}), NULL) AS guess")
     )
     # the edges decide: lo + i * step, the last bin closed
@@ -93,19 +93,19 @@ def _histogram(df: DataFrame, names: list[str], bins: int) -> DataFrame:
     slots = (
         df.sparkSession.range(len(names) * (bins + 2), numPartitions=1)
         .selectExpr(f"CAST(id DIV {bins + 2} AS INT) AS idx", f"CAST(id % {bins + 2} AS INT) - 1 AS bin")
-        .withColumn("b", F.get(bounds, F.col("idx")))
+        .join(bounds, "idx")
     )
     inside = f"bin BETWEEN 0 AND {bins - 1}"
     filled = (
         slots.join(F.broadcast(counts), ["idx", "bin"], "left")
-        .where(f"IF({inside}, b.lo IS NOT NULL, count IS NOT NULL)")
+        .where(f"IF({inside}, lo IS NOT NULL, count IS NOT NULL)")
         .selectExpr(
             "idx",
             "bin",
             f"CASE WHEN bin < 0 THEN -double('Infinity') WHEN bin = {bins} THEN double('Infinity') "
-            f"ELSE b.lo + bin * ((b.hi - b.lo) / {bins}) END AS lower",
+            "ELSE lo + bin * step END AS lower",
             f"CASE WHEN bin < 0 THEN -double('Infinity') WHEN bin = {bins} THEN double('Infinity') "
-            f"WHEN bin = {bins - 1} THEN b.hi ELSE b.lo + (bin + 1) * ((b.hi - b.lo) / {bins}) END AS upper",
+            f"WHEN bin = {bins - 1} THEN hi ELSE lo + (bin + 1) * step END AS upper",
             "coalesce(count, 0L) AS count",
         )
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableassay.functions.schema import (
     NUMERIC,
     as_double,
+    as_finite,
     col,
     column_class,
     empty,
@@ -16,107 +19,128 @@ from tableassay.functions.schema import (
     numeric_columns,
     text,
     texts,
-    union_all,
 )
 from tableassay.functions.shape import long_numbers, with_names
 from tableassay.operators.distributions import value_counts
 from tableassay.operators.quantiles import Ranges, fences
-from tableassay.operators.stats import column_means, describe
+from tableassay.operators.stats import describe
 
 # Fixed value: correlations above it count as strong.
 STRONG = 0.7
 
-# Columns per block of a pair tile: a tile aggregates at most BLOCK * BLOCK
-# products, which stays within one generated aggregate.
-BLOCK = 6
+_FIELDS = ("n", "mx", "my", "cxx", "cyy", "cxy", "xlo", "xhi", "ylo", "yhi")
 
-_SUMS = ("n", "x1", "y1", "x2", "y2", "xy")
 
+class Gram:
+    """Co-moments of pairs of columns, each over the rows that hold both.
 
-def _pair_sums(df: DataFrame, names: list[str], pairs: list[tuple[int, int]], means: Column) -> DataFrame:
-    """``(i, j, sums..., ranges...)`` over rows in which both columns are present.
-
-    Rows without any gap take plain sums of products.  Rows with a gap are
-    expanded to the pairs they do hold; both parts then add up.
+    ``left`` columns against all: arrays of one row per left column.  Rows come as a
+    matrix with NaN for cells that are missing; products of the cells and of their masks
+    are matrix products.  States merge in any order, so tasks build one each.
     """
-    used = sorted({c for pair in pairs for c in pair})
-    # on the columns themselves, so that both conditions reach the scan
-    whole = " AND ".join(has_value(df, names[c]) for c in used)
-
-    def centred(rows: DataFrame) -> DataFrame:
-        rows = rows.selectExpr(*[f"{as_double(df, names[c])} AS v{c}" for c in used]).withColumn("m", means)
-        return rows.selectExpr(*[f"v{c} - m[{c}] AS d{c}" for c in used])
-
-    full = centred(df.where(whole)).agg(
-        F.expr("count(1) AS n"),
-        *[F.expr(f"{f}(d{c}) AS {k}{c}") for c in used for k, f in (("s", "sum"), ("lo", "min"), ("hi", "max"))],
-        *[F.expr(f"sum(d{c} * d{c}) AS q{c}") for c in used],
-        *[F.expr(f"sum(d{i} * d{j}) AS p{i}_{j}") for i, j in pairs if i != j],
-    )
-    entries = ", ".join(
-        f"struct({i} AS i, {j} AS j, n, s{i} AS x1, s{j} AS y1, q{i} AS x2, q{j} AS y2, "
-        f"{f'q{i}' if i == j else f'p{i}_{j}'} AS xy, lo{i} AS xlo, hi{i} AS xhi, lo{j} AS ylo, hi{j} AS yhi)"
-        for i, j in pairs
-    )
-    part_full = full.selectExpr(f"inline(array({entries}))")
-
-    cells = ", ".join(f"{i}, {j}, d{i}, d{j}" for i, j in pairs)
-    part_gaps = (
-        centred(df.where(f"NOT ({whole})"))
-        .selectExpr(f"stack({len(pairs)}, {cells}) AS (i, j, x, y)")
-        .where("x IS NOT NULL AND y IS NOT NULL")
-        .groupBy("i", "j")
-        .agg(
-            *[
-                F.expr(e)
-                for e in (
-                    "count(1) AS n",
-                    "sum(x) AS x1",
-                    "sum(y) AS y1",
-                    "sum(x * x) AS x2",
-                    "sum(y * y) AS y2",
-                    "sum(x * y) AS xy",
-                    "min(x) AS xlo",
-                    "max(x) AS xhi",
-                    "min(y) AS ylo",
-                    "max(y) AS yhi",
-                )
-            ]
-        )
-    )
-    return part_full.unionByName(part_gaps)
-
-
-def _pair_correlations(df: DataFrame, names: list[str], tiles: list[list[tuple[int, int]]]) -> DataFrame:
-    """``(i, j, r)``; NULL where a column does not vary over the shared rows."""
-    means = column_means(df, names)
-    sums = union_all([_pair_sums(df, names, tile, means) for tile in tiles])
-    whole = sums.groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in _SUMS],
-        *[F.expr(f"min({c}lo) AS {c}lo") for c in "xy"],
-        *[F.expr(f"max({c}hi) AS {c}hi") for c in "xy"],
-    )
-    cov, xx, yy = "(xy - x1 * y1 / n)", "(x2 - x1 * x1 / n)", "(y2 - y1 * y1 / n)"
-    # NaN compares above every number: it must not become a perfect correlation
-    r = f"greatest(-1D, least(1D, nullif(try_divide({cov}, sqrt({xx}) * sqrt({yy})), double('NaN'))))"
-    r = f"CASE WHEN isnan({cov}) OR isnan(sqrt({xx}) * sqrt({yy})) THEN NULL ELSE {r} END"
-    return whole.selectExpr(
-        "i", "j", f"CASE WHEN n = 0 OR xlo = xhi OR ylo = yhi THEN NULL WHEN i = j THEN 1D ELSE {r} END AS r"
-    )
-
 
-def _tiles(k: int) -> list[list[tuple[int, int]]]:
-    blocks = [range(s, min(s + BLOCK, k)) for s in range(0, k, BLOCK)]
-    return [
-        [(i, j) for i in a for j in b if i <= j]
-        for x, a in enumerate(blocks)
-        for b in blocks[x:]
-    ]
+    def __init__(self, left: list[int], k: int):
+        self.left = left
+        self.state = {f: np.zeros((len(left), k)) for f in _FIELDS[:6]}
+        self.state |= {f: np.full((len(left), k), np.inf if f.endswith("lo") else -np.inf) for f in _FIELDS[6:]}
+
+    def rows(self, values: np.ndarray) -> Gram:
+        """The state of one block of rows."""
+        left, held = self.left, ~np.isnan(values)
+        full = held.all(axis=0)
+        # sums around a value of the block stay precise far from zero
+        centre = np.divide(np.where(held, values, 0).sum(axis=0), held.sum(axis=0), out=np.zeros(values.shape[1]), where=held.any(axis=0))
+        x, m = np.where(held, values - centre, 0), held.astype(np.float64)
+        xl, ml = x[:, left], m[:, left]
+        n, sx, sy = ml.T @ m, xl.T @ m, ml.T @ x
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            dx, dy = (np.where(n > 0, s / n, 0) for s in (sx, sy))
+            cxx, cyy, cxy = (xl * xl).T @ m - n * dx * dx, ml.T @ (x * x) - n * dy * dy, xl.T @ x - n * dx * dy
+        low, high = np.where(held, values, np.inf), np.where(held, values, -np.inf)
+        ylo, yhi = (np.tile(v, (len(left), 1)) for v in (low.min(axis=0, initial=np.inf), high.max(axis=0, initial=-np.inf)))
+        xlo, xhi = (np.tile(v[0, left][:, None], (1, values.shape[1])) for v in (ylo, yhi)) if left else (ylo, yhi)
+        for at, i in enumerate(left):
+            if not full[i]:
+                ylo[at], yhi[at] = low[held[:, i]].min(axis=0, initial=np.inf), high[held[:, i]].max(axis=0, initial=-np.inf)
+        for j in np.flatnonzero(~full):
+            xlo[:, j], xhi[:, j] = low[held[:, j]][:, left].min(axis=0, initial=np.inf), high[held[:, j]][:, left].max(axis=0, initial=-np.inf)
+        out = Gram(left, values.shape[1])
+        out.state = dict(zip(_FIELDS, (n, centre[left][:, None] + dx, centre[None, :] + dy, cxx, cyy, cxy, xlo, xhi, ylo, yhi)))
+        return out
+
+    def add(self, other: Gram) -> None:
+        a, b = self.state, other.state
+        n = a["n"] + b["n"]
+        with np.errstate(invalid="ignore", over="ignore"):
+            share = np.divide(b["n"], n, out=np.zeros_like(n), where=n > 0)
+            dx, dy = (np.where(b["n"] > 0, b[m] - a[m], 0) for m in ("mx", "my"))
+            for c, d in (("cxx", dx * dx), ("cyy", dy * dy), ("cxy", dx * dy)):
+                a[c] = a[c] + b[c] + np.where(a["n"] > 0, d * a["n"] * share, 0)
+            a["mx"], a["my"] = a["mx"] + dx * share, a["my"] + dy * share
+        a["n"] = n
+        for f in _FIELDS[6:]:
+            a[f] = (np.minimum if f.endswith("lo") else np.maximum)(a[f], b[f])
+
+    def correlations(self) -> np.ndarray:
+        """r of each left column and column, NaN where there is none."""
+        s = self.state
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            r = np.clip(s["cxy"] / (np.sqrt(s["cxx"]) * np.sqrt(s["cyy"])), -1, 1)
+        r[np.array(self.left)[:, None] == np.arange(r.shape[1])] = 1
+        r[(s["n"] == 0) | (s["xlo"] == s["xhi"]) | (s["ylo"] == s["yhi"])] = np.nan
+        return r
+
+    def packed(self) -> bytes:
+        return np.stack([self.state[f] for f in _FIELDS]).tobytes()
+
+    def unpack(self, data: bytes) -> Gram:
+        out = Gram(self.left, self.state["n"].shape[1])
+        out.state = dict(zip(_FIELDS, np.frombuffer(data).reshape(len(_FIELDS), len(self.left), -1).copy()))
+        return out
+
+
+def _pair_correlations(df: DataFrame, names: list[str], left: list[int] | None = None) -> DataFrame:
+    """``(i, j, r)`` of the left columns and all; NULL where a column does not vary over the
+    shared rows.  Cells that are not finite leave the pairs of their column, no others.
+
+    One scan: a task returns one state, of a size that the columns alone decide, and
+    states are merged in two levels."""
+    k = len(names)
+    left = list(range(k)) if left is None else left
+
+    def summed(batches):
+        gram = Gram(left, k)
+        for batch in batches:
+            if batch.num_rows:
+                gram.add(gram.rows(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])))
+        yield pa.RecordBatch.from_arrays([pa.array([gram.packed()], pa.binary())], ["state"])
+
+    def merge(batches):
+        gram = Gram(left, k)
+        for batch in batches:
+            for state in batch.column(0).to_pylist():
+                gram.add(gram.unpack(state))
+        return gram
+
+    def merged(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([merge(batches).packed()], pa.binary())], ["state"])
+
+    def finished(batches):
+        r = merge(batches).correlations()
+        i, j = np.indices(r.shape)
+        values = pa.array(r.ravel(), mask=np.isnan(r.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(left, np.int32)[i.ravel()]), pa.array(j.ravel().astype(np.int32)), values], ["i", "j", "r"])
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    states = df.selectExpr(*[f"{as_finite(df, n)} AS v{i}" for i, n in enumerate(names)]).mapInArrow(summed, "state binary")
+    # a table without a task has no state: an empty one keeps its pairs
+    states = states.unionByName(df.sparkSession.createDataFrame([(Gram(left, k).packed(),)], "state binary"))
+    return states.repartition(tasks).mapInArrow(merged, "state binary").repartition(1).mapInArrow(finished, "i int, j int, r double")
 
 
 def _upper(df: DataFrame, names: list[str]) -> DataFrame:
     """``(i, j, r)`` for i <= j."""
-    return _pair_correlations(df, names, _tiles(len(names)))
+    return _pair_correlations(df, names).where("i <= j")
 
 
 CORRELATION = "feature_1 string, feature_2 string, r double"
@@ -201,11 +225,7 @@ def target_correlation(df: DataFrame, target: str, names: list[str] | None = Non
     features = [n for n in (numeric_columns(df) if names is None else names) if n != target]
     if not features or not is_numeric_target(df, target):
         return empty(df, "feature string, abs_r double")
-    # the target is position 0; features are taken a dozen per aggregate
-    tiles = [
-        [(0, j) for j in range(s, min(s + 2 * BLOCK, len(features) + 1))] for s in range(1, len(features) + 1, 2 * BLOCK)
-    ]
-    pairs = _pair_correlations(df, [target, *features], tiles)
+    pairs = _pair_correlations(df, [target, *features], [0]).where("j > 0")
     return (
         _named([target, *features], pairs)
         .selectExpr("feature_2 AS feature", "abs(r) AS abs_r")

@@ -132,3 +132,8 @@ def test_histogram_of_infinite_values_and_large_constants(spark):
 def test_box_stats_aggregates_hash_rows(spark, lineitem):
     plan = D.box_stats(lineitem, ["l_quantity"])._jdf.queryExecution().toString()
     assert "SortAggregate" not in plan
+
+
+def test_histogram_plan_scans_little(lineitem):
+    plan = D.histogram_density(lineitem)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4

@@ -80,7 +80,47 @@ def test_scatter_grid_counts_every_pair(gappy):
     assert {r[0]: r[1] for r in got} == {"x": pdf["x"].notna().sum(), "y": pdf["y"].notna().sum()}
 
 
-def test_gap_filter_reaches_the_scan(lineitem):
-    plan = R.correlation_matrix(lineitem.select("l_orderkey", "l_partkey"))._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(l_orderkey), IsNotNull(l_partkey)]" in plan
-    assert "Or(IsNull(l_orderkey),IsNull(l_partkey))" in plan
+def test_cells_that_are_not_finite_leave_their_pairs_only(spark, by):
+    cell = "CASE WHEN id % 3 = {0} THEN NULL WHEN id % 11 = {1} THEN double('Infinity') WHEN id % 13 = {1} THEN double('NaN') ELSE sin(id * {2}) + id * 1e-3 END"
+    names = [f"{cell.format(i % 3, i, i + 1)} AS c{i}" for i in range(4)]
+    df = spark.range(1, 500, numPartitions=9).selectExpr(*names, "IF(id = 7, -double('Infinity'), 1e9D + id) AS far", "double('Infinity') AS never")
+    table = df.toPandas()
+    want = table.where(np.isfinite(table)).corr()
+    got = by(R.correlation_matrix(df), "feature_1", "feature_2")
+    assert len(got) == 36
+    for (a, b), r in got.items():
+        w = want.loc[a, b]
+        assert r["r"] is None if np.isnan(w) else r["r"] == pytest.approx(w, abs=1e-9), (a, b)
+    target = by(R.target_correlation(df, "far"))
+    assert target["c1"]["abs_r"] == pytest.approx(abs(want.loc["c1", "far"]), abs=1e-9) and target["never"]["abs_r"] is None
+
+
+def test_gram_merges_in_any_order():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1000, 5)) * [1, 1e6, 1e-6, 1, 1] + [0, 1e9, 1, -1e7, 3]
+    x[:, 3] += x[:, 0]
+    x[rng.random(x.shape) < 0.3] = np.nan
+    import pandas as pd
+
+    want = pd.DataFrame(x).corr().to_numpy()
+    for cuts in ([500], [1, 2, 3, 999], list(range(50, 1000, 50))):
+        gram = R.Gram(list(range(5)), 5)
+        for part in np.split(x, cuts)[::-1]:
+            gram.add(gram.unpack(gram.rows(part).packed()))
+        np.testing.assert_allclose(gram.correlations(), want, atol=1e-9)
+
+
+def test_correlation_plan_of_many_columns(spark, tmp_path):
+    import time
+
+    spark.range(10).selectExpr(*[f"id * {i} + rand({i}) AS c{i}" for i in range(48)]).write.parquet(str(tmp_path / "wide"))
+    start = time.time()
+    df = R.correlation_matrix(spark.read.parquet(str(tmp_path / "wide")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert time.time() - start < 5 and plan.count("FileScan") == 1
+    assert df.count() == 48 * 48
+
+
+def test_correlation_of_no_rows(spark):
+    df = spark.createDataFrame([], "a double, b double")
+    assert {tuple(r) for r in R.correlation_matrix(df).collect()} == {(x, y, None) for x in "ab" for y in "ab"}

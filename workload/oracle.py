@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.queries import PRICED, PRICED_KEY, SQL_TEXTS
+from workload.queries import PRICED, PRICED_KEY, UNEVEN, SQL_TEXTS
 from workload.tables import source, stable
 
 # Schemas of the given tables that the statements need by name.
@@ -525,6 +525,7 @@ def oracle_sql() -> dict[str, str]:
         "box_stats": union([box("events", "value"), box("documents", "n_chars")]),
         "scatter_grid": scatter("priced", "revenue", [c for c in PRICED if c != "revenue"], 20),
         "correlation_matrix": corr_rows("priced", pairs(PRICED)),
+        "correlation_uneven": corr_rows("uneven_finite", pairs(UNEVEN)),
         "high_correlations": f"SELECT * FROM ({corr_rows('priced', upper)}) WHERE abs(r) > 0.7",
         "correlation_lower_triangle": corr_rows("lineitem", pairs(LINEITEM_NUMBERS, lambda i, j: i > j)),
         "outlier_detection": outliers("events", ["event_id", "user_id", "value"]),

@@ -21,6 +21,7 @@ from workload.tables import load, rounded
 Query = Callable[[SparkSession, str], DataFrame]
 
 PRICED = ["l_quantity", "l_discount", "price", "revenue"]
+UNEVEN = ["l_orderkey", "l_linenumber", "quantity", "price", "revenue"]
 PRICED_KEY = ["l_orderkey", "l_linenumber"]
 
 SQL_TEXTS = {
@@ -400,6 +401,7 @@ def queries() -> dict[str, Query]:
         ),
         # relations and outliers
         "correlation_matrix": _on("priced", lambda d: relations.correlation_matrix(d, PRICED), "r"),
+        "correlation_uneven": _on("uneven", lambda d: relations.correlation_matrix(d, UNEVEN), "r"),
         "high_correlations": _on("priced", lambda d: relations.high_correlations(d, PRICED), "r"),
         "correlation_lower_triangle": _on("lineitem", relations.correlation_lower_triangle, "r"),
         "outlier_detection": _on("events", relations.outlier_detection, "outlier_pct"),

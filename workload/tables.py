@@ -13,6 +13,20 @@ DERIVED = {
                CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_extendedprice END AS price,
                l_extendedprice * (1 - l_discount) AS revenue
         FROM lineitem""",
+    # a gap in most rows, and cells that are not finite
+    "uneven": """
+        SELECT l_orderkey, l_linenumber,
+               CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 7 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE l_quantity END AS quantity,
+               CASE WHEN l_partkey % 2 = 0 THEN NULL WHEN l_partkey % 11 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE l_extendedprice END AS price,
+               CASE WHEN l_suppkey % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice * (1 - l_discount) END AS revenue
+        FROM lineitem""",
+    # the same with gaps only
+    "uneven_finite": """
+        SELECT l_orderkey, l_linenumber,
+               CASE WHEN l_orderkey % 3 = 0 OR l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS quantity,
+               CASE WHEN l_partkey % 2 = 0 OR l_partkey % 11 = 0 THEN NULL ELSE l_extendedprice END AS price,
+               CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_extendedprice * (1 - l_discount) END AS revenue
+        FROM lineitem""",
     # most labels are missing
     "labelled": """
         SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
@@ -54,6 +68,8 @@ DERIVED = {
 
 _INPUTS = {
     "priced": ["lineitem"],
+    "uneven": ["lineitem"],
+    "uneven_finite": ["lineitem"],
     "labelled": ["documents", "labels"],
     "dated": ["orders"],
     "messy": ["customer"],
