@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tableassay.functions.schema import present, quoted
+from tableassay.functions.schema import NESTED, column_class, present, quoted
 
 # Lengths and separators by which a text counts as a date.
 DATE_LENGTHS = (8, 10, 19)
@@ -27,6 +27,52 @@ def is_number_text(sql: str) -> str:
     return f"({sql} RLIKE r'{_NUMBER}')"
 
 
+def canonical(sql: str, dtype: T.DataType) -> str:
+    """A value whose JSON form is equal exactly where the value is equal: map entries in
+    order of their keys, at any depth; a VARIANT as its own JSON text, keys sorted."""
+    if isinstance(dtype, T.VariantType):
+        return f"to_json({sql})"
+    if isinstance(dtype, T.ArrayType):
+        return f"transform({sql}, e -> {canonical('e', dtype.elementType)})" if _unordered(dtype.elementType) else sql
+    if isinstance(dtype, T.MapType):
+        ordered = f"array_sort(map_entries({sql}), (a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END)"
+        return f"transform({ordered}, e -> struct(e.key AS k, {canonical('e.value', dtype.valueType)} AS v))"
+    if isinstance(dtype, T.StructType) and _unordered(dtype):
+        fields = ", ".join(f"{canonical(f'{sql}.{quoted(f.name)}', f.dataType)} AS {quoted(f.name)}" for f in dtype.fields)
+        return f"IF({sql} IS NULL, NULL, struct({fields}))"
+    return sql
+
+
+def _unordered(dtype: T.DataType) -> bool:
+    """Whether the type holds a map or a VARIANT."""
+    if isinstance(dtype, T.ArrayType):
+        return _unordered(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_unordered(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (T.MapType, T.VariantType))
+
+
+def digest(df: DataFrame, name: str) -> tuple[str, str]:
+    """Two 64-bit hashes, equal together exactly where the column is equal; NULL where it is
+    missing.  Numbers of up to eight bytes are told apart by either alone."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        value = f"({present(df, name)} + 0)"  # the zeros are one value
+    elif column_class(dtype) == NESTED or _unordered(dtype):
+        value = f"to_json(struct({canonical(quoted(name), dtype)} AS v), map('ignoreNullFields', 'false'))"
+    else:
+        value = quoted(name)
+    some = f"{present(df, name)} IS NULL"
+    return f"IF({some}, NULL, xxhash64({value}))", f"IF({some}, NULL, xxhash64('second', {value}))"
+
+
+def top_key(df: DataFrame, name: str) -> str:
+    """A text that stands for a value in counts and orders like it: a short one whole, of a
+    long one its first characters and a digest."""
+    raw = f"CAST({present(df, name)} AS STRING)"
+    return f"IF(length({raw}) > {LONG_TEXT}, concat('#', left({raw}, {LONG_TEXT}), sha2(CAST({raw} AS BINARY), 256)), concat('=', {raw}))"
+
+
 def identity(df: DataFrame, name: str) -> str:
     """A value that is equal exactly where the column is equal.
 
@@ -34,6 +80,8 @@ def identity(df: DataFrame, name: str) -> str:
     grouping by a column of whole documents shuffles about 70 bytes a row.
     """
     raw = quoted(name)
+    if isinstance(df.schema[name].dataType, T.VariantType):
+        return f"sha2(to_json({raw}), 256)"
     if isinstance(df.schema[name].dataType, T.StringType):
         return (
             f"CASE WHEN octet_length({raw}) > {LONG_TEXT} "
@@ -41,3 +89,8 @@ def identity(df: DataFrame, name: str) -> str:
             f"ELSE concat('=', {raw}) END"
         )
     return present(df, name)
+
+
+def identity_text(df: DataFrame, name: str) -> str:
+    """``identity`` as text, NULL where the cell is missing."""
+    return f"CAST({identity(df, name) if not isinstance(df.schema[name].dataType, T.StringType) else quoted(name)} AS STRING)"

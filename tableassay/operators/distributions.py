@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import factorial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableassay.functions.schema import (
@@ -17,10 +17,11 @@ from tableassay.functions.schema import (
     has_value,
     numeric_columns,
     present,
+    quoted,
     text,
-    union_all,
 )
 from tableassay.functions.shape import long_numbers, with_names
+from tableassay.functions.values import top_key
 from tableassay.operators.quantiles import Ranges, fences
 
 HISTOGRAM = "column string, bin int, lower double, upper double, count bigint, density double"
@@ -229,18 +230,27 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
 def value_counts_topn(df: DataFrame, names: list[str] | None = None, top_n: int = 10) -> DataFrame:
     """``(column, value, count)``: the most frequent values of text and boolean columns.
 
-    One branch per column: counts combine before the shuffle, and the top rows
-    are kept per task, so nothing large is sorted.
+    One scan: values combine before the shuffle, longer texts as their first characters
+    and a digest, and the top rows are kept per task.  A second scan fetches the whole
+    texts of those winners, ``top_n`` rows a column; no other text moves.  Ties go by
+    value, between long texts that begin alike by digest.
     """
     names = columns_of(df, CATEGORICAL, BOOLEAN) if names is None else names
     if not names:
         return empty(df, "column string, value string, count bigint")
-    return union_all(
-        [
-            value_counts(df, n).limit(top_n).selectExpr(f"{text(n)} AS column", "CAST(value AS STRING) AS value", "count")
-            for n in names
-        ]
-    )
+
+    def cells(with_text: bool):
+        each = (f"{i}, {top_key(df, n)}" + f", CAST({quoted(n)} AS STRING)" * with_text for i, n in enumerate(names))
+        return df.selectExpr(f"stack({len(names)}, {', '.join(each)}) AS (idx, key{', value' * with_text})").where("key IS NOT NULL")
+
+    # the mark that tells long texts is no part of the order
+    order = Window.partitionBy("idx").orderBy(F.desc("count"), F.expr("substring(key, 2)"))
+    counts = cells(False).groupBy("idx", "key").agg(F.expr("count(1) AS count"))
+    top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n)
+    long = F.broadcast(top.where("key LIKE '#%'").select("idx", "key"))
+    texts = cells(True).join(long, ["idx", "key"], "left_semi").groupBy("idx", "key").agg(F.first("value").alias("value"))
+    out = top.join(F.broadcast(texts), ["idx", "key"], "left").selectExpr("idx", "place", "coalesce(value, substring(key, 2)) AS value", "count")
+    return with_names(out, names).orderBy("column", "place").select("column", "value", "count")
 
 
 def proportions(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +15,14 @@ from tableassay.functions.schema import (
     col,
     column_class,
     empty,
+    flat_columns,
     has_value,
     numeric_columns,
     text,
     texts,
 )
 from tableassay.functions.shape import long_numbers, with_names
+from tableassay.functions.values import identity_text
 from tableassay.operators.distributions import value_counts
 from tableassay.operators.quantiles import Ranges, fences
 from tableassay.operators.stats import describe
@@ -241,7 +243,7 @@ def target_top_features(df: DataFrame, target: str, names: list[str] | None = No
 def scatter_grid(df: DataFrame, target: str, names: list[str] | None = None, k: int = 4, bins: int = 50) -> DataFrame:
     """``(feature, x_bin, y_bin, x_low, y_low, count)`` of the strongest features.
 
-    The table of a scatter plot: rows per cell of a grid, empty cells left out.
+    The table of a scatter plot: finite rows per cell of a grid, empty cells left out.
     Runs one job when called, which names the features; only their columns are binned.
     """
     features = [n for n in (numeric_columns(df) if names is None else names) if n != target]
@@ -251,12 +253,12 @@ def scatter_grid(df: DataFrame, target: str, names: list[str] | None = None, k:
     if not features:
         return empty(df, "feature string, x_bin int, y_bin int, x_low double, y_low double, count bigint")
     ends = ", ".join(
-        f"struct(min({as_double(df, n)}) AS lo, max({as_double(df, n)}) AS hi)" for n in [*features, target]
+        f"struct(min({as_finite(df, n)}) AS lo, max({as_finite(df, n)}) AS hi)" for n in [*features, target]
     )
     bounds = df.agg(F.expr(f"array({ends}) AS b")).scalar()
     rows = (
-        long_numbers(df, features, keep=(f"{as_double(df, target)} AS y",))
-        .where("value IS NOT NULL AND y IS NOT NULL")
+        long_numbers(df, features, keep=(f"{as_finite(df, target)} AS y",))
+        .where("abs(value) < double('Infinity') AND y IS NOT NULL")
         .withColumn("feature", F.expr(f"get({texts(features)}, idx)"))
         .withColumn("b", bounds)
         .selectExpr("feature", "value AS x", "y", "get(b, idx) AS bx", f"get(b, {len(features)}) AS by")
@@ -283,6 +285,31 @@ def scatter_grid(df: DataFrame, target: str, names: list[str] | None = None, k:
     )
 
 
+def scatter_points(
+    df: DataFrame, target: str, names: list[str] | None = None, k: int = 4, points: int = 1000, key: list[str] | None = None, seed: str = "points-1"
+) -> DataFrame:
+    """``(feature, x, y)``: up to ``points`` rows of each of the strongest features.
+
+    The rows with the smallest seeded hashes of their ``key`` (columns that name a row; the
+    whole row if none are given), so a rerun draws the same ones, tasks keep ``points`` each
+    and merging them is exact.  Runs one job when called, which names the features.
+    """
+    features = [n for n in (numeric_columns(df) if names is None else names) if n != target]
+    schema = "feature string, x double, y double"
+    if not features or not is_numeric_target(df, target):
+        return empty(df, schema)
+    features = [r["feature"] for r in target_top_features(df, target, features, k).where("abs_r IS NOT NULL").collect()]
+    if not features:
+        return empty(df, schema)
+    cells = [f"coalesce({identity_text(df, n)}, '')" for n in (key or flat_columns(df))]
+    draw = f"md5(CAST(concat_ws(':', {text(seed)}, {', '.join(cells)}) AS BINARY)) AS draw"
+    rows = long_numbers(df, features, keep=(f"{as_finite(df, target)} AS y", draw))
+    rows = rows.where("abs(value) < double('Infinity') AND y IS NOT NULL")
+    first = Window.partitionBy("idx").orderBy("draw", "value", "y")
+    kept = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= points)
+    return kept.select(F.expr(f"get({texts(features)}, idx)").alias("feature"), F.col("value").alias("x"), "y")
+
+
 def target_relation_rows(df: DataFrame, target: str) -> DataFrame:
     """``target_correlation`` in the long form of the reports."""
     return target_correlation(df, target).selectExpr(

@@ -19,7 +19,7 @@ from tableassay.functions.schema import (
     union_all,
 )
 from tableassay.functions.shape import inline_columns
-from tableassay.functions.values import identity, is_number_text, looks_like_date
+from tableassay.functions.values import canonical, identity, is_number_text, looks_like_date
 from tableassay.operators.stats import distinct_counts, skewness
 
 RULE = "rule string, column string, metric double, message string"
@@ -125,12 +125,12 @@ def duplicate_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
     Copies combine before the shuffle, so a row that fills a third of the table
     crosses the network once per task; long texts and nested values travel as
-    digests, nested ones of their JSON form.
+    digests, nested ones of their JSON form with map entries in order.
     """
     names = df.columns if names is None else names
     flat = set(flat_columns(df))
-    nested = "sha2(to_json(struct({}), map('ignoreNullFields', 'false')), 256)"
-    keys = [F.expr(f"{identity(df, n) if n in flat else nested.format(quoted(n))} AS k{i}") for i, n in enumerate(names)]
+    nested = "sha2(to_json(struct({} AS v), map('ignoreNullFields', 'false')), 256)"
+    keys = [F.expr(f"{identity(df, n) if n in flat else nested.format(canonical(quoted(n), df.schema[n].dataType))} AS k{i}") for i, n in enumerate(names)]
     if not keys:
         return empty(df, "duplicates bigint, duplicate_pct double")
     groups = df.groupBy(*keys).agg(F.expr("count(1) AS n"))

@@ -21,7 +21,7 @@ from tableassay.functions.schema import (
     union_all,
 )
 from tableassay.functions.shape import inline_columns, long_numbers, with_names
-from tableassay.functions.values import identity
+from tableassay.functions.values import digest, identity
 from tableassay.operators.quantiles import QUARTERS, Ranges, approx_quantiles, brackets, exact_quantiles
 
 MOMENTS = (
@@ -110,20 +110,19 @@ def missing_nonzero(df: DataFrame) -> DataFrame:
 def distinct_counts(df: DataFrame, names: list[str] | None = None, exact: bool = True) -> DataFrame:
     """``(column, distinct)`` over non-missing values, most distinct first.
 
-    Exact counts run one branch per column: each reads its own column only and
-    combines before the shuffle.  Several exact counts in one aggregate would
-    copy every row once per column instead.
+    Exact counts take one scan: cells become (column, 128-bit digest), equal ones combine
+    in a hash table of fixed width before the shuffle, and digests are counted.
     """
     names = flat_columns(df) if names is None else names
     if not names:
         return empty(df, "column string, distinct bigint")
     if exact:
-        out = union_all(
-            [
-                df.agg(F.expr(f"{text(n)} AS column"), F.expr(f"count(DISTINCT {identity(df, n)}) AS distinct"))
-                for n in names
-            ]
-        )
+        cells = ", ".join(f"{i}, {', '.join(digest(df, n))}" for i, n in enumerate(names))
+        values = df.selectExpr(f"stack({len(names)}, {cells}) AS (idx, h1, h2)").groupBy("idx", "h1", "h2").agg(F.lit(1).alias("one"))
+        # a missing cell is a group that does not count, so that every column has a row
+        found = values.groupBy("idx").agg(F.expr("count(h1) AS distinct"))
+        every = df.sparkSession.range(len(names), numPartitions=1).selectExpr("CAST(id AS INT) AS idx")
+        out = with_names(every.join(F.broadcast(found), "idx", "left").selectExpr("idx", "coalesce(distinct, 0L) AS distinct"), names)
     else:
         row = df.agg(*[F.expr(f"approx_count_distinct({identity(df, n)}) AS d{i}") for i, n in enumerate(names)])
         out = inline_columns(row, names, {"distinct": [f"d{i}" for i in range(len(names))]})
@@ -263,7 +262,7 @@ def statistical_summary(
 def basic_info(df: DataFrame, exact: bool = True) -> DataFrame:
     """``(column, dtype, class, rows, missing, missing_pct, distinct, bytes)``.
 
-    Nested columns have no distinct count.  One scan for all but the distinct counts.
+    Nested columns have no distinct count.  One scan for those, one for the rest.
     """
     row = df.agg(
         F.expr("count(1) AS total"),

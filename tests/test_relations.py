@@ -124,3 +124,16 @@ def test_correlation_plan_of_many_columns(spark, tmp_path):
 def test_correlation_of_no_rows(spark):
     df = spark.createDataFrame([], "a double, b double")
     assert {tuple(r) for r in R.correlation_matrix(df).collect()} == {(x, y, None) for x in "ab" for y in "ab"}
+
+
+def test_scatter_points_are_drawn_alike(spark):
+    df = spark.range(5000, numPartitions=7).selectExpr(
+        "id", "IF(id % 10 = 0, NULL, id * 1D) AS x", "IF(id = 3, double('Infinity'), id + sin(id)) AS y", "double('Infinity') AS z"
+    )
+    draw = lambda d: {tuple(r) for r in R.scatter_points(d, "y", ["x", "z"], points=100, key=["id"]).collect()}
+    first = draw(df)
+    assert len(first) == 100 and {f for f, *_ in first} == {"x"} and all(np.isfinite(v) for r in first for v in r[1:])
+    assert draw(df.repartition(3)) == first
+    assert 2000 < np.mean([x for _, x, _ in first]) < 3000
+    assert R.scatter_points(df, "y", ["x"], points=100).count() == 100
+    assert R.scatter_points(df.where("false"), "y", ["x"]).count() == 0

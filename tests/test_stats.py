@@ -113,3 +113,35 @@ def test_basic_info(gappy, by):
 def test_one_scan_reads_only_numeric_columns(lineitem):
     plan = stats.variance(lineitem.select("l_tax", "l_returnflag"))._jdf.queryExecution().executedPlan().toString()
     assert "l_returnflag" not in plan and "ReadSchema: struct<l_tax:double>" in plan
+
+
+def test_variants_and_maps_have_an_identity(spark, by):
+    from tableassay.operators import rules
+    from tableassay.plans.profile import Profile
+
+    df = spark.sql(
+        """
+        SELECT id, parse_json(IF(id % 5 = 0, NULL, IF(id % 2 = 0, '{"a": 1, "b": [2]}', '{"b": [2], "a": 1}'))) AS v,
+               IF(id % 2 = 0, map('x', map(1, 2, 3, 4), 'y', NULL), map('y', NULL, 'x', map(3, 4, 1, 2))) AS m,
+               array(named_struct('k', IF(id % 2 = 0, map(1, 'p', 2, 'q'), map(2, 'q', 1, 'p')))) AS list
+        FROM range(20)
+        """
+    )
+    assert by(stats.distinct_counts(df))["v"]["distinct"] == 1
+    assert by(stats.distinct_counts(df, exact=False))["v"]["distinct"] == 1
+    assert by(stats.basic_info(df))["v"]["missing"] == 4
+    for names, copies in ((["m"], 19), (["list"], 19), (["v"], 18), (["id", "v"], 0)):
+        assert rules.duplicate_rows(df, names).first()["duplicates"] == copies, names
+    assert Profile(df).profile_report().count() > 10
+
+
+def test_distinct_counts_take_one_scan(lineitem):
+    for df in (stats.distinct_counts(lineitem), stats.basic_info(lineitem)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
+
+
+def test_distinct_of_zeros_and_nothing(spark, by):
+    df = spark.sql("SELECT * FROM VALUES (0D, 1BD, NULL), (-0D, 1.0BD, NULL), (double('NaN'), NULL, NULL), (double('Infinity'), 2BD, NULL) AS t(a, b, c)")
+    got = by(stats.distinct_counts(df))
+    assert [got[c]["distinct"] for c in "abc"] == [2, 2, 0]
+    assert {r["distinct"] for r in stats.distinct_counts(df.where("false")).collect()} == {0}

@@ -364,6 +364,20 @@ def target_cells(table: str, target: str, names: list[str]) -> str:
     )
 
 
+def scatter_points(table: str, target: str, names: list[str], key: list[str], points: int) -> str:
+    top = f"(SELECT feature FROM ({correlation_with(table, target, names, 4)}))"
+    draw = " || ':' || ".join(["'points-1'", *[f"{k}::VARCHAR" for k in key]])
+    rows = union(
+        f"SELECT '{n}' AS feature, {n}::DOUBLE AS x, {target}::DOUBLE AS y, md5({draw}) AS draw FROM {source(table)} "
+        f"WHERE {n} IS NOT NULL AND {target} IS NOT NULL"
+        for n in names
+    )
+    return (
+        f"SELECT feature, x, y FROM ({rows}) WHERE feature IN {top} "
+        f"QUALIFY row_number() OVER (PARTITION BY feature ORDER BY draw, x, y) <= {points}"
+    )
+
+
 def info_rows(table: str, columns: list[tuple[str, str, str]]) -> str:
     return union(
         f"""SELECT '{c}' AS "column", '{t}' AS dtype, '{column_class(t)}' AS class, count(*) AS rows,
@@ -523,6 +537,7 @@ def oracle_sql() -> dict[str, str]:
         "value_counts": "SELECT o_orderpriority AS value, count(*) AS count FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1",
         "proportions": f"SELECT value, count, {stable('pct')}::DOUBLE AS pct FROM ({share})",
         "box_stats": union([box("events", "value"), box("documents", "n_chars")]),
+        "scatter_points": scatter_points("priced", "revenue", [c for c in PRICED if c != "revenue"], PRICED_KEY, 200),
         "scatter_grid": scatter("priced", "revenue", [c for c in PRICED if c != "revenue"], 20),
         "correlation_matrix": corr_rows("priced", pairs(PRICED)),
         "correlation_uneven": corr_rows("uneven_finite", pairs(UNEVEN)),

@@ -396,6 +396,9 @@ def queries() -> dict[str, Query]:
         "value_counts": _on("orders", lambda d: distributions.value_counts(d, "o_orderpriority")),
         "proportions": _on("orders", lambda d: distributions.proportions(d, "o_orderstatus"), "pct"),
         "box_stats": _boxes,
+        "scatter_points": _on(
+            "priced", lambda d: relations.scatter_points(d, "revenue", PRICED, points=200, key=PRICED_KEY)
+        ),
         "scatter_grid": _on(
             "priced", lambda d: relations.scatter_grid(d, "revenue", PRICED, bins=20), "x_low", "y_low"
         ),
