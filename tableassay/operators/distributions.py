@@ -155,18 +155,15 @@ def kde(df: DataFrame, names: list[str] | None = None, points: int = 1000, bins:
         "struct(count({0}) AS n, stddev_samp({0}) AS std, min({0}) AS lo, max({0}) AS hi)".format(as_finite(df, n))
         for n in names
     )
-    stats = (
+    # one row per column; joined, so that no expression repeats the aggregate
+    stats = F.broadcast(
         df.agg(F.expr(f"array({parts}) AS s"))
+        .selectExpr("posexplode(s) AS (idx, s)")
         .selectExpr(
-            "transform(s, c -> struct(c.n AS n, c.lo AS lo, c.hi AS hi, "
-            "c.std * power(c.n, -0.2D) AS h, c.lo - 0.5D * (c.hi - c.lo) AS x0, "
-            f"2 * (c.hi - c.lo) / {points - 1} AS step)) AS s"
+            "idx", "s.n", "s.lo", "s.hi", "s.std * power(s.n, -0.2D) AS h", "s.lo - 0.5D * (s.hi - s.lo) AS x0", f"2 * (s.hi - s.lo) / {points - 1} AS step"
         )
-        .scalar()
     )
-    finite = long_numbers(df, names).where("abs(value) < double('Infinity')")
-    values = finite.withColumn("s", F.get(stats, F.col("idx")))
-    values = values.selectExpr("idx", "value", "s.lo", "s.hi", "s.h", "s.x0", "s.step").where("h > 0")
+    values = long_numbers(df, names).where("abs(value) < double('Infinity')").join(stats, "idx").drop("n").where("h > 0")
     if bins is None:
         cells = (
             values.selectExpr("idx", "value", "lo", "h", f"floor((value - lo) / h * {KERNEL_CELLS}) AS cell")
@@ -176,8 +173,9 @@ def kde(df: DataFrame, names: list[str] | None = None, points: int = 1000, bins:
             .agg(*[F.expr(f"sum(w * {_power(k)}) / {factorial(k)}D AS w{k}") for k in range(KERNEL_TERMS)])
         )
         weighted = (
-            cells.withColumn("s", F.get(stats, F.col("idx")))
-            .selectExpr("*", "s.h", "s.x0", "s.step", f"s.lo + (cell + 0.5D) / {KERNEL_CELLS} * s.h AS value")
+            cells.join(stats.drop("n", "hi"), "idx")
+            .withColumn("value", F.expr(f"lo + (cell + 0.5D) / {KERNEL_CELLS} * h"))
+            .drop("lo")
         )
         kernel = "0D"
         for k in reversed(range(KERNEL_TERMS)):
@@ -205,14 +203,14 @@ def kde(df: DataFrame, names: list[str] | None = None, points: int = 1000, bins:
     slots = (
         df.sparkSession.range(len(names) * points, numPartitions=1)
         .selectExpr(f"CAST(id DIV {points} AS INT) AS idx", f"CAST(id % {points} AS INT) AS point")
-        .withColumn("s", F.get(stats, F.col("idx")))
-        .where("s.h > 0")
+        .join(stats, "idx")
+        .where("h > 0")
     )
     out = slots.join(F.broadcast(sums), ["idx", "point"], "left").selectExpr(
         "idx",
         "point",
-        "s.x0 + point * s.step AS x",
-        "coalesce(mass, 0D) / (s.n * s.h * sqrt(2 * pi())) AS density",
+        "x0 + point * step AS x",
+        "coalesce(mass, 0D) / (n * h * sqrt(2 * pi())) AS density",
     )
     return with_names(out, names)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -133,7 +135,7 @@ def _pair_correlations(df: DataFrame, names: list[str], left: list[int] | None =
         values = pa.array(r.ravel(), mask=np.isnan(r.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(np.array(left, np.int32)[i.ravel()]), pa.array(j.ravel().astype(np.int32)), values], ["i", "j", "r"])
 
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
     states = df.selectExpr(*[f"{as_finite(df, n)} AS v{i}" for i, n in enumerate(names)]).mapInArrow(summed, "state binary")
     # a table without a task has no state: an empty one keeps its pairs
     states = states.unionByName(df.sparkSession.createDataFrame([(Gram(left, k).packed(),)], "state binary"))

@@ -21,7 +21,7 @@ from tableassay.functions.schema import (
     union_all,
 )
 from tableassay.functions.shape import inline_columns, long_numbers, with_names
-from tableassay.functions.values import digest, identity
+from tableassay.functions.values import CELL, DIGEST, cell, identity
 from tableassay.operators.quantiles import QUARTERS, Ranges, approx_quantiles, brackets, exact_quantiles
 
 MOMENTS = (
@@ -117,8 +117,8 @@ def distinct_counts(df: DataFrame, names: list[str] | None = None, exact: bool =
     if not names:
         return empty(df, "column string, distinct bigint")
     if exact:
-        cells = ", ".join(f"{i}, {', '.join(digest(df, n))}" for i, n in enumerate(names))
-        values = df.selectExpr(f"stack({len(names)}, {cells}) AS (idx, h1, h2)").groupBy("idx", "h1", "h2").agg(F.lit(1).alias("one"))
+        cells = ", ".join(f"{i}, {cell(df, n)}" for i, n in enumerate(names))
+        values = df.selectExpr(f"stack({len(names)}, {cells}) AS (idx, {CELL})").selectExpr("idx", *DIGEST).distinct()
         # a missing cell is a group that does not count, so that every column has a row
         found = values.groupBy("idx").agg(F.expr("count(h1) AS distinct"))
         every = df.sparkSession.range(len(names), numPartitions=1).selectExpr("CAST(id AS INT) AS idx")
