@@ -277,7 +277,7 @@ def _leaves(docs: DataFrame, sieve: Filter, heavy: np.ndarray) -> DataFrame:
         return rows[:, first], np.add.reduceat(n[order], first)
 
     def run(batches):
-        for rows, n in _combined(batches, read, combine, 2 * _HELD):
+        for rows, n in _combined(batches, read, combine, 4 * _HELD):
             pair = joined(rows[1], rows[0], 1)
             deep = np.isin(_slot(pair, sieve.bits), heavy.value)
             group = np.where(deep, joined(rows[2], pair, 1), pair)
