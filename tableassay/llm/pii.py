@@ -4,17 +4,27 @@ Built of DataFrame functions only.
 
 Format rules give the base spans (email, ip, card, phone). High-recall generators
 propose further spans, overlapping ones among them. Each candidate has a few
-categorical features: generator, number of digits, separators, a cue word before it,
-clean edges, a checksum. A candidate that covers a base span teaches "personal", any
-other candidate "not". Boosting needs the data only through its counts per
-combination of features, at most ``CELLS`` of them, so the counts of all documents are
-one aggregate and the trees are fitted to them exactly as they would be to all rows.
-
-Documents with crc32(doc_id) mod 5 = 0 calibrate: per generator the lowest score at
-which the share of personal candidates reaches ``PRECISION`` is the threshold.
+categorical features of its format: generator, number of digits, separators, clean
+edges, a checksum. What teaches is its context alone: a cue word before it ("call",
+"mail", ...). Not every personal span has a cue, so the share of cues says how likely
+a format is personal only beside the share among spans known to be personal: the
+candidates that base spans cover, whose formats are those of base spans without what
+the base rules ask for (the plus sign of a phone number, say). Boosting needs the data
+only through its counts per combination of features, at most ``CELLS`` of them, so the
+counts of all documents are one aggregate and the trees are fitted to them exactly as
+they would be to all rows. A score is the boosted share of cues over that known share,
+1 at most. A generator without ``KNOWN`` covered candidates takes the greatest share of
+the others; where no generator has as many, nothing is added.
+
+Documents with crc32(doc_id) mod 5 = 0 calibrate: per generator the lowest score from
+which on the estimated share of personal candidates is ``PRECISION`` is the threshold.
+
+Time grows in proportion to the length of a text and the number of its matches (but
+for sorting): ``_scan`` appends to parts of bounded size.
 
 Defined cases: a null text is empty and has no spans; repeated rows count again;
-without candidates the base spans alone are returned; an empty table gives no rows.
+without candidates the base spans alone are returned; an empty table gives no rows;
+texts of any length are read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -45,30 +55,73 @@ GENERATORS = (
 CUES = r"(?i)(?:phone|call|tel|mobile|fax|mail|contact|card|visa|account|ssn|ip|address|host)[^A-Za-z]{0,12}$"
 CUE_REACH = 24
 PRECISION = 0.9
+KNOWN = 30
 ROUNDS, RATE = 24, 0.5
-#: generator, digits, separators, cue, left edge, right edge, check: the values of each.
-SHAPE = (4, 8, 6, 2, 2, 2, 2)
+#: generator, digits, separators, left edge, right edge, check: the values of each.
+SHAPE = (4, 8, 6, 2, 2, 2)
 CELLS = math.prod(SHAPE)
 CALIBRATION = (5, 0)
+PART = 64
+
+
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scan(items: Column, first: Column, step, kind: str) -> Column:
+    """What ``step`` of (state, item) gives as second part, for all items in order.
+
+    ``items`` are at least one. ``aggregate`` copies its state at every step, so items go
+    in parts of ``PART``: states at the beginnings of parts first, then each part's list."""
+    none = F.array().cast(f"array<{kind}>")
+    last = F.size(items) - 1
+    firsts = F.sequence(F.lit(0), last, F.lit(PART))
+
+    def chunk(i: Column) -> Column:
+        return F.transform(F.sequence(i, F.least(i + (PART - 1), last)), lambda j: F.get(items, j))
+
+    def one(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def after(states: Column, i: Column) -> Column:
+        return F.concat(states, F.array(F.aggregate(chunk(i), F.element_at(states, -1), lambda state, x: step(state, x)[0])))
+
+    def part(states: Column) -> Column:
+        return F.transform(firsts, lambda i: F.aggregate(chunk(i), F.struct(F.get(states, (i / PART).cast("int")).alias("state"), none.alias("out")), one)["out"])
+
+    return F.flatten(_with(F.aggregate(firsts, F.array(first), after), part))
 
 
 def _found(text: Column, pattern: str, *needs: str) -> Column:
-    """array<struct<start,end,value>> of leftmost non-overlapping matches, code points."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    """array<struct<start,end,value,before,after>> of leftmost non-overlapping matches, code points.
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
+    ``before`` are the last ``CUE_REACH`` characters between the beginning of the match
+    before and this one, ``after`` is the next character."""
+    kind = "struct<start:int,end:int,value:string,before:string,after:string>"
     there = F.lit(True)
     for sign in needs:
         there = there & (F.contains(text, F.lit(sign)) if len(sign) == 1 else text.rlike(sign))
-    return F.when(there & (F.size(matches) > 0), F.aggregate(pairs, begin, step)["out"]).otherwise(empty)
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        return end, F.struct(start.alias("start"), end.alias("end"), *[x[c].alias(c) for c in ("value", "before", "after")])
+
+    def around(p: Column) -> Column:
+        def one(value: Column, i: Column) -> Column:
+            gap = F.get(p["gaps"], i)
+            before = F.concat(F.coalesce(F.get(p["matches"], i - 1), F.lit("")), gap)
+            after = F.concat(F.get(p["gaps"], i + 1), F.coalesce(F.get(p["matches"], i + 1), F.lit("")))
+            return F.struct(gap.alias("gap"), value.alias("value"), F.substring(before, -CUE_REACH, CUE_REACH).alias("before"), F.substring(after, 1, 1).alias("after"))
+
+        return F.transform(p["matches"], one)
+
+    none = F.array().cast(f"array<{kind}>")
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
+    spans = _with(both, lambda p: F.when(F.size(p["matches"]) > 0, _with(around(p), lambda items: _scan(items, F.lit(0), step, kind))).otherwise(none))
+    return F.when(there, spans).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -110,25 +163,27 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.transform(r, of_kind(k)) for k, r in enumerate(rules)]))
 
 
-def _coded(text: Column, generator: int):
-    """A candidate with the number of its combination of features."""
+def _coded(generator: int):
+    """A candidate with the number of its combination of features, and whether a cue is before it."""
 
     def coded(x: Column) -> Column:
-        value, start, end = x["value"], x["start"], x["end"]
+        value = x["value"]
         digits = F.length(_digits(value))
         grade = sum(F.when(digits >= b, 1).otherwise(0) for b in (1, 7, 9, 10, 11, 14, 20))
         signs = F.filter(F.array_distinct(F.split(F.regexp_replace(value, "[A-Za-z0-9]", ""), "")), lambda s: s != "")
         sign = F.when(F.size(signs) == 1, signs[0]).otherwise(F.lit(""))
         sep = F.when(F.size(signs) == 0, 0).when(sign == " ", 1).when(sign == "-", 2).when(sign == ".", 3).when(sign == ":", 4).otherwise(5)
-        before = F.substring(text, F.greatest(start - CUE_REACH, F.lit(0)) + 1, F.least(start, F.lit(CUE_REACH)))
-        cue = before.rlike(CUES)
-        left = F.substring(before, -1, 1).rlike("[A-Za-z0-9]")
-        right = F.substring(text, end + 1, F.lit(1)).rlike("[A-Za-z0-9]")
-        fields = (F.lit(generator), grade, sep, cue.cast("int"), left.cast("int"), right.cast("int"), _luhn(value).cast("int"))
+        left = F.substring(x["before"], -1, 1).rlike("[A-Za-z0-9]")
+        right = x["after"].rlike("[A-Za-z0-9]")
+        if GENERATORS[generator][0] == "colons":
+            check = F.size(F.split(value, ":")) == 8
+        else:
+            check = F.when(digits.between(1, 19), _luhn(value)).otherwise(F.lit(False))
+        fields = (F.lit(generator), grade, sep, left.cast("int"), right.cast("int"), check.cast("int"))
         code = F.lit(0)
         for size, field in zip(SHAPE, fields, strict=True):
             code = code * size + field
-        return F.struct(start.alias("start"), F.lit(generator).alias("generator"), end.alias("end"), code.cast("int").alias("code"))
+        return F.struct(x["start"].alias("start"), F.lit(generator).alias("generator"), x["end"].alias("end"), code.cast("int").alias("code"), x["before"].rlike(CUES).alias("cue"))
 
     return coded
 
@@ -143,8 +198,46 @@ HINTS = (
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start,generator,end,code>> of all generators."""
-    return F.concat(*[F.transform(_found(text, pattern, *needs), _coded(text, g)) for g, ((_, pattern), needs) in enumerate(zip(GENERATORS, HINTS, strict=True))])
+    """array<struct<start,generator,end,code,cue>> of all generators."""
+    return F.concat(*[F.transform(_found(text, pattern, *needs), _coded(g)) for g, ((_, pattern), needs) in enumerate(zip(GENERATORS, HINTS, strict=True))])
+
+
+def _beside(base: Column, more: Column) -> Column:
+    """``more`` with ``known`` (four fifths covered by a base span, the one that begins no
+    later and reaches furthest or the next that begins later) and ``touches`` (overlaps any)."""
+    kind = "struct<start:int,role:int,end:int,generator:int,code:int,cue:boolean,reach:int>"
+    last = kind.replace(">", ",known:boolean,touches:boolean>")
+
+    def item(role: int):
+        def one(x: Column) -> Column:
+            rest = (x["generator"], x["code"], x["cue"]) if role else (F.lit(-1), F.lit(-1), F.lit(False))
+            return F.struct(x["start"].alias("start"), F.lit(role).alias("role"), x["end"].alias("end"), *[c.alias(n) for c, n in zip(rest, ("generator", "code", "cue"), strict=True)])
+
+        return one
+
+    def forth(reach: Column, x: Column) -> tuple[Column, Column]:
+        now = F.when(x["role"] == 0, F.greatest(reach, x["end"])).otherwise(reach)
+        return now, F.struct(*[x[c].alias(c) for c in ("start", "role", "end", "generator", "code", "cue")], now.alias("reach"))
+
+    def back(later: Column, x: Column) -> tuple[Column, Column]:
+        is_base = x["role"] == 0
+        now = F.struct(F.when(is_base, x["start"]).otherwise(later["start"]).alias("start"), F.when(is_base, x["end"]).otherwise(later["end"]).alias("end"))
+        shared = F.greatest(F.least(x["reach"], x["end"]) - x["start"], F.least(later["end"], x["end"]) - later["start"])
+        touches = (x["reach"] > x["start"]) | (later["start"] < x["end"])
+        given = [x[c].alias(c) for c in ("start", "role", "end", "generator", "code", "cue", "reach")]
+        return now, F.struct(*given, (shared * 5 >= (x["end"] - x["start"]) * 4).alias("known"), touches.alias("touches"))
+
+    far = F.struct(F.lit(2**31 - 1).alias("start"), F.lit(0).alias("end"))
+    items = F.array_sort(F.concat(F.transform(base, item(0)), F.transform(more, item(1))))
+    marked = _with(items, lambda a: F.filter(_with(F.reverse(_scan(a, F.lit(0), forth, kind)), lambda r: _scan(r, far, back, last)), lambda x: x["role"] == 1))
+
+    def plain(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("start", "generator", "end", "code", "cue")], F.lit(False).alias("known"), F.lit(False).alias("touches"))
+
+    def kept(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("start", "generator", "end", "code", "cue", "known", "touches")])
+
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), F.transform(marked, kept)).otherwise(F.transform(more, plain))
 
 
 def fields_of(code: int) -> tuple[int, ...]:
@@ -159,7 +252,7 @@ class Boosted:
     """Gradient boosting of two-level trees on weighted cells, logistic loss."""
 
     def __init__(self, cells: dict[int, tuple[float, float]], rounds: int = ROUNDS, rate: float = RATE):
-        """cells: code -> (candidates, personal ones)."""
+        """cells: code -> (candidates, those with a cue)."""
         self.codes = sorted(cells)
         fields = [fields_of(c) for c in self.codes]
         n = [cells[c][0] for c in self.codes]
@@ -196,8 +289,22 @@ class Boosted:
         return out
 
 
+def cue_rates(known: dict[int, tuple[float, float]], least: int = KNOWN) -> dict[int, float]:
+    """Per generator the share of cues among candidates known to be personal; 0 where none is known.
+
+    known: code -> (known candidates, those with a cue)."""
+    sums = {g: [0.0, 0.0] for g in range(len(GENERATORS))}
+    for code, (n, cued) in known.items():
+        sums[fields_of(code)[0]][0] += n
+        sums[fields_of(code)[0]][1] += cued
+    rates = {g: cued / n for g, (n, cued) in sums.items() if n >= least and cued}
+    return {g: rates.get(g, max(rates.values(), default=0.0)) for g in sums}
+
+
 def thresholds(scores: dict[int, float], cells: dict[int, tuple[float, float]], precision: float = PRECISION) -> dict[int, float]:
-    """Per generator the lowest score from which on personal candidates make up ``precision``."""
+    """Per generator the lowest score from which on personal candidates make up ``precision``.
+
+    cells: code -> (candidates, personal ones, as estimated)."""
     out = {}
     for g in range(len(GENERATORS)):
         ranked = sorted(((scores[c], *cells[c]) for c in cells if c in scores and fields_of(c)[0] == g), reverse=True)
@@ -212,6 +319,15 @@ def thresholds(scores: dict[int, float], cells: dict[int, tuple[float, float]],
     return out
 
 
+def chosen_codes(learn: dict, check: dict, known: dict) -> list[int]:
+    """Combinations of features whose candidates are reported."""
+    rates = cue_rates(known)
+    rate = {c: rates[fields_of(c)[0]] for c in learn.keys() | check.keys()}
+    scores = {c: min(1.0, s / rate[c]) for c, s in Boosted(learn).scores.items() if rate[c]}
+    limit = thresholds(scores, {c: (n, p / rate[c]) for c, (n, p) in check.items() if rate[c]})
+    return sorted(c for c, s in scores.items() if s >= limit[fields_of(c)[0]])
+
+
 def _written(spans: Column, names: tuple[str, ...]) -> Column:
     label = F.array(*[F.lit(x) for x in names])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(label, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -222,20 +338,21 @@ def detect(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     held = docs.select("doc_id", (fold("doc_id", CALIBRATION[0]) == CALIBRATION[1]).alias("calibrates"), base_spans(text).alias("base"), candidates(text).alias("more"))
     held = staged(held, "pii-spans")
+    held = staged(held.withColumn("more", _beside(F.col("base"), F.col("more"))), "pii-marked")
 
-    def covers(x: Column) -> Column:
-        return F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]) & ((F.least(b["end"], x["end"]) - F.greatest(b["start"], x["start"])) * 5 >= (x["end"] - x["start"]) * 4))
-
-    seen = held.select("calibrates", F.explode(F.transform("more", lambda x: F.struct(x["code"].alias("code"), covers(x).cast("int").alias("personal")))).alias("x"))
-    seen = seen.groupBy("calibrates", "x.code").agg(F.count("*").alias("n"), F.sum("x.personal").alias("p")).collect()  # at most 2 * CELLS rows
-    learn = {r["code"]: (float(r["n"]), float(r["p"])) for r in seen if not r["calibrates"]}
-    check = {r["code"]: (float(r["n"]), float(r["p"])) for r in seen if r["calibrates"]}
-    scores = Boosted(learn).scores
-    limit = thresholds(scores, check)
-    chosen = sorted(c for c, s in scores.items() if s >= limit[fields_of(c)[0]])
+    seen = held.select("calibrates", F.explode("more").alias("x"))
+    one = lambda c: F.sum(c.cast("int"))
+    seen = seen.groupBy("calibrates", "x.code").agg(
+        F.count("*").alias("n"), one(F.col("x.cue")).alias("cued"), one(F.col("x.known")).alias("known"), one(F.col("x.known") & F.col("x.cue")).alias("both")
+    )
+    seen = seen.collect()  # at most 2 * CELLS rows
+    learn = {r["code"]: (float(r["n"]), float(r["cued"])) for r in seen if not r["calibrates"]}
+    check = {r["code"]: (float(r["n"]), float(r["cued"])) for r in seen if r["calibrates"]}
+    known = {r["code"]: (float(r["known"]), float(r["both"])) for r in seen if not r["calibrates"]}
+    chosen = chosen_codes(learn, check, known)
     picks = F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<int>")
 
-    new = F.filter("more", lambda x: F.array_contains(picks, x["code"]) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    new = F.filter("more", lambda x: F.array_contains(picks, x["code"]) & ~x["touches"])
     new = F.transform(new, lambda x: F.struct(x["start"].alias("start"), (x["generator"] + len(KINDS)).alias("kind"), x["end"].alias("end")))
     names = (*KINDS, *(g for g, _ in GENERATORS))
     count = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
