@@ -11,7 +11,9 @@ Queries go to the tasks in groups of bounded size (``query_rows``), each against
 Defined cases: null vectors and vectors with a null or non-finite component take no
 part; missing dimensions of shorter vectors count as 0; ties go to the smaller
 vec_id, null last; a row is never its own result, but an equal row with the same id
-is. Components must stay below 2^20 in size so that sums are exact.
+is. Sums are exact: doubles hold them below 2^53, 64-bit integers below 2^63, as the
+greatest component and the greatest length bound them; beyond that a ValueError says so.
+An empty table gives no rows; columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -79,43 +81,53 @@ def best(score: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple:
     return score[order], ids[order], rows[order]
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def _matrix(column: pa.Array, width: int, number: type = np.float64) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     per = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(per), max(width, int(per.max(initial=0)))))
+    out = np.zeros((len(per), max(width, int(per.max(initial=0)))), number)
     out[np.repeat(np.arange(len(per)), per), np.arange(len(flat)) - np.repeat(np.cumsum(per) - per, per)] = flat
     return out
 
 
+def exact_type(vectors: DataFrame) -> type:
+    """The number type that holds every sum of products of two vectors."""
+    low, high, size = vectors.agg(F.min(F.array_min("v")), F.max(F.array_max("v")), F.max(F.size("v"))).first()
+    bound = max(abs(low or 0), abs(high or 0)) ** 2 * (size or 0)
+    if bound >= 2**63:
+        raise ValueError(f"components of up to {max(abs(low), abs(high))} in vectors of length {size}: a score may pass 64 bits")
+    return np.float64 if bound < 2**53 else np.int64
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_row, query_id, rank, vec_id, score; both inputs as ``integers`` gives them, staged."""
     spark = vectors.sparkSession
     groups = max(1, -(-queries.count() // query_rows))
+    number = exact_type(vectors.select("v").union(queries.select("v")))
     found = None
     for g in range(groups):
         asked = queries.where(F.pmod(F.xxhash64("row"), F.lit(groups)) == g).collect()  # about query_rows
         shared = spark.sparkContext.broadcast([(r["row"], r["vec_id"], r["v"]) for r in asked])
-        part = vectors.mapInArrow(_scan(shared, k), "query_row long, query_id long, vec_id long, score long, row long")
+        part = vectors.mapInArrow(_scan(shared, k, number), "query_row long, query_id long, vec_id long, score long, row long")
         part = staged(part, "topk-part") if groups > 1 else part
         found = part if found is None else found.union(part)
     by = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
 
 
-def _scan(shared, k):
+def _scan(shared, k, number):
     def run(batches):
         asked = shared.value
         width = max((len(v) for _, _, v in asked), default=0)
-        nothing = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        nothing = (np.zeros(0, number), np.zeros(0, np.int64), np.zeros(0, np.int64))
         tops = [nothing] * len(asked)
         weights = None
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK_ROWS):
                 piece = batch.slice(begin, BLOCK_ROWS)
-                values = _matrix(piece.column(2), width)
+                values = _matrix(piece.column(2), width, number)
                 if weights is None or weights.shape[1] < values.shape[1]:
-                    weights = np.zeros((len(asked), values.shape[1]))
+                    weights = np.zeros((len(asked), values.shape[1]), number)
                     for i, (_, _, v) in enumerate(asked):
                         weights[i, : len(v)] = v
                 elif values.shape[1] < weights.shape[1]:
