@@ -1,5 +1,6 @@
 """The operators against brute force, plain SQL, held-out labels and edge rows."""
 
+import collections
 import hashlib
 import math
 import random
@@ -156,6 +157,67 @@ def test_language_model_base_and_gain(docs):
     assert gain > 0
 
 
+def test_language_model_classes_and_score_equal_brute_force(docs, monkeypatch):
+    # a head of 40 words and 50 words known to the tasks, so that most words go by the join
+    for name, value in {"LEAST_HEAD": 40, "MOST_HEAD": 40, "KEPT": 10}.items():
+        monkeypatch.setattr(brown_lm, name, value)
+    classes, end = brown_lm.CLASSES, brown_lm.END
+    words = brown_lm.word_keys(docs)
+    chains = {r["doc_id"]: (r["held_out"], list(r["words"])) for r in words.collect()}
+    counts = collections.Counter(w for held, chain in chains.values() if not held for w in chain)
+    head = sorted(counts, key=lambda w: (-counts[w], w))[:40]
+    train = words.where("NOT held_out")
+    units = brown_lm.Units(np.array(head))
+    unit = lambda w: head.index(w) if w in head else 40 + (w & 127)
+    bigrams = np.zeros((units.end + 1, units.end + 1))
+    for held, chain in chains.values():
+        path = [units.end, *map(unit, chain), units.end]
+        for a, b in zip(path, path[1:]) if not held else ():
+            bigrams[a, b] += 1
+    assert (brown_lm.unit_bigrams(train, units) == bigrams).all()
+    label = brown_lm.exchange(bigrams)
+    table = np.zeros((classes + 1, classes + 1))
+    np.add.at(table, (label[:, None], label[None, :]), bigrams)
+    gains = brown_lm.gains(table)
+    around = {}
+    for held, chain in chains.values():
+        path = [end, *(label[unit(w)] for w in chain), end]
+        for i, w in enumerate(chain) if not held else ():
+            if w not in head:
+                around.setdefault(w, []).append((path[i], path[i + 2]))
+    want = {w: int(np.argmax([sum(gains[a, k] + gains[classes + 1 + b, k] for a, b in at) for k in range(classes)])) for w, at in around.items()}
+    got = {r["key"]: (r["class"], r["n"]) for r in brown_lm.word_classes(train, units, label, table).collect()}
+    assert got == {w: (k, counts[w]) for w, k in want.items()} and len(got) == len(counts) - 40  # no training word without a class
+    own = {**want, **{w: label[unit(w)] for w in head}}
+    paths = {i: [end, *(own.get(w, label[unit(w)]) for w in chain), end] for i, (_, chain) in chains.items()}
+    table = np.zeros((classes + 1, classes + 1))
+    for i, path in paths.items():
+        for a, b in zip(path, path[1:]) if not chains[i][0] else ():
+            table[a, b] += 1
+    kinds = collections.Counter(own.values())
+    for r in brown_lm.score(docs).collect():
+        path, total = paths[r["doc_id"]], 0.0
+        for a, b, w in zip(path, path[1:], [*chains[r["doc_id"]][1], None]):
+            total += np.log10((table[a, b] + 0.5) / (table[a].sum() + 0.5 * (classes + 1)))
+            if w is not None:
+                total += np.log10((counts.get(w, 0) + 0.5) / (table[:, b].sum() + 0.5 * (kinds[b] + 1)))
+        assert r["score"] == pytest.approx(total, rel=1e-9)
+        assert r["perplexity"] == pytest.approx(10 ** (-total / r["n_tokens"]), rel=1e-6)
+
+
+def test_exchange_raises_the_likelihood():
+    counts = np.random.default_rng(3).poisson(0.4, (60, 60)) + 9 * np.kron(np.eye(6)[[1, 2, 3, 4, 5, 0]], np.ones((10, 10)))
+
+    def likelihood(label, k):
+        hot = np.eye(k)[label]
+        table = hot.T @ counts @ hot
+        log = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return log(table) - log(table.sum(axis=0)) - log(table.sum(axis=1))
+
+    runs = [likelihood(brown_lm.exchange(counts, 7, sweeps), 8) for sweeps in range(6)]
+    assert runs == sorted(runs) and runs[-1] > runs[0]
+
+
 def test_line_dedup_equals_brute_force(docs):
     texts = sorted((r["doc_id"], r["text"].split("\n")) for r in docs.collect())
     count = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
