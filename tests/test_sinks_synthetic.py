@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from tableassay import Profile, add_row_key, read_sqlite_query, run_sql, write_report, write_table
@@ -31,6 +33,38 @@ def test_write_table_and_report(spark, tmp_path, gappy):
     assert spark.read.json(paths[0]).count() == len(gappy.columns)
 
 
+def test_a_table_replaces_itself_and_a_failed_write_leaves_it(spark, tmp_path):
+    target = str(tmp_path / "t")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    staged = lambda: {f for f in os.listdir(shared) if f.startswith("row-key")}
+    before = staged()
+    write_table(spark.range(10), target, order_by="id", index_label="i")
+    write_table(spark.read.parquet(target).where("id > 3").drop("i"), target, order_by="id", index_label="i")
+    assert [tuple(r) for r in spark.read.parquet(target).orderBy("i").collect()] == [(k, k + 4) for k in range(6)]
+    bad = spark.read.parquet(target).selectExpr("IF(id > 6, raise_error('no'), id) AS id")
+    for more in ({}, {"order_by": "id", "index_label": "i"}):
+        with pytest.raises(Exception, match="no"):
+            write_table(bad, target, **more)
+    assert spark.read.parquet(target).count() == 6
+    assert [f for f in os.listdir(tmp_path) if not f.endswith(".crc")] == ["t"]
+    assert staged() == before
+
+
+def test_a_catalog_table_replaces_itself(spark):
+    for name in ("swapped", "`swap ped`"):
+        name = name.replace(" ", "_")
+        write_table(spark.range(8), name, format="table")
+        write_table(spark.table(name).where("id < 5"), name, format="table")
+        assert spark.table(name).count() == 5
+        with pytest.raises(Exception, match="no"):
+            write_table(spark.table(name).selectExpr("raise_error('no') AS id"), name, format="table")
+        assert spark.table(name).count() == 5
+    left = {t.name for t in spark.catalog.listTables() if t.name.startswith("swap")}
+    assert left == {"swapped", "swap_ped"}
+    for name in left:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_sample_table(spark):
     n = 25_007
     df = synthetic.gen_sample(spark, n).cache()

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from tableassay.sources import auto, catalog, files, jdbc, sqlite, workbook
+from tableassay.sources.jdbc import equal_depth_predicates
 from workload.fixtures import workbook_bytes
 
 CSV = 'id,x,ok,text,day\n1,NA,True,"a ""q"", b",2024-01-01\n2,1.5,,N/A,2024-01-02\n3, 2 ,False,,\n'
@@ -334,3 +335,31 @@ def test_json_that_is_none_raises(spark, tmp_path, content):
     (tmp_path / "x.json").write_text(content)
     with pytest.raises(Exception):
         files.read_json(spark, str(tmp_path / "x.json")).collect()
+
+
+def test_equal_depth_predicates(spark):
+    df = spark.sql(
+        """
+        SELECT CASE WHEN id % 10 = 0 THEN NULL WHEN id % 3 = 0 THEN 7 ELSE id * id END AS k,
+               CAST(id AS DOUBLE) / 7 AS x, CAST(id AS DECIMAL(20, 3)) / 3 AS d,
+               DATE'2020-01-01' + CAST(id % 400 AS INT) AS day,
+               timestamp_micros(1600000000000000 + id * 1234567) AS at, CAST(id AS STRING) AS word
+        FROM range(20000)
+        """
+    )
+    for column in ("k", "x", "d", "day", "at"):
+        parts = equal_depth_predicates(df, column, 8, "`")
+        counts = [df.where(p).count() for p in parts]
+        # every row is in one part: a third of them share one value of k
+        assert sum(counts) == 20000
+        assert df.where(" OR ".join(f"({p})" for p in parts)).count() == 20000
+        if column != "k":
+            assert len(parts) == 8 and max(counts) < 2600 and min(counts) > 2400
+    assert len(equal_depth_predicates(df, "k", 8, "`")) < 8
+    assert equal_depth_predicates(df.where("k IS NULL"), "k", 8) == ["1 = 1"]
+    assert equal_depth_predicates(df, "k", 1) == ["1 = 1"]
+    assert '"a""b" >= ' in equal_depth_predicates(df.selectExpr("x AS `a\"b`"), 'a"b', 2)[1]
+    with pytest.raises(TypeError):
+        equal_depth_predicates(df, "word", 8)
+    with pytest.raises(ValueError):
+        equal_depth_predicates(df, "k", 0)
