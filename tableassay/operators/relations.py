@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,7 @@ from tableassay.functions.schema import (
     numeric_columns,
     text,
     texts,
+    union_all,
 )
 from tableassay.functions.shape import long_numbers, with_names
 from tableassay.functions.values import identity_text
@@ -293,8 +294,10 @@ def scatter_points(
     """``(feature, x, y)``: up to ``points`` rows of each of the strongest features.
 
     The rows with the smallest seeded hashes of their ``key`` (columns that name a row; the
-    whole row if none are given), so a rerun draws the same ones, tasks keep ``points`` each
-    and merging them is exact.  Runs one job when called, which names the features.
+    whole row if none are given), so a rerun draws the same ones.  Each feature is an order
+    with a limit: a task holds ``points`` rows at a time and sends as many, and merging them
+    is exact; the other rows are neither sorted nor written.  Runs one job when called, which
+    names the features.
     """
     features = [n for n in (numeric_columns(df) if names is None else names) if n != target]
     schema = "feature string, x double, y double"
@@ -305,11 +308,12 @@ def scatter_points(
         return empty(df, schema)
     cells = [f"coalesce({identity_text(df, n)}, '')" for n in (key or flat_columns(df))]
     draw = f"md5(CAST(concat_ws(':', {text(seed)}, {', '.join(cells)}) AS BINARY)) AS draw"
-    rows = long_numbers(df, features, keep=(f"{as_finite(df, target)} AS y", draw))
-    rows = rows.where("abs(value) < double('Infinity') AND y IS NOT NULL")
-    first = Window.partitionBy("idx").orderBy("draw", "value", "y")
-    kept = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= points)
-    return kept.select(F.expr(f"get({texts(features)}, idx)").alias("feature"), F.col("value").alias("x"), "y")
+    drawn = []
+    for feature in features:
+        rows = df.selectExpr(f"{as_double(df, feature)} AS x", f"{as_finite(df, target)} AS y", draw)
+        first = rows.where("abs(x) < double('Infinity') AND y IS NOT NULL").orderBy("draw", "x", "y").limit(points)
+        drawn.append(first.select(F.lit(feature).alias("feature"), "x", "y"))
+    return union_all(drawn)
 
 
 def target_relation_rows(df: DataFrame, target: str) -> DataFrame:

@@ -1,5 +1,8 @@
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tableassay.operators import relations as R
 
@@ -137,3 +140,15 @@ def test_scatter_points_are_drawn_alike(spark):
     assert 2000 < np.mean([x for _, x, _ in first]) < 3000
     assert R.scatter_points(df, "y", ["x"], points=100).count() == 100
     assert R.scatter_points(df.where("false"), "y", ["x"]).count() == 0
+
+
+def test_scatter_points_hold_few_rows_per_task(spark):
+    """Copies of a key, and no sort or window over all rows: only tasks' first rows travel."""
+    df = spark.range(3000, numPartitions=6).selectExpr("id % 40 AS id", "id % 7 * 1D AS x", "-(id % 5) * 1D AS y", "id % 3 AS w")
+    out = R.scatter_points(df, "y", ["x", "w"], points=90, key=["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 2 and "Window" not in plan and "Sort" not in plan
+    rows = [(hashlib.md5(f"points-1:{r['id']}".encode()).hexdigest(), r["x"], float(r["w"]), r["y"]) for r in df.collect()]
+    for feature, at in (("x", 1), ("w", 2)):
+        want = sorted((r[0], r[at], r[3]) for r in rows)[:90]
+        assert sorted((r["x"], r["y"]) for r in out.where(F.col("feature") == feature).collect()) == sorted(w[1:] for w in want)
