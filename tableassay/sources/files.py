@@ -162,17 +162,20 @@ def _text_rows(spark: SparkSession, path: str | list[str], settings: dict, names
         if not header and len(other) != len(first):
             raise ValueError(f"{groups[other][0]} has {len(other)} columns, not {len(first)}")
     options = {**settings, "columnPruning": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    ddl = {columns: ", ".join(f"{quoted(n)} string" for n in [*columns, _CORRUPT]) for columns in groups}
+    if found.spans_lines:
+        # one scan for all orders of columns: a record is parsed in its file's order
+        texts_only = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if k not in ("header", "enforceSchema", "inferSchema", "columnPruning")}
+        parsed = {columns: F.from_csv("record", ddl[columns], texts_only) for columns in groups}
+        if len(groups) > 1:
+            parsed = {columns: F.when(F.col("file").isin(groups[columns]), row) for columns, row in parsed.items()}
+        rows = found.records(header).select(*[row.alias(f"row{i}") for i, row in enumerate(parsed.values())])
+        cells = [F.coalesce(*[F.col(c)[n] for c in rows.columns]).alias(n) for n in [*first, _CORRUPT]]
+        return _whole_rows(rows.select(*cells), list(first), sep, quote).selectExpr(*[quoted(n) for n in wanted or first])
     parts = []
     for columns, own in groups.items():
-        ddl = ", ".join(f"{quoted(n)} string" for n in [*columns, _CORRUPT])
-        if found.spans_lines:
-            rows = found.records(header)
-            rows = rows if len(groups) == 1 else rows.where(F.col("file").isin(own))
-            texts_only = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if k not in ("header", "enforceSchema", "inferSchema", "columnPruning")}
-            rows = rows.select(F.from_csv("record", ddl, texts_only).alias("row")).select("row.*")
-        else:
-            rows = spark.read.options(**options).schema(ddl).csv(path)
-            rows = rows if len(groups) == 1 else rows.where(F.col("_metadata.file_path").isin(own))
+        rows = spark.read.options(**options).schema(ddl[columns]).csv(path)
+        rows = rows if len(groups) == 1 else rows.where(F.col("_metadata.file_path").isin(own))
         parts.append(_whole_rows(rows, list(columns), sep, quote).selectExpr(*[quoted(n) for n in wanted or (first if header else columns)]))
     return union_all(parts)
 

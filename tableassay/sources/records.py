@@ -9,44 +9,53 @@ together.
 
 The states belong to the splits of the first scan: a second scan that is split otherwise
 raises (Spark sizes splits by its cores, unless ``spark.sql.files.minPartitionNum`` is set).
+Small splits are read several to a task, one after another: a split costs a note, not a task.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SPLIT = "file string, block bigint"
+#: Bytes of splits that a task reads, at least, once every core has a few tasks.
+TASK = 16 << 20
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(value, file, block)``: the lines, each with the split it is read in."""
     text = spark.read.option("lineSep", "\n").text(path)
-    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    text = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    splits, size = text.rdd.getNumPartitions(), spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-splits * size // TASK))
+    return text.coalesce(tasks) if tasks < splits else text
 
 
-def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[str]]]:
-    """The lines of each split, in order; a task may read several."""
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-    ahead = next(rows, None)
-    while ahead is not None:
-        file, block = ahead[1:]
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str]]]:
+    """File and block of rows that follow each other, and their lines."""
+    for batch in batches:
+        value, file, block = batch.columns
+        if not len(value):
+            continue
+        other = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1]))
+        ends = np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1
+        for a, b in pairwise([0, *ends.tolist(), len(value)]):
+            yield (file[a].as_py(), block[a].as_py()), value[a:b].to_pylist()
 
-        def own(first=ahead, file=file, block=block) -> Iterator[str]:
-            nonlocal ahead
-            ahead = first
-            while ahead is not None and ahead[1:] == (file, block):
-                yield ahead[0]
-                ahead = next(rows, None)
 
-        held = own()
-        yield file, block, held
-        for _ in held:
-            pass
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[str]]]:
+    """The lines of each split, in order; a task may read several."""
+    for (file, block), parts in groupby(_runs(batches), key=lambda run: run[0]):
+        yield file, block, (line for _, own in parts for line in own)
 
 
 def _of(df: DataFrame, files: list[str]) -> DataFrame:
@@ -55,14 +64,17 @@ def _of(df: DataFrame, files: list[str]) -> DataFrame:
     return df.where(F.when(F.col("file").isin(files), F.lit(True)).otherwise(F.col("value").isNull()))
 
 
-def layout(df: DataFrame, note: Callable[[Iterator[str]], dict], fields: str) -> list[dict]:
+def layout(df: DataFrame, note: Callable[[int, Iterator[str]], dict], fields: str) -> list[dict]:
     """What ``note`` says of each split, by file and block. One row per split comes back."""
 
+    schema = T.StructType.fromDDL(f"{SPLIT}, {fields}")
+    typed = to_arrow_schema(schema)
+
     def run(batches):
         for file, block, own in _by_split(batches):
-            yield pa.RecordBatch.from_pylist([{"file": file, "block": block, **note(own)}])
+            yield pa.RecordBatch.from_pylist([{"file": file, "block": block, **note(block, own)}], typed)
 
-    return sorted((r.asDict() for r in df.mapInArrow(run, f"{SPLIT}, {fields}").collect()), key=lambda r: (r["file"], r["block"]))
+    return sorted((r.asDict() for r in df.mapInArrow(run, schema).collect()), key=lambda r: (r["file"], r["block"]))
 
 
 def cut(df: DataFrame, starts: dict[tuple[str, int], object], reader: Callable, glue: str, inside: int = 1) -> DataFrame:
@@ -143,10 +155,10 @@ class CsvLayout:
     """Heads of the files and the state each split begins with."""
 
     def __init__(self, df: DataFrame, sep: str, quote: str, escape: str):
-        def note(own):
+        def note(block, own):
             head, ends, spans = None, [False, True], False
             for line in own:
-                head = line if head is None else head
+                head = line if head is None and block == 0 else head
                 if quote in line:
                     spans |= inside_after(line, False, sep, quote, escape)
                     ends = [inside_after(line, s, sep, quote, escape) for s in ends]
@@ -217,7 +229,7 @@ class JsonLayout:
     """The form of each file and the depth each split begins with."""
 
     def __init__(self, df: DataFrame):
-        def note(own):
+        def note(_, own):
             first, whole, filled, depth = None, False, 0, 0
             for line in own:
                 bare = line.strip(" \t\r\ufeff")

@@ -299,6 +299,24 @@ def test_csv_quoted_breaks_over_splits(spark, tmp_path, size):
         files.read_csv(other, str(tmp_path))
 
 
+def test_csv_small_splits_share_tasks_and_scans(spark, tmp_path):
+    """Thousands of splits, two orders of columns: few tasks, and one scan for both orders."""
+    want = [(i, f"a {i}\nb\n\n{'c' * (i % 50)}") for i in range(2000)]
+    table = pd.DataFrame(want, columns=["id", "t.ext"])
+    table[::2].to_csv(tmp_path / "a.csv", index=False)
+    table[1::2][["t.ext", "id"]].to_csv(tmp_path / "b.csv", index=False)
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    other.conf.set("spark.sql.files.openCostInBytes", "1")
+    assert other.read.text(str(tmp_path)).rdd.getNumPartitions() > 1000
+    got = files.read_csv(other, str(tmp_path), "id bigint, `t.ext` string")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    cores = spark.sparkContext.defaultParallelism
+    assert got.rdd.getNumPartitions() <= 4 * cores + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # whole records, and the pieces at the ends of splits
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 2
+
+
 MIXED = {
     "array.json": '\ufeff[{"a": 1, "b": "]}{["},\n {"a": 2, "b": "\\"["}, {"a": 3},\n\n{\n"a"\n:\n4, "c": {"d": [1,\n2]}}\n]\n',
     "lines.json": '{"a": 5}\n\n{"a": 6, "b": "x"}\n',
