@@ -189,6 +189,12 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def _both_sets(batch: pa.RecordBatch):
+    """The sets in columns 2 and 3 of each row, read where they lie."""
+    for x, y in zip(batch.column(2), batch.column(3), strict=True):
+        yield np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on the full sets."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
@@ -196,8 +202,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in _both_sets(batch):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             keep = pa.array(keep, pa.bool_())
@@ -227,8 +232,7 @@ def _measured(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             linked, differ, masks = [], [], np.zeros((batch.num_rows, MASKS), np.int64)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i, (x, y) in enumerate(_both_sets(batch)):
                 apart = np.setxor1d(x, y, assume_unique=True)
                 linked.append((100 - percent) * (len(x) + len(y)) >= (100 + percent) * len(apart))
                 differ.append(len(apart))

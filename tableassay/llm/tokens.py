@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_PIECE = 4 << 20
+#: Bytes of text in a slice: its arrays take about 50 bytes for each.
+_PIECE = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -57,11 +58,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _power(kind: str, base: int, n: int) -> np.ndarray:
+    """The first n powers; kept, of twice as many as before at least, so that a worker holds what its slices need."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        steps = np.full(max(n, _PIECE + 64), U(base), dtype=np.uint64)
-        steps[0] = U(1)
-        _powers[kind] = have = np.cumprod(steps, dtype=np.uint64)
+        steps = np.full(max(n, 0 if have is None else min(2 * len(have), _PIECE + 64)), U(base), dtype=np.uint64)
+        steps[:1] = U(1)
+        _powers[kind] = have = np.cumprod(steps, out=steps)
     return have[:n]
 
 

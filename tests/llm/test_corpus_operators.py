@@ -3,13 +3,16 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tableassay.llm import filter_audit, phrases, sharding
+from tableassay.llm import filter_audit, near_dedup, phrases, sharding, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, slot string, score string"
 
@@ -77,6 +80,20 @@ def test_runs_pass_every_frequent_phrase(spark, sf_dir):
     assert got == expected_phrases([(r["text"], r["lang"]) for r in docs.collect()], 30)
 
 
+def test_a_slice_of_text_takes_bounded_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "_powers", {})
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words of a text " * 200] * 2000)], ["text"])
+    tracemalloc.start()
+    try:
+        tokens.span_hashes(np.zeros(5, np.uint8), np.array([0]), np.array([5]))
+        small = tracemalloc.get_traced_memory()[0]
+        n = sum(len(s) for b in tokens.pieces(batch, "text") for s in near_dedup.shingles(*tokens.text_bytes(b.column(0)), 4))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 2000 * 5 and small < 1e6 and peak < 90e6
+
+
 @pytest.fixture(scope="module")
 def sharded(spark):
     """A source with a third of the rows, a middle one, many of one row, a null one."""
