@@ -28,6 +28,8 @@ row; columns that clash with the results, and others, are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -47,6 +49,8 @@ SLOT_BITS = 30
 _HELD = 400_000
 _SLICE = 1 << 20
 _RANGE_BITS = 18
+#: Rows that a task hands on at once.
+_ROWS = 1 << 16
 _W = [f"w{i + 1}" for i in range(DEPTH)]
 
 _INSIDE = np.ones(256, bool)
@@ -100,14 +104,27 @@ def _combined(batches, read, combine, most: int):
             held.append(found)
             size += len(found[-1])
             if size >= most:
-                one = combine([np.concatenate(x, axis=-1) for x in zip(*held, strict=True)])
+                one = combine(_gathered(held))
                 size = len(one[-1])
                 held = [one]
                 if 2 * size > most:
                     yield one
                     held, size = [], 0
     if held:
-        yield combine([np.concatenate(x, axis=-1) for x in zip(*held, strict=True)])
+        yield combine(_gathered(held))
+
+
+def _gathered(held: list) -> list[np.ndarray]:
+    """Column by column one array of those in ``held``, which are let go on the way."""
+    columns = [list(x) for x in zip(*held, strict=True)]
+    held.clear()
+    return [np.concatenate(columns.pop(0), axis=-1) for _ in range(len(columns))]
+
+
+def _handed(columns: list) -> Iterator[list[np.ndarray]]:
+    """The columns in runs of at most ``_ROWS`` rows."""
+    for i in range(0, len(columns[-1]), _ROWS):
+        yield [x[..., i : i + _ROWS] for x in columns]
 
 
 def _starts(changes: np.ndarray) -> np.ndarray:
@@ -141,7 +158,8 @@ def _counted(docs: DataFrame, seed: int) -> DataFrame:
 
     def run(batches):
         for langs, texts, codes, _, n in _combined(batches, read, combine, _HELD):
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "word", "code", "n"])
+            for lang, text, code, times in _handed([langs, texts, codes.view(np.int64), n]):
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(text, pa.string()), pa.array(code), pa.array(times)], ["lang", "word", "code", "n"])
 
     per = _texts(docs).mapInArrow(run, "lang string, word string, code long, n long")
     return per.groupBy("lang", "word").agg(F.first("code").alias("code"), F.sum("n").alias("f"))
@@ -227,28 +245,57 @@ def joined(codes: np.ndarray, shorter: np.ndarray, d: int) -> np.ndarray:
     return mix(shorter[:n] * U(0x9E3779B97F4A7C15) + codes[d - 1 : d - 1 + n])
 
 
-def _slots(docs: DataFrame, sieve: Filter) -> DataFrame:
-    """slot and n of the pairs of words that the filter lets through."""
+def _slots(docs: DataFrame, sieve: Filter, least: int) -> DataFrame:
+    """slot and n, ``least`` at least, of the pairs of words that the filter lets through.
+
+    A task's counts travel as one row per range of slots; a range is summed in an array."""
     seed, bits = sieve.seed, sieve.bits
 
     def read(batch):
         found = Pieces(batch, seed)
         pair = joined(found.codes, found.codes, 2)
-        return np.unique(_slot(pair[sieve.runs(found)[: len(pair)] >= 2], bits), return_counts=True)
+        slot, n = np.unique(_slot(pair[sieve.runs(found)[: len(pair)] >= 2], bits).astype(np.uint32), return_counts=True)
+        return slot, n
 
     def combine(columns):
-        slot, n = columns
-        if not len(n):
+        if not len(columns[-1]):
             return columns
+        n, slot = columns.pop(), columns.pop()
         order = np.argsort(slot, kind="stable")
-        first = _starts(np.diff(slot[order]) != 0)
-        return slot[order][first], np.add.reduceat(n[order], first)
+        slot = slot[order]
+        first = _starts(slot[1:] != slot[:-1])
+        return slot[first], np.add.reduceat(n[order], first)
 
     def run(batches):
         for slot, n in _combined(batches, read, combine, 5 * _HELD):
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
+            own = slot >> np.uint32(_RANGE_BITS)
+            cuts = [*(_starts(own[1:] != own[:-1]).tolist() if len(own) else []), len(own)]
+            for some in (cuts[i : i + 33] for i in range(0, len(cuts) - 1, 32)):
+                parts = [slice(a, b) for a, b in zip(some, some[1:])]
+                columns = [pa.array([int(own[x.start]) for x in parts], pa.int64()), *(pa.array([y[x].tobytes() for x in parts], pa.binary()) for y in (slot, n))]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "slots", "n"])
 
-    return _texts(docs).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    def summed(batches):
+        last, total = None, np.zeros(1 << _RANGE_BITS, np.int64)
+
+        def frequent():
+            at = np.flatnonzero(total >= least)
+            return pa.RecordBatch.from_arrays([pa.array(at + (last << _RANGE_BITS)), pa.array(total[at])], ["slot", "n"])
+
+        for batch in batches:
+            for r, slot, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if r != last:
+                    if last is not None:
+                        yield frequent()
+                    last, total[:] = r, 0
+                # the slots of one row differ
+                total[np.frombuffer(slot.as_buffer(), np.uint32) & np.uint32((1 << _RANGE_BITS) - 1)] += np.frombuffer(n.as_buffer(), np.int64)
+        if last is not None:
+            yield frequent()
+
+    packed = _texts(docs).mapInArrow(run, "range long, slots binary, n binary")
+    tasks = max(1, min(1 << (bits - _RANGE_BITS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return packed.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(summed, "slot long, n long")
 
 
 def _leaves(docs: DataFrame, sieve: Filter, heavy: np.ndarray) -> DataFrame:
@@ -268,16 +315,16 @@ def _leaves(docs: DataFrame, sieve: Filter, heavy: np.ndarray) -> DataFrame:
         return rows, np.ones(len(at), np.int64)
 
     def combine(columns):
-        rows, n = columns
-        if not len(n):
+        if not len(columns[-1]):
             return columns
+        n, rows = columns.pop(), columns.pop()
         order = np.lexsort(rows[::-1])
         rows = rows[:, order]
         first = _starts((rows[:, 1:] != rows[:, :-1]).any(axis=0))
         return rows[:, first], np.add.reduceat(n[order], first)
 
     def run(batches):
-        for rows, n in _combined(batches, read, combine, 2 * _HELD):
+        for rows, n in (x for one in _combined(batches, read, combine, 2 * _HELD) for x in _handed(one)):
             pair = joined(rows[1], rows[0], 1)
             deep = np.isin(_slot(pair, sieve.bits), heavy.value)
             group = np.where(deep, joined(rows[2], pair, 1), pair)
@@ -347,7 +394,7 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     bits = _bits(tokens)
     sieve = Filter(seed, bits)
     sieve.add(spark, _flags(frequent.select(F.shiftrightunsigned("code", 64 - bits).alias("slot")), bits))
-    pairs = staged(_slots(docs, sieve).where(F.col("n") >= least), "phrase-pairs")
+    pairs = staged(_slots(docs, sieve, max(1, least)), "phrase-pairs")
     sieve.add(spark, _flags(pairs.select("slot"), bits))
     # at most tokens / budget slots; the budget grows where they would pass a hundred thousand
     budget = max(BUDGET, tokens // 100_000)

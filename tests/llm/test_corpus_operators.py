@@ -80,6 +80,38 @@ def test_runs_pass_every_frequent_phrase(spark, sf_dir):
     assert got == expected_phrases([(r["text"], r["lang"]) for r in docs.collect()], 30)
 
 
+def test_small_runs_of_rows_and_ranges_equal_brute_force(spark, monkeypatch):
+    # tables of more slots than the texts need, so that a task has many ranges, and batches of few rows
+    monkeypatch.setattr(phrases, "_ROWS", 3)
+    monkeypatch.setattr(phrases, "_bits", lambda tokens: 25)
+    draw = random.Random(5)
+    rows = [(" ".join(draw.choice("abcdefgh") for _ in range(40)), draw.choice(["en", None])) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    assert sorted(tuple(r) for r in phrases.mine(docs, least=12).collect()) == expected_phrases(rows, 12)
+
+
+def test_pair_counts_reach_the_limit_and_are_exact(spark):
+    docs = spark.createDataFrame([("a b", "en")] * 7 + [("a b c", "en")] * 5, "text string, lang string").repartition(4)
+    words, seed = phrases._words(docs)
+    sieve = phrases.Filter(seed, 20)
+    sieve.add(spark, phrases._flags(words.select(F.shiftrightunsigned("code", 44).alias("slot")), 20))
+    counts = {least: sorted(r["n"] for r in phrases._slots(docs, sieve, least).collect()) for least in (1, 6, 12, 13)}
+    assert counts == {1: [5, 12], 6: [12], 12: [12], 13: []}
+
+
+def test_combining_holds_rows_less_than_twice():
+    text = pa.RecordBatch.from_arrays([pa.array(["x"] * 20)], ["text"])
+    read = lambda batch: (np.ones(100_000, np.int64), np.ones(100_000, np.int64))
+    tracemalloc.start()
+    try:
+        total = sum(len(x[-1]) for x in phrases._combined((text.slice(i, 1) for i in range(20)), read, list, 2_000_000))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 32 MB of rows, and one of their two columns again
+    assert total == 2_000_000 and peak < 52e6
+
+
 def test_a_slice_of_text_takes_bounded_memory(monkeypatch):
     monkeypatch.setattr(tokens, "_powers", {})
     batch = pa.RecordBatch.from_arrays([pa.array(["some words of a text " * 200] * 2000)], ["text"])
