@@ -7,10 +7,11 @@ group's subtree is built alone, and phrase counts are sums over its leaves:
 
 1. Words are counted per lang and get 64-bit codes; codes are checked to differ.
 2. A suffix is cut where no phrase of ``least`` occurrences can go on: at rare words,
-   and before pairs of words whose slot in a table of counters stays below ``least``.
-   The slots give bit sets of at most 2^``SLOT_BITS`` bits; a slot shared by rare pairs
-   only keeps suffixes longer, so counts stay exact. What is left is combined per task:
-   leaves, with how often each occurs.
+   and before pairs and triples of words whose slot in a table of counters stays below
+   ``least``. The slots give bit sets of at most 2^``SLOT_BITS`` bits; a slot shared by
+   rare runs only keeps suffixes longer, so counts stay exact. What is left is combined
+   per task: leaves, with how often each occurs. A frequent phrase is a leaf of every task,
+   so tasks read about ``SHARE`` words each, whatever the splits of the table are.
 3. Vertical partitioning: a suffix goes to the group of its first two words, or, where
    the counters show that these begin more than ``BUDGET`` suffixes, of its first three.
    Groups are hashed to as many tasks as keep about ``BUDGET`` suffixes in each.
@@ -43,6 +44,8 @@ LEAST = 100
 TOP = 2000
 #: Suffixes that a group's task sorts, about.
 BUDGET = 2_000_000
+#: Words of text that a task cuts into suffixes, where every core has a task.
+SHARE = 1 << 26
 #: At most 2^SLOT_BITS counters: bit sets of 128 MB.
 SLOT_BITS = 30
 #: Rows that a task combines, and bytes of text that it reads at once.
@@ -211,7 +214,7 @@ def _set(flags: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Whether a word or pair may occur often enough; its parts broadcast."""
+    """Whether a word, a pair or a triple may occur often enough; its parts broadcast."""
 
     def __init__(self, seed: int, bits: int):
         self.seed, self.bits, self.levels = seed, bits, []
@@ -221,19 +224,26 @@ class Filter:
 
     def runs(self, found: Pieces) -> np.ndarray:
         """How many words from each on, up to ``DEPTH``, may be one phrase: each word and
-        each pair in it may."""
+        each pair and triple in it may, as far as levels are there."""
         codes, n = found.codes, len(found.codes)
         if not n:
             return np.zeros(0, np.int64)
         word = _set(self.levels[0].value, _slot(codes, self.bits))
         link = found.follows & word  # word i to i + 1
         link[:-1] &= word[1:]
-        if len(self.levels) > 1:
-            link[:-1] &= _set(self.levels[1].value, _slot(joined(codes, codes, 2), self.bits))
+        may, key = {2: link}, codes
+        for size, flags in enumerate(self.levels[1:], 2):
+            key = joined(codes, key, size)
+            own = may.setdefault(size, np.ones(n, bool))
+            own[: len(key)] &= _set(flags.value, _slot(key, self.bits))
         reach, going = word.astype(np.int64), word
         for d in range(1, DEPTH):
             step = np.zeros(n, bool)
-            step[: max(0, n - d)] = link[d - 1 : n - 1]
+            step[: max(0, n - d)] = True
+            # the runs that end with word d
+            for size, own in may.items():
+                if size <= d + 1:
+                    step[: max(0, n - d)] &= own[d + 1 - size : n + 1 - size]
             going = going & step
             reach += going
         return reach
@@ -245,16 +255,18 @@ def joined(codes: np.ndarray, shorter: np.ndarray, d: int) -> np.ndarray:
     return mix(shorter[:n] * U(0x9E3779B97F4A7C15) + codes[d - 1 : d - 1 + n])
 
 
-def _slots(docs: DataFrame, sieve: Filter, least: int) -> DataFrame:
-    """slot and n, ``least`` at least, of the pairs of words that the filter lets through.
+def _slots(docs: DataFrame, sieve: Filter, least: int, size: int = 2) -> DataFrame:
+    """slot and n, ``least`` at least, of the runs of ``size`` words that the filter lets through.
 
     A task's counts travel as one row per range of slots; a range is summed in an array."""
     seed, bits = sieve.seed, sieve.bits
 
     def read(batch):
         found = Pieces(batch, seed)
-        pair = joined(found.codes, found.codes, 2)
-        slot, n = np.unique(_slot(pair[sieve.runs(found)[: len(pair)] >= 2], bits).astype(np.uint32), return_counts=True)
+        key = found.codes
+        for d in range(2, size + 1):
+            key = joined(found.codes, key, d)
+        slot, n = np.unique(_slot(key[sieve.runs(found)[: len(key)] >= size], bits).astype(np.uint32), return_counts=True)
         return slot, n
 
     def combine(columns):
@@ -298,6 +310,12 @@ def _slots(docs: DataFrame, sieve: Filter, least: int) -> DataFrame:
     return packed.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(summed, "slot long, n long")
 
 
+def _shared(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` in a partition for each ``SHARE`` of their words, or for each core if that is
+    more, where they have more than that; none moves."""
+    return docs.coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-words // SHARE)))
+
+
 def _leaves(docs: DataFrame, sieve: Filter, heavy: np.ndarray) -> DataFrame:
     """Suffixes of two to five words (codes, 0 for none), the number of words ``d`` that
     their group shares, its hash ``g``, and how often the task saw them."""
@@ -396,6 +414,8 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     sieve.add(spark, _flags(frequent.select(F.shiftrightunsigned("code", 64 - bits).alias("slot")), bits))
     pairs = staged(_slots(docs, sieve, max(1, least)), "phrase-pairs")
     sieve.add(spark, _flags(pairs.select("slot"), bits))
+    docs = _shared(docs, tokens)
+    sieve.add(spark, _flags(_slots(docs, sieve, max(1, least), 3).select("slot"), bits))
     # at most tokens / budget slots; the budget grows where they would pass a hundred thousand
     budget = max(BUDGET, tokens // 100_000)
     heavy = np.array(sorted(r[0] for r in pairs.where(F.col("n") > budget).select("slot").collect()), np.int64)

@@ -90,6 +90,35 @@ def test_small_runs_of_rows_and_ranges_equal_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in phrases.mine(docs, least=12).collect()) == expected_phrases(rows, 12)
 
 
+def test_suffixes_sent_are_frequent_runs_once_per_core(spark, monkeypatch):
+    # 64 pairs of about 180 occurrences and 512 triples of about 23, in more splits than cores
+    sent, leaves = [], phrases._leaves
+    monkeypatch.setattr(phrases, "_leaves", lambda *args: sent.append(leaves(*args).collect()) or leaves(*args))
+    draw = random.Random(8)
+    rows = [(" ".join(draw.choice("abcdefgh") for _ in range(40)), "en") for _ in range(300)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(60)
+    assert sorted(tuple(r) for r in phrases.mine(docs, least=90).collect()) == expected_phrases(rows, 90)
+    pairs = Counter(w for text, _ in rows for w in zip(text.split()[:-1], text.split()[1:], strict=True))
+    assert len(pairs) == 64 and min(pairs.values()) >= 90
+    assert sum(r["n"] for r in sent[0]) == 300 * 39
+    assert not any(r["w3"] for r in sent[0])
+    assert len(sent[0]) <= 64 * spark.sparkContext.defaultParallelism
+
+
+def test_triples_cut_only_what_is_rare(spark):
+    text = "a b c d e a b x d e"
+    docs = spark.createDataFrame([(text, "en")] * 5 + [("b c d", "en"), ("c d e", "en"), ("d e", "en")], "text string, lang string").repartition(3)
+    words, seed = phrases._words(docs)
+    sieve = phrases.Filter(seed, 20)
+    sieve.add(spark, phrases._flags(words.select(F.shiftrightunsigned("code", 44).alias("slot")), 20))
+    for size in (2, 3):
+        sieve.add(spark, phrases._flags(phrases._slots(docs, sieve, 6, size).select("slot"), 20))
+    # a b, b c, c d and d e occur 6 times or more, b c d and c d e 6 times, a b c and d e a 5 times
+    found = phrases.Pieces(pa.RecordBatch.from_arrays([pa.array(["en"] * 3), pa.array([text, "c", ""])], ["lang", "text"]), seed)
+    assert sieve.runs(found).tolist() == [2, 4, 3, 2, 1, 2, 1, 1, 2, 1, 1]
+    assert [r["n"] for r in phrases._slots(docs, sieve, 6, 3).collect()] == [6, 6]
+
+
 def test_pair_counts_reach_the_limit_and_are_exact(spark):
     docs = spark.createDataFrame([("a b", "en")] * 7 + [("a b c", "en")] * 5, "text string, lang string").repartition(4)
     words, seed = phrases._words(docs)
